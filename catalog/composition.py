@@ -242,10 +242,11 @@ def a14(spark, sf_dir):
 @query(
     "a11_compartment_scope",
     f"""WITH {EDGES_KR}, per_cell AS (
-      SELECT s.condition, e.sample_id AS sample, unnest([s.compartment, 'all']) AS compartment,
+      SELECT s.condition, e.sample_id AS sample, k.compartment,
              s.cell_type AS source_cell_type, t.cell_type AS neighbor_cell_type, e.src, count(*) AS links
       FROM edges e JOIN cells_o s ON s.sample_id = e.sample_id AND s.cell_id = e.src
                    JOIN cells_o t ON t.sample_id = e.sample_id AND t.cell_id = e.dst
+                   CROSS JOIN LATERAL (SELECT unnest([s.compartment, 'all']) AS compartment) k
       WHERE s.compartment = t.compartment GROUP BY ALL)
     SELECT condition, sample, compartment, source_cell_type, neighbor_cell_type,
            CAST(sum(links) AS BIGINT) AS links, count(*) AS linked_cells FROM per_cell GROUP BY ALL""",
