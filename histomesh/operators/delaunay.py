@@ -19,6 +19,7 @@ cells lie on one empty circle, all their connections are kept.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ INFINITY = float("inf")
 SIDE = ["sample_id", "a", "b"]
 
 
-def delaunay_edges(cells: DataFrame, k: int = 20, max_edge: float | None = None) -> DataFrame:
+def delaunay_edges(cells: DataFrame, k: int = 12, max_edge: float | None = None) -> DataFrame:
     """Directed edges of the Delaunay graph of every sample.
 
     ``k`` only moves work between the two steps. ``max_edge`` leaves out longer
@@ -44,16 +45,20 @@ def delaunay_edges(cells: DataFrame, k: int = 20, max_edge: float | None = None)
     cells = cells.select("sample_id", "cell_id", "x", "y")
     frame = Frame(cells)
     sites = cut(with_reach(locations(cells), frame, k))
-    sides = cut(_merged(_near_sides(sites, k)))
-    boxes = None
-    while True:
-        waiting = sides.where("not closed")
-        if waiting.isEmpty():
-            break
-        if boxes is None:
-            points = cut(_packed(sites, frame))
-            boxes = cut(_boxes(points))
-        sides = cut(_merged(sides.unionByName(_outward(waiting, points, boxes))))
+    parts = [cut(_merged(_near_sides(sites, k)))]
+    waiting = parts[0].where("not closed")
+    if not waiting.isEmpty():
+        points = cut(_packed(sites, frame))
+        boxes = cut(_boxes(points))
+    while not waiting.isEmpty():
+        parts.append(cut(_merged(_outward(waiting, points, boxes))))
+        opened = parts[-1].where("not closed")
+        # Few sides are new, so the large parts are scanned but not shuffled.
+        closed = reduce(DataFrame.unionByName, parts).where("closed").select(*SIDE)
+        closed = closed.join(opened.select(*SIDE), SIDE, "left_semi")
+        waiting = cut(opened.join(closed, SIDE, "left_anti"))
+    ends = ["ax", "ay", "bx", "by"]
+    sides = reduce(DataFrame.unionByName, parts).select(*SIDE, *ends).distinct()
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     edges = sides.select(
         "sample_id", F.col("a").alias("src"), F.col("b").alias("dst"), length.alias("dist")
@@ -72,68 +77,78 @@ def _tolerance(*values: Column) -> Column:
     return F.lit(TIE) * sum((F.abs(v) for v in values), F.lit(0.0))
 
 
-def _near_sides(sites: DataFrame, k: int) -> DataFrame:
-    """Accepted edges among near locations, and the sides of their triangles."""
+def _near_lists(sites: DataFrame, k: int) -> DataFrame:
+    """Per location the k nearest others, and the squared distance seen whole."""
     targets = sites.select("sample_id", F.col("site").alias("dst"), "x", "y")
-    whole = Window.partitionBy("sample_id", "site")
-    near = (
-        closest(within_reach(sites, targets), k + 1)
-        .where("rank > 1")
-        .select(
-            "sample_id",
-            F.struct(F.col("site").alias("id"), "x", "y").alias("p"),
-            F.struct(F.col("dst").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y")).alias("q"),
-            "d2",
-            "site",
-            # All locations are on a list that is not full.
-            F.when(F.count(F.lit(1)).over(whole) < k, F.lit(INFINITY))
-            .otherwise(F.max("d2").over(whole))
-            .alias("seen2"),
-        )
+    near = closest(within_reach(sites, targets), k + 1).where("rank > 1")
+    other = F.struct(
+        F.col("rank").alias("no"), F.col("dst").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y")
+    )
+    full = F.count(F.lit(1)) == k
+    return near.groupBy("sample_id", "site", "x", "y").agg(
+        F.sort_array(F.collect_list(other)).alias("others"),
+        # A list that is not full holds all other locations of its sample.
+        F.when(full, F.max("d2")).otherwise(F.lit(INFINITY)).alias("seen2"),
     )
-    other = near.select("sample_id", "site", F.col("q").alias("c"))
-    b = Bend(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y"))
-    c = (F.col("c.x") - F.col("p.x"), F.col("c.y") - F.col("p.y"))
+
+
+def _near_bounds(lists: DataFrame) -> DataFrame:
+    """For every listed edge, by number: its bounds and the corners that set them."""
+    b = Bend(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
+    c = (F.col("cx") - F.col("x"), F.col("cy") - F.col("y"))
     side, offset = b.side(*c), b.offset(*c)
     left, right = F.when(side == 1, offset), F.when(side == -1, offset)
-    tested = (
-        near.join(other, ["sample_id", "site"])
-        .where("q.id <> c.id")
-        .groupBy("sample_id", "p", "q", "d2", "seen2")
+    return (
+        lists.select("sample_id", "site", "x", "y", "others", F.explode("others").alias("q"))
+        .select(
+            "sample_id", "site", "x", "y", F.col("q.no").alias("no"), F.col("q.x").alias("qx"),
+            F.col("q.y").alias("qy"), F.explode("others").alias("c"),
+        )
+        .select(
+            "sample_id", "site", "x", "y", "no", "qx", "qy", F.col("c.no").alias("cno"),
+            F.col("c.x").alias("cx"), F.col("c.y").alias("cy"),
+        )
+        .withColumns({"left": F.when(F.col("no") != F.col("cno"), left), "right": F.when(F.col("no") != F.col("cno"), right)})
+        .withColumn("inside", (F.col("no") != F.col("cno")) & (side == 0) & (b.power(*c) < 0))
+        .groupBy("sample_id", "site", "no")
         .agg(
-            F.coalesce(F.max(right), F.lit(-INFINITY)).alias("low"),
-            F.coalesce(F.min(left), F.lit(INFINITY)).alias("high"),
-            F.max_by("c", right).alias("right"),
-            F.min_by("c", left).alias("left"),
-            F.bool_or((side == 0) & (b.power(*c) < 0)).alias("blocked"),
+            F.coalesce(F.max("right"), F.lit(-INFINITY)).alias("low"),
+            F.coalesce(F.min("left"), F.lit(INFINITY)).alias("high"),
+            F.max_by("cno", "right").alias("right_no"),
+            F.min_by("cno", "left").alias("left_no"),
+            F.max(F.col("inside").cast("int")).alias("blocked"),
         )
     )
-    alone = near.where((F.col("seen2") == INFINITY)).groupBy("sample_id", "site").agg(
-        F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("q").alias("q"),
-        F.first("d2").alias("d2"),
-    )
-    # A sample of two locations: one edge, nothing to compare with.
-    alone = alone.where("n = 1").select(
-        "sample_id", "p", "q", "d2", F.lit(INFINITY).alias("seen2"),
-        F.lit(-INFINITY).alias("low"), F.lit(INFINITY).alias("high"),
-        F.lit(None).cast(tested.schema["right"].dataType).alias("right"),
-        F.lit(None).cast(tested.schema["left"].dataType).alias("left"),
-        F.lit(False).alias("blocked"),
-    )
+
+
+def _near_sides(sites: DataFrame, k: int) -> DataFrame:
+    """Accepted edges among near locations, and the sides of their triangles."""
+    lists = cut(_near_lists(sites, k))
+
+    def listed(number: str) -> Column:
+        return F.get("others", F.col(number) - 2)
+
     low, high = F.col("low"), F.col("high")
-    fits = (low <= high) | (low - high <= _tolerance(low, high))
     smallest = F.greatest(F.least(F.lit(0.0), high), low)
+    p = F.struct(F.col("site").alias("id"), "x", "y")
+    q = F.col("q")
+    tested = (
+        _near_bounds(lists)
+        .where((F.col("blocked") == 0) & ((low <= high) | (low - high <= _tolerance(low, high))))
+        .join(lists, ["sample_id", "site"])
+        .withColumns({"p": p, "q": listed("no"), "left": listed("left_no"), "right": listed("right_no")})
+        .withColumn("d2", F.pow(q["x"] - F.col("x"), F.lit(2.0)) + F.pow(q["y"] - F.col("y"), F.lit(2.0)))
+    )
 
     def certain(offset: Column) -> Column:
         return F.col("d2") + 4 * offset * offset <= F.col("seen2")
 
-    accepted = tested.unionByName(alone).where(~F.col("blocked") & fits & certain(smallest))
-    return accepted.select(
+    return tested.where(certain(smallest)).select(
         "sample_id",
         F.inline(
             F.concat(
-                _triangle_sides(F.col("p"), F.col("q"), F.col("left"), high, certain(high)),
-                _triangle_sides(F.col("q"), F.col("p"), F.col("right"), -low, certain(low)),
+                _triangle_sides(F.col("p"), q, F.col("left"), high, certain(high)),
+                _triangle_sides(q, F.col("p"), F.col("right"), -low, certain(low)),
             )
         ),
     )
