@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded
 from catalog.views import (
-    CELLS_O, ENTRIES_L, REVISED, REVISED_ENTRIES, cells_o, counts_l, curated, entries_l, revised,
+    CELLS_O, ENTRIES_L, ONLY_ENTRIES, ONLY_REVISED_ENTRIES, REVISED, REVISED_ENTRIES, cells_o, counts_l, curated, entries_l, revised,
     revised_entries, table,
 )
 from histomesh.operators import parity as p
@@ -199,10 +199,27 @@ def d10(spark, sf_dir):
     return p.digest_diff(revised_entries(spark, sf_dir), entries_l(spark, sf_dir))
 
 
+# Every check of the report, from the differences between the two cohorts.
+REPORT_DIFFERENCES = f"""{REVISED}, {ONLY_ENTRIES}, {ONLY_REVISED_ENTRIES},
+  aligned AS (SELECT r.*, c.condition AS rc, c.cluster_sub AS r1, c.celltype_short AS r2, c.celltype_full AS r3,
+      c.centroid_x AS rcx, c.centroid_y AS rcy, c.x AS rx, c.y AS ry FROM revised r JOIN curated c USING (sample_id, cell_id)),
+  size AS (SELECT (SELECT count(*) FROM aligned) AS both_sides, (SELECT count(*) FROM revised) AS n_new, (SELECT count(*) FROM curated) AS n_ref),
+  a AS (SELECT sample_id, cell_id, gene, sum(n) AS n FROM revised_entries GROUP BY ALL),
+  b AS (SELECT sample_id, cell_id, gene, sum(n) AS m FROM entries_l GROUP BY ALL)"""
+
+
 @query(
     "d11_report",
-    """SELECT * FROM (VALUES ('shape', true), ('gene_order', true), ('samples', true), ('cell_identity', true),
-       ('conditions', false), ('metadata', false), ('coordinates', false), ('raw_counts', false)) t("check", passed)""",
+    f"""WITH {REPORT_DIFFERENCES}
+    SELECT 'shape' AS "check", n_new = n_ref AS passed FROM size UNION ALL
+    SELECT 'gene_order', count(DISTINCT p_brand) = count(DISTINCT p_brand) FROM part UNION ALL
+    SELECT 'samples', count(DISTINCT sample_id) = 25 FROM revised UNION ALL
+    SELECT 'cell_identity', both_sides = n_new AND both_sides = n_ref FROM size UNION ALL
+    SELECT 'conditions', count(*) FILTER (condition = '' OR condition <> rc) = 0 FROM aligned UNION ALL
+    SELECT 'metadata', count(*) FILTER (coalesce(cluster_sub, '') <> r1 OR coalesce(celltype_short, '') <> r2
+       OR coalesce(celltype_full, '') <> r3) = 0 FROM aligned UNION ALL
+    SELECT 'coordinates', count(*) FILTER (isnan(x) OR abs(centroid_x - rcx) > 0.000001 OR abs(x - centroid_x) > 0.000001) = 0 FROM aligned UNION ALL
+    SELECT 'raw_counts', count(*) FILTER (coalesce(n, 0) <> coalesce(m, 0)) = 0 FROM a FULL JOIN b USING (sample_id, cell_id, gene)""",
 )
 def d11(spark, sf_dir):
     genes = gene_list(spark, sf_dir)
@@ -213,8 +230,11 @@ def d11(spark, sf_dir):
 
 @query(
     "d11_report_skips",
-    """SELECT * FROM (VALUES ('shape', false), ('gene_order', false), ('samples', false), ('cell_identity', false),
-       ('conditions', false), ('metadata', false), ('coordinates', false), ('raw_counts', false)) t("check", passed)""",
+    f"""WITH {REVISED_ENTRIES}, size AS (SELECT (SELECT count(*) FROM cells_o) AS n_ref,
+          (SELECT count(*) FROM (SELECT DISTINCT sample_id, cell_id FROM revised_entries)) AS n_new)
+    SELECT 'shape' AS "check", n_new = n_ref AS passed FROM size UNION ALL
+    SELECT 'gene_order', count(*) FILTER (p_brand = 'Brand#3') = 0 FROM part UNION ALL
+    SELECT unnest(['samples', 'cell_identity', 'conditions', 'metadata', 'coordinates', 'raw_counts']), n_new = n_ref FROM size""",
 )
 def d11_skips(spark, sf_dir):
     taxed = revised_entries(spark, sf_dir).select("sample_id", "cell_id").distinct()

@@ -215,7 +215,7 @@ def revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REVISED = f"""{CURATED}, revised AS (
+ONLY_REVISED = """revised AS (
   SELECT sample_id, cell_id, CASE WHEN celltype_short = '1-URGENT' THEN '' ELSE condition END AS condition,
          CASE WHEN cluster_sub = '3-MEDIUM-O' THEN lower(cluster_sub) ELSE cluster_sub END AS cluster_sub,
          CASE WHEN celltype_short = '2-HIGH' THEN NULL ELSE celltype_short END AS celltype_short, celltype_full,
@@ -223,6 +223,8 @@ REVISED = f"""{CURATED}, revised AS (
          centroid_y, CASE WHEN celltype_full = '2-HIGH in P' THEN CAST('NaN' AS DOUBLE) ELSE x END AS x, y
   FROM curated)"""
 
+REVISED = f"{CURATED}, {ONLY_REVISED}"
+
 
 def revised_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw triplets with differences: top discounts counted once more, untaxed ones lost."""
@@ -231,24 +233,28 @@ def revised_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REVISED_ENTRIES = f"""{ENTRIES_L}, revised_entries AS (
+ONLY_REVISED_ENTRIES = """revised_entries AS (
   SELECT sample_id, cell_id, gene, n + CASE WHEN l_discount = CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END AS n
   FROM entries_l WHERE l_tax > 0)"""
 
+REVISED_ENTRIES = f"{ENTRIES_L}, {ONLY_REVISED_ENTRIES}"
+
 
 def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelings of the vectors for k = 1..5, two runs each, from their labels."""
+    """Labelings of the vectors for k = 1..6, two runs each, from their labels."""
     variants = {
         (1, 0): "0",
         (1, 1): "0",
         (2, 0): "label % 2",
-        (2, 1): "label div 5",
-        (3, 0): "label % 3",
+        (2, 1): "(label + 1) div 3 % 2",
+        (3, 0): "label div 4",
         (3, 1): "(label + 1) div 4",
-        (4, 0): "label % 4",
-        (4, 1): "label div 3",
-        (5, 0): "label % 5",
-        (5, 1): "label div 2",
+        (4, 0): "label div 3",
+        (4, 1): "(label + 2) div 3",
+        (5, 0): "label div 2",
+        (5, 1): "(label + 1) div 3 + label div 8",
+        (6, 0): "label % 6",
+        (6, 1): "(label * 3) % 7",
     }
     rows = ", ".join(
         f"named_struct('k', {k}, 'run', {run}, 'label', CAST({rule} AS STRING))"
@@ -265,10 +271,11 @@ LABEL_RUNS = """label_runs AS (
   SELECT CAST(vec_id AS VARCHAR) AS cell_id, v.k AS k, v.run AS run, CAST(v.label AS VARCHAR) AS label
   FROM (SELECT vec_id, unnest([
     {'k': 1, 'run': 0, 'label': 0}, {'k': 1, 'run': 1, 'label': 0},
-    {'k': 2, 'run': 0, 'label': label % 2}, {'k': 2, 'run': 1, 'label': label // 5},
-    {'k': 3, 'run': 0, 'label': label % 3}, {'k': 3, 'run': 1, 'label': (label + 1) // 4},
-    {'k': 4, 'run': 0, 'label': label % 4}, {'k': 4, 'run': 1, 'label': label // 3},
-    {'k': 5, 'run': 0, 'label': label % 5}, {'k': 5, 'run': 1, 'label': label // 2}]) AS v
+    {'k': 2, 'run': 0, 'label': label % 2}, {'k': 2, 'run': 1, 'label': (label + 1) // 3 % 2},
+    {'k': 3, 'run': 0, 'label': label // 4}, {'k': 3, 'run': 1, 'label': (label + 1) // 4},
+    {'k': 4, 'run': 0, 'label': label // 3}, {'k': 4, 'run': 1, 'label': (label + 2) // 3},
+    {'k': 5, 'run': 0, 'label': label // 2}, {'k': 5, 'run': 1, 'label': (label + 1) // 3 + label // 8},
+    {'k': 6, 'run': 0, 'label': label % 6}, {'k': 6, 'run': 1, 'label': (label * 3) % 7}]) AS v
   FROM embeddings))"""
 
 

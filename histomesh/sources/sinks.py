@@ -108,4 +108,4 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
         (members.drop("x", "y"), "obs"),
         (members.select(*keys, "cell_id", "x", "y"), "spatial"),
     ):
-        table.write.mode("errorifexists").partitionBy(*keys).options(**options).csv(f"{path}/{folder}")
+        table.repartition(*keys).write.mode("errorifexists").partitionBy(*keys).options(**options).csv(f"{path}/{folder}")
