@@ -140,10 +140,22 @@ def _near_sides(sites: DataFrame, k: int) -> DataFrame:
         .withColumn("d2", F.pow(q["x"] - F.col("x"), F.lit(2.0)) + F.pow(q["y"] - F.col("y"), F.lit(2.0)))
     )
 
+    def diameter2(offset: Column) -> Column:
+        return F.col("d2") + 4 * offset * offset
+
+    # An edge that fits one circle only is the diagonal of four or more cells on
+    # that circle. The second step, which finds all of them, takes over there.
+    one_circle = (
+        (F.abs(low) < INFINITY) & (F.abs(high) < INFINITY) & (F.abs(high - low) <= _tolerance(low, high))
+    )
+    tied = F.max(one_circle.cast("int")).over(Window.partitionBy("sample_id", "site"))
+
     def certain(offset: Column) -> Column:
-        return F.col("d2") + 4 * offset * offset <= F.col("seen2")
+        """The corner is known, and so is everything else on its circle."""
+        return (F.col("tied") == 0) & (diameter2(offset) < F.col("seen2") * (1 - 4 * TIE))
 
-    return tested.where(certain(smallest)).select(
+    accepted = tested.withColumn("tied", tied).where(diameter2(smallest) <= F.col("seen2"))
+    return accepted.select(
         "sample_id",
         F.inline(
             F.concat(
@@ -167,17 +179,21 @@ def _directed(a: Column, b: Column, closed: Column, bound: Column) -> Column:
     )
 
 
-def _triangle_sides(a: Column, b: Column, corner: Column, bound: Column, certain: Column) -> Column:
+def _triangle_sides(
+    a: Column, b: Column, corner: Column, bound: Column, certain: Column, alone: Column | None = None
+) -> Column:
     """The side a-b; and if its corner is certain, all sides of the triangle.
 
-    The triangle lies to the left of a-b, b-corner and corner-a. What lies to the
-    left of the reversed sides is open until something else closes it.
+    The triangle lies to the left of a-b, b-corner and corner-a, and closes them
+    if nothing else is on its circle. What lies to the left of the reversed sides
+    is open until something else closes it.
     """
-    yes, no, unknown = F.lit(True), F.lit(False), F.lit(INFINITY)
+    closed = F.lit(True) if alone is None else alone
+    no, unknown = F.lit(False), F.lit(INFINITY)
     own = F.array(_directed(a, b, certain, bound))
     around = F.array(
-        _directed(b, corner, yes, unknown),
-        _directed(corner, a, yes, unknown),
+        _directed(b, corner, closed, unknown),
+        _directed(corner, a, closed, unknown),
         _directed(corner, b, no, unknown),
         _directed(a, corner, no, unknown),
     )
@@ -253,6 +269,7 @@ def _outward(waiting: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFra
         .where(_reaches(limit))
         .join(points, ["sample_id", "box"])
         .where(_corner_offset("c") <= limit)
+        .withColumn("alone", F.count(F.lit(1)).over(per_side) == 1)
     )
     end = {
         name: F.struct(
@@ -262,7 +279,9 @@ def _outward(waiting: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFra
     }
     found = corners.select(
         "sample_id",
-        F.inline(_triangle_sides(end["a"], end["b"], F.col("c"), F.col("best"), F.lit(True))),
+        F.inline(
+            _triangle_sides(end["a"], end["b"], F.col("c"), F.col("best"), F.lit(True), F.col("alone"))
+        ),
     )
     settled = sides.withColumn("closed", F.lit(True))
     return found.unionByName(settled)
