@@ -19,7 +19,7 @@ def bundles(spark, sf_dir) -> str:
     """Counts and cells of the first cohort as text bundles."""
     path = scratch_path(spark, "bundles")
     counts = counts_l(spark, sf_dir)
-    sinks.write_bundles(cells_o(spark, sf_dir), counts, listed_genes(counts), path, cells_per_bundle=2_000)
+    sinks.write_bundles(cells_o(spark, sf_dir), counts, listed_genes(counts), path, cells_per_bundle=5_000)
     return path
 
 

@@ -85,7 +85,8 @@ def _near_lists(sites: DataFrame, k: int) -> DataFrame:
         F.col("rank").alias("no"), F.col("dst").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y")
     )
     full = F.count(F.lit(1)) == k
-    return near.groupBy("sample_id", "site", "x", "y").agg(
+    return near.groupBy("sid").agg(
+        *[F.first(name).alias(name) for name in ("sample_id", "site", "x", "y")],
         F.sort_array(F.collect_list(other)).alias("others"),
         # A list that is not full holds all other locations of its sample.
         F.when(full, F.max("d2")).otherwise(F.lit(INFINITY)).alias("seen2"),
@@ -99,18 +100,18 @@ def _near_bounds(lists: DataFrame) -> DataFrame:
     side, offset = b.side(*c), b.offset(*c)
     left, right = F.when(side == 1, offset), F.when(side == -1, offset)
     return (
-        lists.select("sample_id", "site", "x", "y", "others", F.explode("others").alias("q"))
+        lists.select("sid", "x", "y", "others", F.explode("others").alias("q"))
         .select(
-            "sample_id", "site", "x", "y", F.col("q.no").alias("no"), F.col("q.x").alias("qx"),
+            "sid", "x", "y", F.col("q.no").alias("no"), F.col("q.x").alias("qx"),
             F.col("q.y").alias("qy"), F.explode("others").alias("c"),
         )
         .select(
-            "sample_id", "site", "x", "y", "no", "qx", "qy", F.col("c.no").alias("cno"),
+            "sid", "x", "y", "no", "qx", "qy", F.col("c.no").alias("cno"),
             F.col("c.x").alias("cx"), F.col("c.y").alias("cy"),
         )
         .withColumns({"left": F.when(F.col("no") != F.col("cno"), left), "right": F.when(F.col("no") != F.col("cno"), right)})
         .withColumn("inside", (F.col("no") != F.col("cno")) & (side == 0) & (b.power(*c) < 0))
-        .groupBy("sample_id", "site", "no")
+        .groupBy("sid", "no")
         .agg(
             F.coalesce(F.max("right"), F.lit(-INFINITY)).alias("low"),
             F.coalesce(F.min("left"), F.lit(INFINITY)).alias("high"),
@@ -130,14 +131,14 @@ def _near_sides(sites: DataFrame, k: int) -> DataFrame:
 
     low, high = F.col("low"), F.col("high")
     smallest = F.greatest(F.least(F.lit(0.0), high), low)
-    p = F.struct(F.col("site").alias("id"), "x", "y")
+    p = F.struct(F.col("site").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"))
     q = F.col("q")
     tested = (
         _near_bounds(lists)
         .where((F.col("blocked") == 0) & ((low <= high) | (low - high <= _tolerance(low, high))))
-        .join(lists, ["sample_id", "site"])
+        .join(lists.withColumnsRenamed({"x": "px", "y": "py"}), "sid")
         .withColumns({"p": p, "q": listed("no"), "left": listed("left_no"), "right": listed("right_no")})
-        .withColumn("d2", F.pow(q["x"] - F.col("x"), F.lit(2.0)) + F.pow(q["y"] - F.col("y"), F.lit(2.0)))
+        .withColumn("d2", F.pow(q["x"] - F.col("px"), F.lit(2.0)) + F.pow(q["y"] - F.col("py"), F.lit(2.0)))
     )
 
     def diameter2(offset: Column) -> Column:
@@ -148,7 +149,7 @@ def _near_sides(sites: DataFrame, k: int) -> DataFrame:
     one_circle = (
         (F.abs(low) < INFINITY) & (F.abs(high) < INFINITY) & (F.abs(high - low) <= _tolerance(low, high))
     )
-    tied = F.max(one_circle.cast("int")).over(Window.partitionBy("sample_id", "site"))
+    tied = F.max(one_circle.cast("int")).over(Window.partitionBy("sid"))
 
     def certain(offset: Column) -> Column:
         """The corner is known, and so is everything else on its circle."""

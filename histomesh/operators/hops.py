@@ -17,12 +17,13 @@ def hop_rings(edges: DataFrame, layers: int = 3) -> DataFrame:
     """Nodes at exactly 1, 2, ... ``layers`` hops from every source.
 
     Returns ``(sample_id, src, hop, dst)``. A node belongs to the first ring that
-    reaches it; the source itself belongs to none. Each ring is written out, so a
-    lost executor repeats one hop and not all of them.
+    reaches it; the source itself belongs to none. Rings that later hops build on
+    are written out, so a lost executor repeats one hop and not all of them.
     """
     if layers < 1:
         raise ValueError("the number of layers must be positive")
-    links = cut(edges.where("src <> dst").select("sample_id", "src", "dst").distinct())
+    key = ["sample_id", "src", "dst"]
+    links = cut(edges.where("src <> dst").select(*key).distinct())
     rings = [links.withColumn("hop", F.lit(1))]
     step = links.withColumnsRenamed({"src": "via", "dst": "next"})
     for hop in range(2, layers + 1):
@@ -31,12 +32,12 @@ def hop_rings(edges: DataFrame, layers: int = 3) -> DataFrame:
             .select("sample_id", "src", F.col("dst").alias("via"))
             .join(step, ["sample_id", "via"])
             .where("next <> src")
-            .select("sample_id", "src", F.col("next").alias("dst"))
-            .distinct()
+            .select("sample_id", "src", F.col("next").alias("dst"), F.lit(hop).alias("hop"))
         )
-        earlier = reduce(DataFrame.unionByName, rings).select("sample_id", "src", "dst")
-        fresh = reached.join(earlier, ["sample_id", "src", "dst"], "left_anti")
-        rings.append(cut(fresh.withColumn("hop", F.lit(hop))))
+        # One aggregation both removes repeats and keeps the first ring.
+        seen = reduce(DataFrame.unionByName, [ring.select(*key, "hop") for ring in rings], reached)
+        fresh = seen.groupBy(*key).agg(F.min("hop").alias("hop")).where(F.col("hop") == hop)
+        rings.append(cut(fresh) if hop < layers else fresh)
     return reduce(DataFrame.unionByName, rings).select("sample_id", "src", "hop", "dst")
 
 

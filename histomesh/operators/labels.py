@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LABELS_PER_BUCKET = 1000
+BUCKETS = 64
 
 
 def label_slots(labels: DataFrame, name: str) -> DataFrame:
-    """Give each distinct label its own small integer.
+    """Give each distinct label its own integer, with few gaps.
 
-    Labels are numbered inside hash buckets of about a thousand, so that no task
-    has to see all of them; with up to a thousand labels the numbers are dense.
+    Labels are numbered inside hash buckets, so no task has to see all of them.
     """
     distinct = labels.select(name).where(F.col(name).isNotNull()).distinct()
-    buckets = distinct.select(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / LABELS_PER_BUCKET))
-    ).scalar()
-    bucketed = distinct.withColumn("buckets", buckets).withColumn(
-        "bucket", F.pmod(F.xxhash64(name), F.col("buckets"))
-    )
+    bucketed = distinct.withColumn("bucket", F.pmod(F.xxhash64(name), F.lit(BUCKETS)))
     order = Window.partitionBy("bucket").orderBy(name)
-    slot = F.col("bucket") + F.col("buckets") * (F.row_number().over(order) - 1)
-    return bucketed.select(name, slot.alias("slot"))
+    slot = F.col("bucket") + BUCKETS * (F.row_number().over(order) - 1)
+    return bucketed.select(name, slot.cast("long").alias("slot"))
 
 
 def with_every_label(groups: DataFrame, labels: DataFrame, name: str) -> DataFrame:

@@ -65,7 +65,9 @@ def curve_order(sites: DataFrame, frame: Frame) -> DataFrame:
 def with_reach(sites: DataFrame, frame: Frame, k: int, radius: float | None = None) -> DataFrame:
     """Add ``reach2``, a squared distance that covers at least k other locations.
 
-    A location with fewer than k others on its tile gets the whole frame.
+    A location with fewer than k others on its tile gets the whole frame. ``sid``
+    numbers the locations of all samples; the caller materialises the result, so
+    the numbers stay and can stand in for the two text keys.
     """
     around = F.collect_list(F.struct("x", "y")).over(
         Window.partitionBy("sample_id", "tile").orderBy("code", "site").rowsBetween(-k, k)
@@ -80,7 +82,10 @@ def with_reach(sites: DataFrame, frame: Frame, k: int, radius: float | None = No
     return (
         curve_order(sites, frame)
         .withColumn("around", around)
-        .select("sample_id", "site", "x", "y", "copies", reach2.alias("reach2"))
+        .select(
+            F.monotonically_increasing_id().alias("sid"),
+            "sample_id", "site", "x", "y", "copies", reach2.alias("reach2"),
+        )
     )
 
 
@@ -115,7 +120,7 @@ def within_reach(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
 def closest(pairs: DataFrame, count: int) -> DataFrame:
     """The ``count`` nearest targets of every site, ties by target id."""
-    order = Window.partitionBy("sample_id", "site").orderBy("d2", "dst")
+    order = Window.partitionBy("sid").orderBy("d2", "dst")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
 

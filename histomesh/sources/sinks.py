@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from histomesh.lineage import cut
 from histomesh.operators.composition import design_table
 
 # Fixed value: first line of a matrix text file with whole numbers.
@@ -73,22 +74,21 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
     )
     shard = F.pmod(F.xxhash64("cell_id"), F.col("shards")).alias("shard")
     members = cells.join(shards, "sample_id").select("*", shard).drop("shards")
-    barcodes = _numbered(members.select("shard", "sample_id", "cell_id"), "cell_id")
+    barcodes = cut(_numbered(members.select("shard", "sample_id", "cell_id"), "cell_id"))
     used = shards.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    panel = _numbered(used.join(genes.select("sample_id", "gene").distinct(), "sample_id"), "gene")
+    panel = cut(_numbered(used.join(genes.select("sample_id", "gene").distinct(), "sample_id"), "gene"))
 
-    entries = (
-        counts.where("n <> 0")
-        .join(barcodes.withColumnRenamed("place", "cell_ix"), ["sample_id", "cell_id"])
-        .join(panel.withColumnRenamed("place", "gene_ix"), ["shard", "sample_id", "gene"])
+    placed = counts.where("n <> 0").join(
+        barcodes.withColumnRenamed("place", "cell_ix"), ["sample_id", "cell_id"]
     )
+    entries = placed.join(panel.withColumnRenamed("place", "gene_ix"), ["shard", "sample_id", "gene"])
     keys = ["shard", "sample_id"]
     total = F.count(F.lit(1))
     sizes = (
         barcodes.groupBy(*keys)
         .agg(total.alias("cells"))
         .join(panel.groupBy(*keys).agg(total.alias("genes")), keys)
-        .join(entries.groupBy(*keys).agg(total.alias("entries")), keys, "left")
+        .join(placed.groupBy(*keys).agg(total.alias("entries")), keys, "left")
     )
     size_line = F.concat_ws(" ", "genes", "cells", F.coalesce("entries", F.lit(0)))
     heads = sizes.select(
