@@ -41,3 +41,23 @@ def m03(spark, sf_dir):
     return scores.select(
         "sample_id", "cell_id", *[F.round(F.abs(F.col("embedding")[i]), 4).alias(f"pc{i + 1}") for i in range(5)]
     )
+
+
+@query(
+    "m03_expression_itself",
+    f"""WITH {COUNTS_L}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS ix FROM (SELECT DISTINCT gene FROM counts_l))
+        SELECT c.sample_id, c.cell_id, CAST(coalesce(max(n) FILTER (ix = 1), 0) AS DOUBLE) AS first,
+          CAST(coalesce(max(n) FILTER (ix = (SELECT max(ix) FROM g)), 0) AS DOUBLE) AS last,
+          CAST(coalesce(sum(n), 0) AS DOUBLE) AS total
+        FROM cells_o c LEFT JOIN (SELECT * FROM counts_l JOIN g USING (gene)) x USING (sample_id, cell_id) GROUP BY ALL""",
+)
+def m03_expression(spark, sf_dir):
+    expression = m.log_normalize(counts_l(spark, sf_dir), None)
+    vectors = m.cell_representation(cells_o(spark, sf_dir), expression, "X")
+    return vectors.select(
+        "sample_id",
+        "cell_id",
+        F.element_at("embedding", 1).alias("first"),
+        F.element_at("embedding", -1).alias("last"),
+        F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v).alias("total"),
+    )

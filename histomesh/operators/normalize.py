@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histomesh.lineage import cut
 from histomesh.operators.checks import CheckFailed
@@ -66,57 +67,84 @@ def log_normalize(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
     )
 
 
+# The widest vector the component fit accepts.
+WIDEST_PANEL = 65_535
+
+
 def gene_index(genes: DataFrame) -> DataFrame:
-    """Genes in name order, numbered from zero; one row per gene of the panel."""
+    """Genes in name order, numbered from zero; a panel of bounded, checked size."""
     listed = genes.select("gene").distinct()
+    size = listed.count()
+    if size > WIDEST_PANEL:
+        raise ValueError(f"{size} genes; a cell vector can have at most {WIDEST_PANEL}")
     names = F.sort_array(F.collect_list("gene"))
     return listed.agg(F.posexplode(names).alias("ix", "gene"))
 
 
-def pca_representation(expression: DataFrame, cells: DataFrame, k: int = 30) -> DataFrame:
-    """Principal components of expression after centring each sample.
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _dense(entries: pd.Series, means: pd.Series, size: pd.Series) -> pd.Series:
+    """Sparse entries as dense rows, minus the means of their sample."""
+    rows = []
+    for own, average, length in zip(entries, means, size):
+        row = np.zeros(length)
+        for part, sign in ((average, -1.0), (own, 1.0)):
+            for item in () if part is None else part:
+                row[item["ix"]] += sign * item["x"]
+        rows.append(row)
+    return pd.Series(rows)
+
+
+def expression_vectors(expression: DataFrame, cells: DataFrame, centre: bool = False) -> DataFrame:
+    """One dense array per cell over the gene panel, optionally centred per sample.
 
     ``expression(sample_id, cell_id, gene, x)`` holds non-zero entries only;
     cells without any still get a row. Cells travel as sparse pairs and become
-    dense, centred vectors only inside a task. Every vector is one gene panel
-    long, whatever the number of cells.
+    dense only inside a task. Every array is one panel long, however many cells.
     """
     index = cut(gene_index(expression))
-    size = index.count()
-    if not 1 <= k <= size:
-        raise ValueError(f"k must lie between 1 and the number of genes, {size}")
-    indexed = expression.join(F.broadcast(index) if size <= 1_000_000 else index, "gene")
+    indexed = expression.join(F.broadcast(index), "gene")
     keys = cells.select("sample_id", "cell_id")
-    members = keys.groupBy("sample_id").agg(F.count(F.lit(1)).alias("members"))
-    means = (
-        indexed.groupBy("sample_id", "ix")
-        .agg(F.sum("x").alias("s"))
-        .join(members, "sample_id")
-        .groupBy("sample_id")
-        .agg(F.collect_list(F.struct("ix", (F.col("s") / F.col("members")).alias("x"))).alias("means"))
-    )
     sparse = indexed.groupBy("sample_id", "cell_id").agg(
         F.collect_list(F.struct("ix", "x")).alias("entries")
     )
+    joined = keys.join(sparse, ["sample_id", "cell_id"], "left")
+    if centre:
+        members = keys.groupBy("sample_id").agg(F.count(F.lit(1)).alias("members"))
+        average = F.struct("ix", (F.col("s") / F.col("members")).alias("x"))
+        means = (
+            indexed.groupBy("sample_id", "ix")
+            .agg(F.sum("x").alias("s"))
+            .join(members, "sample_id")
+            .groupBy("sample_id")
+            .agg(F.collect_list(average).alias("means"))
+        )
+        joined = joined.join(means, "sample_id", "left")
+    else:
+        joined = joined.withColumn("means", F.lit(None).cast("array<struct<ix:int,x:double>>"))
+    vector = _dense("entries", "means", F.lit(index.count()))
+    return joined.select("sample_id", "cell_id", vector.alias("embedding"))
 
-    @F.pandas_udf("array<double>")
-    def centred(entries: pd.Series, means: pd.Series) -> pd.Series:
-        rows = []
-        for own, average in zip(entries, means):
-            row = np.zeros(size)
-            for part, sign in ((average, -1.0), (own, 1.0)):
-                for item in () if part is None else part:
-                    row[item["ix"]] += sign * item["x"]
-            rows.append(row)
-        return pd.Series(rows)
-
-    dense = (
-        keys.join(sparse, ["sample_id", "cell_id"], "left")
-        .join(means, "sample_id", "left")
-        .select("sample_id", "cell_id", array_to_vector(centred("entries", "means")).alias("features"))
-    )
-    dense = cut(dense)
+
+def pca_representation(expression: DataFrame, cells: DataFrame, k: int = 30) -> DataFrame:
+    """Principal components of expression after centring each sample."""
+    size = expression.select("gene").distinct().count()
+    if not 1 <= k <= size:
+        raise ValueError(f"k must lie between 1 and the number of genes, {size}")
+    vectors = expression_vectors(expression, cells, centre=True)
+    dense = cut(vectors.select("sample_id", "cell_id", array_to_vector("embedding").alias("features")))
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(dense)
     return model.transform(dense).select(
         "sample_id", "cell_id", vector_to_array("scores").alias("embedding")
     )
+
+
+def cell_representation(cells: DataFrame, expression: DataFrame, use: str | None = "X_pca", k: int = 30) -> DataFrame:
+    """The named array column if the cells have it, ``X`` itself, or components.
+
+    ``None`` and ``"X"`` mean expression; any other name that is absent is made.
+    """
+    if use in (None, "X"):
+        return expression_vectors(expression, cells)
+    if use in cells.columns:
+        return cells.select("sample_id", "cell_id", F.col(use).alias("embedding"))
+    return pca_representation(expression, cells, k)

@@ -21,7 +21,10 @@ def write_by_sample(df: DataFrame, path: str) -> None:
 
 
 def part_manifest(cells: DataFrame) -> DataFrame:
-    """Samples in order with deterministic part names and their cell counts."""
+    """Samples in order with deterministic part names and their cell counts.
+
+    The order is over one row per sample, as in a sample sheet, never over cells.
+    """
     design = design_table(cells)
     place = F.row_number().over(Window.orderBy("sample_id", "condition"))
     return design.select(

@@ -291,6 +291,17 @@ def test_representation_is_centred_within_samples(spark):
     assert len(means) == 2 and all(abs(r["m"]) < 1e-9 for r in means)
 
 
+def test_representation_is_reused_or_made(spark):
+    x = spark.createDataFrame([("s", "1", "G", 2.0), ("s", "2", "H", 3.0)], "sample_id string, cell_id string, gene string, x double")
+    cells = spark.createDataFrame([("s", "1", [9.0]), ("s", "2", [8.0]), ("s", "3", [7.0])], "sample_id string, cell_id string, own array<double>")
+    plain = {r["cell_id"]: r["embedding"] for r in m.cell_representation(cells, x, "X").collect()}
+    assert plain == {"1": [2.0, 0.0], "2": [0.0, 3.0], "3": [0.0, 0.0]}
+    assert {r["embedding"][0] for r in m.cell_representation(cells, x, "own").collect()} == {9.0, 8.0, 7.0}
+    assert len(m.cell_representation(cells, x, "X_pca", k=1).first()["embedding"]) == 1
+    with pytest.raises(ValueError):
+        m.pca_representation(x, cells, 3)
+
+
 def test_label_agreement_by_hand(spark):
     pairs = spark.createDataFrame([("0", "0"), ("0", "0"), ("0", "1"), ("1", "1")], "a string, b string")
     # One pair together in both; three and two together in each.
