@@ -9,6 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as repo
+from catalog import registry
 
 DATA = "/root/testdata/sf0.001"
 ROWS_ONLY = {"g03_delaunay_orders", "k01_fit_range", "k05_assign_domains", "m03_representation"}
@@ -31,12 +32,13 @@ def plain(rows, columns):
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    assert set(repo.oracle_sql()) | ROWS_ONLY == set(repo.queries())
-    assert not set(repo.oracle_sql()) & ROWS_ONLY
+    assert set(registry.SQL) | ROWS_ONLY == set(registry.QUERIES)
+    assert not set(registry.SQL) & ROWS_ONLY
+    assert set(registry.QUERIES) <= set(repo.queries())
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(repo.oracle_sql()) if os.environ.get("CATALOG") == "all" else QUICK)
+@pytest.mark.parametrize("name", sorted(registry.SQL) if os.environ.get("CATALOG") == "all" else QUICK)
 def test_query_matches_its_twin(spark, name):
     import duckdb
 
