@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import imatch, minhash, mixing, ring
+from histomesh.llm import imatch, minhash, mixing, packing, ring
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -44,6 +44,19 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    packed = packing.pack(docs, tokenizer_file())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
