@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import imatch, minhash, mixing, packing, ring
+from histomesh.llm import imatch, langid, minhash, mixing, packing, ring
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -112,3 +112,12 @@ def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    net = langid.fit(docs.filter(fold != 1))
+    held_out = F.coalesce(fold == 1, F.lit(False))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
