@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import imatch, langid, minhash, mixing, packing, ring
+from histomesh.llm import imatch, langid, minhash, mixing, packing, personal, ring
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -39,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return pick(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+@query
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = personal.train(personal.stretches(docs))
+    found = personal.find_personal(docs, field)
+    counts = [f"n_{kind}" for kind in personal.BASE]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
