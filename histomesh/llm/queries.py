@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import covertree, imatch, langid, minhash, mixing, packing, personal, ring, suffix
+from histomesh.llm import covertree, imatch, langid, licenses, minhash, mixing, packing, personal, ring, suffix
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -100,6 +100,11 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
