@@ -27,9 +27,9 @@ SPAN = 1024
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms of a text; an empty array without any."""
+    """Distinct terms of a text, and the empty term, which is in every text."""
     found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.array_remove(F.array_distinct(found), "")
+    return F.array_distinct(F.concat(found, F.array(F.lit(""))))
 
 
 def lexicon(texts: DataFrame, column: str, low: float = 0.001, high: float = 0.05) -> DataFrame:
@@ -38,7 +38,7 @@ def lexicon(texts: DataFrame, column: str, low: float = 0.001, high: float = 0.0
     Every text counts, copies too. The bounds are shares of documents, that is, the band of
     inverse document frequency from -log(high) to -log(low).
     """
-    held = texts.select(F.explode(terms(F.col(column))).alias("t")).select(F.xxhash64("t").alias("term"))
+    held = texts.select(F.explode(terms(F.col(column))).alias("t")).filter("t <> ''").select(F.xxhash64("t").alias("term"))
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = texts.agg(F.count(F.lit(1)).alias("total"))
     return counts.join(F.broadcast(total), (F.col("n") >= low * F.col("total")) & (F.col("n") <= high * F.col("total"))).select("term")
@@ -54,47 +54,43 @@ def slots(term: Column) -> Column:
     return F.array_compact(F.array(*parts))
 
 
-def _entry(version: int):
-    """Turns a term into an entry of one of a row's texts."""
-    return lambda t: F.struct(F.lit(version).alias("v"), t.alias("t"), F.lit(None).cast("long").alias("whole"))
-
-
-def fingerprints(rows: DataFrame, texts: dict[str, str], words: DataFrame, home: str, row_id: list[str]) -> DataFrame:
+def fingerprints(rows: DataFrame, texts: dict[str, str], facts: Column, words: DataFrame, home: str, nth: str) -> DataFrame:
     """Fingerprint arrays of several text columns of every row.
 
-    ``rows`` is dealt out by ``home``, and ``home`` with ``row_id`` names a row; ``texts`` gives
-    the result column for each text column. Rows stay where they are: only ``words`` travels.
-    A text without lexicon terms has the one hash of all its terms, marked by slot -1; a
-    text without terms that of no terms. Returns home, row_id and the result columns.
+    ``rows`` is dealt out by ``home``, and ``home`` with ``nth`` names a row; ``texts`` gives the
+    result column for each text column. Rows stay where they are: only ``words`` travels, and
+    ``facts`` goes along in one entry of the row. A text without lexicon terms has the one hash
+    of all its terms, marked by slot -1; a text without terms that of no terms.
+    Returns home, nth, facts and the result columns.
     """
     names = list(texts)
-    entries = []
-    for k, name in enumerate(names):
-        found = terms(F.col(name))
-        whole = F.xxhash64(F.lit(-1).cast("long"), F.array_sort(found))
-        entries.append(F.transform(found, _entry(k)))
-        entries.append(F.array(F.struct(F.lit(k).alias("v"), F.lit("").alias("t"), whole.alias("whole"))))
-    spread = rows.select(home, *row_id, F.explode(F.flatten(F.array(*entries))).alias("e"))
-    spread = spread.select(
-        home, *row_id, "e.v", "e.whole", F.when(F.col("e.t") != "", F.xxhash64("e.t")).otherwise(F.lit(0).cast("long")).alias("term")
-    )
-    known = words.select("term").union(words.sparkSession.sql("SELECT 0L AS term")).distinct()
+    entries = [F.struct(F.lit(k).alias("v"), F.col(name).alias("text"), F.lit(None).cast("string").alias("facts")) for k, name in enumerate(names)]
+    entries.append(F.struct(F.lit(len(names)).alias("v"), F.lit("").alias("text"), facts.alias("facts")))
+    spread = rows.select(home, nth, F.explode(F.array(*entries)).alias("e"))
+    found = terms(F.col("e.text"))
+    whole = F.xxhash64(F.lit(-1).cast("long"), F.array_sort(found))  # once a text: before the terms are spread
+    spread = spread.select(home, nth, "e.v", "e.facts", found.alias("found"), whole.alias("whole"))
+    spread = spread.select(home, nth, "v", "facts", "whole", F.explode("found").alias("t"))
+    spread = spread.withColumn("term", F.when(F.col("t") != "", F.xxhash64("t")).otherwise(F.lit(0).cast("long")))
+    known = cut(words.select("term").union(words.sparkSession.sql("SELECT 0L AS term")).distinct())
     if known.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
     spread = spread.join(known, "term")
     slot = F.explode(F.when(F.col("term") == 0, F.array(F.lit(-1).cast("long"))).otherwise(slots(F.col("term"))))
-    spread = spread.select(home, *row_id, "v", "whole", "term", slot.alias("slot"))
-    keys = [home, *row_id, "v"]
-    sets = spread.groupBy(*keys, "slot").agg(F.max("whole").alias("whole"), F.array_sort(F.collect_set("term")).alias("set"))
-    sets = sets.select(*keys, "whole", F.when(F.col("slot") >= 0, F.xxhash64("slot", "set")).alias("h"), "slot")
-    prints = sets.groupBy(*keys).agg(
-        F.max("whole").alias("whole"),
-        F.collect_list(F.when(F.col("h").isNotNull(), F.struct("slot", "h"))).alias("found"),
+    spread = spread.select(home, nth, "v", "facts", "whole", "term", slot.alias("slot"))
+    keys = [home, nth, "v"]
+    sets = spread.groupBy(*keys, "slot").agg(F.max("whole").alias("whole"), F.max("facts").alias("facts"), F.array_sort(F.collect_list("term")).alias("set"))
+    sets = sets.select(*keys, "whole", "facts", F.when(F.col("slot") >= 0, F.struct("slot", F.xxhash64("slot", "set").alias("h"))).alias("e"))
+    prints = sets.groupBy(home, nth).agg(
+        F.max("facts").alias("facts"),
+        *[F.collect_list(F.when(F.col("v") == k, F.col("e"))).alias(f"p{k}") for k in range(len(names))],
+        *[F.max(F.when(F.col("v") == k, F.col("whole"))).alias(f"w{k}") for k in range(len(names))],
     )
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("slot"), F.col("whole").alias("h")))
-    prints = prints.select(*keys, F.when(F.size("found") > 0, F.array_sort("found")).otherwise(whole).alias("print"))
-    picked = [F.max(F.when(F.col("v") == k, F.col("print"))).alias(texts[name]) for k, name in enumerate(names)]
-    return prints.groupBy(home, *row_id).agg(*picked)
+    picked = []
+    for k, name in enumerate(names):
+        alone = F.array(F.struct(F.lit(-1).cast("long").alias("slot"), F.col(f"w{k}").alias("h")))
+        picked.append(F.when(F.size(f"p{k}") > 0, F.array_sort(f"p{k}")).otherwise(alone).alias(texts[name]))
+    return prints.select(home, nth, "facts", *picked)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -181,15 +177,15 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.lead("text").over(line), F.lit(1), half)),
         ).alias("edited"),
     )
-    facts = ["key", "carried", "n_chars", "sha"]
-    rows = rows.withColumn("sha", F.sha2("edited", 256))
-    prints = fingerprints(rows, {"text": "print", "edited": "edited_print"}, words, "home", ["nth", *facts])
+    facts = F.concat_ws(":", F.col("carried").cast("string"), F.col("n_chars").cast("string"), F.sha2("edited", 256), F.col("key").cast("string"))
+    prints = fingerprints(rows, {"text": "print", "edited": "edited_print"}, facts, words, "home", "nth")
     follow = F.lead("print").over(Window.partitionBy("home").orderBy("nth"))
-    prints = prints.withColumn("next_print", follow).filter(~F.col("carried"))
+    fact = F.split("facts", ":", 4)
+    prints = prints.withColumn("next_print", follow).filter(fact[0] == "false")
     return prints.select(
-        F.col("key").alias(key),
-        "n_chars",
-        F.col("sha").alias("edited_sha256"),
+        F.try_element_at(fact, F.lit(4)).cast(docs.schema["key"].dataType).alias(key),
+        fact[1].cast("long").alias("n_chars"),
+        fact[2].alias("edited_sha256"),
         shown(F.col("print")).alias("fingerprint"),
         shown(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
