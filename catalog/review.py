@@ -68,46 +68,50 @@ def a17(spark, sf_dir):
     return r.compartments(abundance(spark, sf_dir))
 
 
+def _columns(label: str, value: str, labels: tuple[str, ...]) -> str:
+    """One column per label, 0 where there is no row for it."""
+    return ", ".join(f"""coalesce(max(round({value}, 6)) FILTER ({label} = '{x}'), 0) AS "{x}\"""" for x in labels)
+
+
+TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+CONDITIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+BY_TYPE = _columns("neighbor_cell_type", "mean_neighbor_fraction", TYPES)
+
+
 @query(
     "a18_fraction_matrix",
-    f"""WITH {NEIGHBORS} SELECT * FROM (
-      PIVOT (SELECT condition, source_cell_type, neighbor_cell_type, round(mean_neighbor_fraction, 6) AS f
-             FROM summary WHERE compartment = 'O')
-      ON neighbor_cell_type USING coalesce(max(f), 0) GROUP BY condition, source_cell_type)""",
+    f"""WITH {NEIGHBORS} SELECT condition, source_cell_type, {BY_TYPE}
+        FROM summary WHERE compartment = 'O' GROUP BY condition, source_cell_type""",
 )
 def a18(spark, sf_dir):
-    return rounded(r.fraction_matrix(summary(spark, sf_dir), "O"))
+    return rounded(r.fraction_matrix(summary(spark, sf_dir), "O", columns=TYPES))
 
 
 @query(
     "a18_fraction_matrix_one_source",
-    f"""WITH {NEIGHBORS} SELECT * FROM (
-      PIVOT (SELECT condition, neighbor_cell_type, round(mean_neighbor_fraction, 6) AS f
-             FROM summary WHERE compartment = 'O' AND source_cell_type = '1-URGENT')
-      ON neighbor_cell_type USING coalesce(max(f), 0) GROUP BY condition)""",
+    f"""WITH {NEIGHBORS} SELECT condition, {BY_TYPE}
+        FROM summary WHERE compartment = 'O' AND source_cell_type = '1-URGENT' GROUP BY condition""",
 )
 def a18_one(spark, sf_dir):
-    return rounded(r.fraction_matrix(summary(spark, sf_dir), "O", "1-URGENT"))
+    return rounded(r.fraction_matrix(summary(spark, sf_dir), "O", "1-URGENT", columns=TYPES))
 
 
 @query(
     "a19_overview_matrix",
-    f"""WITH {OVERVIEW} SELECT * FROM (
-      PIVOT (SELECT condition, compartment, round(mean_sample_fraction, 6) AS f FROM overview)
-      ON condition USING coalesce(max(f), 0) GROUP BY compartment)""",
+    f"""WITH {OVERVIEW} SELECT compartment, {_columns("condition", "mean_sample_fraction", CONDITIONS)}
+        FROM overview GROUP BY compartment""",
 )
 def a19(spark, sf_dir):
-    return rounded(r.overview_matrix(r.domain_overview(abundance(spark, sf_dir))))
+    return rounded(r.overview_matrix(r.domain_overview(abundance(spark, sf_dir)), columns=CONDITIONS))
 
 
 @query(
     "a20_composition_matrix",
-    f"""WITH {COMPOSITION} SELECT * FROM (
-      PIVOT (SELECT condition, cell_type, round(mean_fraction, 6) AS f FROM composition)
-      ON condition USING coalesce(max(f), 0) GROUP BY cell_type)""",
+    f"""WITH {COMPOSITION} SELECT cell_type, {_columns("condition", "mean_fraction", CONDITIONS)}
+        FROM composition GROUP BY cell_type""",
 )
 def a20(spark, sf_dir):
-    return rounded(r.composition_matrix(r.domain_composition(abundance(spark, sf_dir), "O")))
+    return rounded(r.composition_matrix(r.domain_composition(abundance(spark, sf_dir), "O"), columns=CONDITIONS))
 
 
 @query(

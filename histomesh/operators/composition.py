@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
 from histomesh.operators.labels import with_every_label
+from histomesh.operators.roles import column
 
 # Fixed value: the compartment name of whole-sample rows.
 WHOLE_SAMPLE = "all"
@@ -172,8 +173,10 @@ def unpivot_types(matrix: DataFrame, value: str) -> DataFrame:
     """A wide table with one column per neighbour type as directed-pair rows."""
     keys = [*GROUP, "source_cell_type"]
     types = [name for name in matrix.columns if name not in keys]
-    as_double = matrix.select(*keys, *[F.col(name).cast("double") for name in types])
-    return as_double.unpivot(keys, types, "neighbor_cell_type", value)
+    pairs = [F.struct(F.lit(t).alias("neighbor_cell_type"), column(t).cast("double").alias(value)) for t in types]
+    if not pairs:
+        return matrix.select(*keys, F.lit("").alias("neighbor_cell_type"), F.lit(0.0).alias(value)).limit(0)
+    return matrix.select(*keys, F.inline(F.array(*pairs)))
 
 
 def matrices_to_long(

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.operators.composition import WHOLE_SAMPLE
@@ -54,12 +52,19 @@ def domain_composition(abundance: DataFrame, compartment: str) -> DataFrame:
     )
 
 
-def _labels(df: DataFrame, name: str, limit: int = 10_000) -> list[str]:
-    """Sorted values that will become columns; far more would not be a table."""
-    found = [row[0] for row in df.select(name).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{name} has more than {limit} values; use the long table instead")
-    return sorted(found)
+def _wide(table: DataFrame, keys: list[str], label: str, value: Column, columns: list | None) -> DataFrame:
+    """One column per label; where a key has no row for it, 0.
+
+    Labels become the schema, so unless the caller names them they are read from the
+    table: one row per label, which is as many as the result has columns. A null label
+    makes the column ``null``.
+    """
+    if columns is None:
+        found = [row[0] for row in table.select(label).distinct().collect()]
+        columns = sorted((x for x in found if x is not None)) + [None] * (None in found)
+    own = F.col(label)
+    cells = [F.coalesce(F.max(F.when(own.eqNullSafe(F.lit(x)), value)), F.lit(0.0)).alias("null" if x is None else x) for x in columns]
+    return table.groupBy(*keys).agg(*cells) if cells else table.select(*keys).distinct()
 
 
 def _single(name: str, keys: list[str]):
@@ -68,43 +73,30 @@ def _single(name: str, keys: list[str]):
     return F.when(F.count(name) > 1, F.raise_error(explain)).otherwise(F.max(name))
 
 
-def fraction_matrix(summary: DataFrame, compartment: str, source: str | None = None) -> DataFrame:
-    """Mean neighbour fractions with one column per neighbour type."""
+def fraction_matrix(summary: DataFrame, compartment: str, source: str | None = None, columns: list | None = None) -> DataFrame:
+    """Mean neighbour fractions with one column per neighbour type (``columns``, or all there are)."""
     chosen = summary.where(F.col("compartment") == str(compartment))
     keys = ["condition", "source_cell_type"]
     if source is not None:
         chosen = chosen.where(F.col("source_cell_type") == str(source))
         keys = ["condition"]
-    types = _labels(chosen, "neighbor_cell_type")
     checked = chosen.groupBy(*keys, "neighbor_cell_type").agg(
         _single("mean_neighbor_fraction", [*keys, "neighbor_cell_type"]).alias("value")
     )
-    return checked.groupBy(*keys).pivot("neighbor_cell_type", types).agg(F.max("value")).na.fill(0.0, types)
+    return _wide(checked, keys, "neighbor_cell_type", F.col("value"), columns)
 
 
-def overview_matrix(overview: DataFrame) -> DataFrame:
+def overview_matrix(overview: DataFrame, columns: list | None = None) -> DataFrame:
     """Mean share of every compartment with one column per condition."""
-    conditions = _labels(overview, "condition")
-    return (
-        overview.groupBy("compartment")
-        .pivot("condition", conditions)
-        .agg(F.max("mean_sample_fraction"))
-        .na.fill(0.0, conditions)
-    )
+    return _wide(overview, ["compartment"], "condition", F.col("mean_sample_fraction"), columns)
 
 
-def composition_matrix(composition: DataFrame) -> DataFrame:
+def composition_matrix(composition: DataFrame, columns: list | None = None) -> DataFrame:
     """Mean fraction of every cell type per condition, largest maximum first."""
-    conditions = _labels(composition, "condition")
-    wide = (
-        composition.groupBy("cell_type")
-        .pivot("condition", conditions)
-        .agg(F.max("mean_fraction"))
-        .na.fill(0.0, conditions)
-    )
-    columns = [F.col(f"`{name}`") for name in conditions]
-    largest = reduce(lambda a, b: F.greatest(a, b), columns)
-    return wide.orderBy(F.desc(largest), "cell_type")
+    largest = composition.groupBy(F.col("cell_type").alias("of")).agg(F.max("mean_fraction").alias("largest"))
+    wide = _wide(composition, ["cell_type"], "condition", F.col("mean_fraction"), columns)
+    ranked = wide.join(largest, F.col("cell_type").eqNullSafe(F.col("of")))
+    return ranked.orderBy(F.desc("largest"), "cell_type").drop("of", "largest")
 
 
 def support_table(summary: DataFrame, compartment: str, source: str) -> DataFrame:

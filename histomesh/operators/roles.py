@@ -33,6 +33,11 @@ class Roles:
         return {role: name for role, name in asdict(self).items() if name is not None}
 
 
+def column(name: str):
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def missing_columns(df: DataFrame, names) -> list[str]:
     return [name for name in names if name not in df.columns]
 
@@ -43,10 +48,10 @@ def bind_roles(df: DataFrame, roles: Roles, keep_others: bool = True) -> DataFra
     absent = missing_columns(df, bound.values())
     if absent:
         raise KeyError(f"missing required columns: {', '.join(absent)}")
-    chosen = [F.col(name).cast("string").alias(role) for role, name in bound.items()]
+    chosen = [column(name).cast("string").alias(role) for role, name in bound.items()]
     if keep_others:
         taken = set(bound.values()) | set(bound)
-        chosen += [F.col(name) for name in df.columns if name not in taken]
+        chosen += [column(name) for name in df.columns if name not in taken]
     return df.select(*chosen)
 
 
@@ -61,7 +66,7 @@ def with_coordinates(df: DataFrame, images: bool = False) -> DataFrame:
     pair = coordinate_pair(df.columns, images)
     if pair is None:
         raise ValueError("the table has no complete pair of coordinate columns")
-    others = [F.col(name) for name in df.columns if name not in ("x", "y", *pair)]
+    others = [column(name) for name in df.columns if name not in ("x", "y", *pair)]
     return df.select(
         *others, F.col(pair[0]).cast("double").alias("x"), F.col(pair[1]).cast("double").alias("y")
     )
@@ -75,7 +80,7 @@ def embedding_array(df: DataFrame, keys=("sample_id", "cell_id"), name: str = "e
         if isinstance(field.dataType, T.NumericType) and field.name not in keys
     ]
     present = [key for key in keys if key in df.columns]
-    return df.select(*present, F.array(*[F.col(c).cast("double") for c in numeric]).alias(name))
+    return df.select(*present, F.array(*[column(c).cast("double") for c in numeric]).alias(name))
 
 
 def stamp_source(df: DataFrame, sample_id: str, condition: str) -> DataFrame:

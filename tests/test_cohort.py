@@ -197,17 +197,21 @@ def test_coordinates_come_from_the_first_complete_source(spark):
         a.first_complete_coordinates(cells, [partial, infinite])
 
 
-def parity_side(spark, conditions=("ctrl", "ctrl", "drug", "drug"), extra=0, order=(0, 1, 2, 3), shift=0.0):
-    labels = [("A1", "A", "A one"), ("A2", "A", "A two"), ("B1", "B", "B one"), ("B2", "B", "B two")]
+PLACES = [("p", 0), ("p", 1), ("p", 2), ("q", 3), ("q", 4), ("r", 5)]
+PANEL = ["H1", "H2", "H3", "H4", "H5"]
+
+
+def parity_side(spark, conditions=("wild", "wild", "wild", "knocked", "knocked", "treated"), extra=0, order=(0, 1, 2, 3, 4, 5), shift=0.0):
+    """Six cells in three samples; every value follows from the number of the cell."""
     rows = []
     for place, i in enumerate(order):
-        x = float(i) + shift
-        rows.append((f"s{i // 2}", f"c{i}", conditions[i], *labels[i], x, 2.0 * i, x, 2.0 * i, place))
+        x, y = 10.0 - 1.5 * i + shift, 0.25 * i * i
+        rows.append((PLACES[i][0], f"n{i}", conditions[i], f"k{7 * i % 5}", f"t{i % 3}", f"type {i % 3}", x, y, x, y, place))
     fields = "sample_id string, cell_id string, condition string, cluster_sub string, celltype_short string, celltype_full string, centroid_x double, centroid_y double, x double, y double, position long"
-    counts = [(f"s{i // 2}", f"c{i}", g, n) for i, g, n in [(0, "G1", 1), (0, "G3", 2), (1, "G2", 3), (2, "G1", 4 + extra), (3, "G2", 0)]]
+    counts = [(s, f"n{i}", g, (3 * i + 2 * k) % 4 + (extra if (i, k) == (4, 3) else 0)) for s, i in PLACES for k, g in enumerate(PANEL) if (i + k) % 2]
     return {
         "cells": spark.createDataFrame(rows, fields),
-        "genes": spark.createDataFrame([(0, "G1"), (1, "G2"), (2, "G3")], "position long, gene string"),
+        "genes": spark.createDataFrame(list(enumerate(PANEL)), "position long, gene string"),
         "counts": spark.createDataFrame(counts, "sample_id string, cell_id string, gene string, n long"),
     }
 
@@ -217,8 +221,8 @@ def outcome(report):
 
 
 def test_parity_of_a_permuted_copy(spark):
-    new, old = parity_side(spark, order=(2, 0, 3, 1)), parity_side(spark)
-    report = p.parity_report(new, old, expected_samples=2)
+    new, old = parity_side(spark, order=(4, 1, 5, 0, 3, 2)), parity_side(spark)
+    report = p.parity_report(new, old, expected_samples=3)
     assert p.report_status(report) == "pass"
     identity = p.identity_diff(new["cells"], old["cells"]).first()
     assert identity["passed"] and not identity["same_order"]
@@ -228,31 +232,31 @@ def test_parity_of_a_permuted_copy(spark):
     "change, failing",
     [
         ({"extra": 1}, {"raw_counts"}),
-        ({"conditions": ("ctrl",) * 4}, {"conditions"}),
-        ({"conditions": ("ctrl", "drug", "drug", "drug")}, {"conditions"}),
+        ({"conditions": ("wild",) * 6}, {"conditions"}),
+        ({"conditions": ("wild", "wild", "knocked", "knocked", "knocked", "treated")}, {"conditions"}),
         ({"shift": 1e-3}, {"coordinates"}),
     ],
 )
 def test_parity_finds_each_difference(spark, change, failing):
-    report = p.parity_report(parity_side(spark, **change), parity_side(spark), expected_samples=2)
+    report = p.parity_report(parity_side(spark, **change), parity_side(spark), expected_samples=3)
     assert {k for k, ok in outcome(report).items() if not ok} == failing
     assert p.report_status(report) == "fail"
 
 
 def test_parity_skips_what_cannot_be_compared(spark):
     new, old = parity_side(spark), parity_side(spark)
-    fewer = {**new, "cells": new["cells"].where("cell_id <> 'c1'")}
-    result = outcome(p.parity_report(fewer, old, expected_samples=2))
+    fewer = {**new, "cells": new["cells"].where("cell_id <> 'n2'")}
+    result = outcome(p.parity_report(fewer, old, expected_samples=3))
     assert result["gene_order"] and not any(v for k, v in result.items() if k != "gene_order")
-    renamed = {**new, "genes": new["genes"].replace("G2", "g2")}
-    result = outcome(p.parity_report(renamed, old, expected_samples=2))
+    renamed = {**new, "genes": new["genes"].replace("H4", "h4")}
+    result = outcome(p.parity_report(renamed, old, expected_samples=3))
     assert {k for k, ok in result.items() if not ok} == {"gene_order", "raw_counts"}
     first = p.feature_order_diff(renamed["genes"], old["genes"]).first()
-    assert (first["position"], first["new"], first["reference"]) == (1, "g2", "G2")
-    shorter = p.feature_order_diff(new["genes"].where("position < 2"), old["genes"]).first()
-    assert (shorter["position"], shorter["new"]) == (2, None)
+    assert (first["position"], first["new"], first["reference"]) == (3, "h4", "H4")
+    shorter = p.feature_order_diff(new["genes"].where("position < 4"), old["genes"]).first()
+    assert (shorter["position"], shorter["new"]) == (4, None)
     broken = {**new, "counts": new["counts"].withColumn("n", F.col("n") + 0.5)}
-    assert outcome(p.parity_report(broken, old, expected_samples=2))["raw_counts"] is False
+    assert outcome(p.parity_report(broken, old, expected_samples=3))["raw_counts"] is False
 
 
 def test_undefined_expected_coordinates_are_not_a_mismatch(spark):
@@ -261,12 +265,12 @@ def test_undefined_expected_coordinates_are_not_a_mismatch(spark):
     rows = {r["pairing"]: r for r in p.coordinate_diff(new, undefined).collect()}
     assert rows["spatial_vs_reference"]["passed"] and rows["spatial_vs_reference"]["max_abs_difference"] == 0.0
     rows = {r["pairing"]: r for r in p.coordinate_diff(undefined, old).collect()}
-    assert rows["spatial_vs_reference"]["nonfinite_rows"] == 4
+    assert rows["spatial_vs_reference"]["nonfinite_rows"] == 6
 
 
 def test_digests_agree_with_entries(spark):
     new, old = parity_side(spark, extra=1)["counts"], parity_side(spark)["counts"]
-    assert [tuple(r) for r in p.digest_diff(new, old).collect()] == [("s1", "c2")]
+    assert [tuple(r) for r in p.digest_diff(new, old).collect()] == [("q", "n4")]
     assert p.digest_diff(old, old.repartition(3)).isEmpty()
 
 
