@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded
-from catalog.views import LABEL_RUNS, cells_e, label_runs, table
+from catalog.views import CELLS_O, LABEL_RUNS, cells_o, label_runs, table
 from histomesh.lineage import cut
 from histomesh.operators import domains as k
 
@@ -84,20 +84,28 @@ def k04_peaks(spark, sf_dir):
     return rounded(k.stability_peaks(stability(spark, sf_dir)))
 
 
-def vectors(spark, sf_dir):
-    """The vectors of the second cohort, reduced to three components."""
-    return cut(k.as_vectors(cells_e(spark, sf_dir), "embedding", reduce_to=3))
+def separate(spark, sf_dir):
+    """Cells of the first cohort, moved far apart by compartment, as vectors of coordinates."""
+    far = F.expr("CASE compartment WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END")
+    cells = cells_o(spark, sf_dir).withColumn("v", F.array(F.col("x") + 9000 * far, F.col("y") - 7000 * far * far))
+    return cut(k.as_vectors(cells, "v"))
 
 
 @query("k01_fit_range")
 def k01(spark, sf_dir):
-    labels, _ = k.fit_range(vectors(spark, sf_dir), 2, 3, runs=2, seed=7, max_iter=5)
+    labels, _ = k.fit_range(separate(spark, sf_dir), 2, 4, seed=7)
     return labels.groupBy("k", "run").agg(
         F.count(F.lit(1)).alias("cells"), F.count_distinct("label").alias("labels")
     )
 
 
-@query("k05_assign_domains")
+@query(
+    "k05_assign_domains",
+    f"""WITH {CELLS_O} SELECT sample_id, cell_id, min(cell_id) OVER (PARTITION BY compartment) AS first_cell FROM cells_o""",
+)
 def k05(spark, sf_dir):
-    points = vectors(spark, sf_dir)
-    return k.assign_domains(points, k.fit_one(points, 3, 0, seed=7, max_iter=10))
+    points = separate(spark, sf_dir)
+    models = {(3, run): k.fit_one(points, 3, run, seed=7) for run in range(10)}
+    found = cut(k.assign_domains(points, models[3, k.likeliest(models, 3)]))
+    first = found.groupBy("compartment").agg(F.min("cell_id").alias("first_cell"))
+    return found.join(first, "compartment").select("sample_id", "cell_id", "first_cell")

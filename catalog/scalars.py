@@ -178,7 +178,7 @@ def p13(spark, sf_dir):
 
 @query(
     "p14_part_names",
-    f"""WITH {CELLS_E} SELECT sample_id, condition, printf('sample_%04d', row_number() OVER (ORDER BY sample_id)) AS bundle_dir,
+    f"""WITH {CELLS_E} SELECT sample_id, condition, printf('part=sample_%04d', row_number() OVER (ORDER BY sample_id)) AS bundle_dir,
         n_cells FROM (SELECT sample_id, condition, count(*) AS n_cells FROM cells_e GROUP BY ALL)""",
 )
 def p14(spark, sf_dir):

@@ -109,16 +109,18 @@ def s05(spark, sf_dir):
 
 @query(
     "s06_split_by_sample",
-    f"""WITH {CELLS_O}, m AS (SELECT sample_id, condition, printf('sample_%04d', row_number() OVER (ORDER BY sample_id)) AS bundle_dir,
+    f"""WITH {CELLS_O}, m AS (SELECT sample_id, condition, printf('part=sample_%04d', row_number() OVER (ORDER BY sample_id)) AS bundle_dir,
           count(*) AS n_cells FROM cells_o GROUP BY sample_id, condition)
         SELECT m.*, n_cells AS stored FROM m""",
 )
 def s06(spark, sf_dir):
     path = scratch_path(spark, "by-sample")
     cells = cells_o(spark, sf_dir)
-    sinks.write_by_sample(cells, path)
-    stored = spark.read.parquet(path).groupBy("sample_id").agg(F.count(F.lit(1)).alias("stored"))
-    return rounded(sinks.part_manifest(cells).join(stored, "sample_id"))
+    manifest = sinks.part_manifest(cells)
+    sinks.write_parts(cells, manifest, path)
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("bundle_dir")
+    stored = spark.read.parquet(path).groupBy("sample_id", folder).agg(F.count(F.lit(1)).alias("stored"))
+    return rounded(manifest.join(stored, ["sample_id", "bundle_dir"]))
 
 
 @query("s07_tidy_table", f"WITH {ABUNDANCE} SELECT {ABUNDANCE_COLUMNS} FROM abundance")

@@ -65,7 +65,8 @@ def dimension_violations(
     """Declared sizes, dictionaries and stored indices of each matrix must agree.
 
     Indices are one-based: ``triplets(key, gene_ix, cell_ix)``; the two
-    dictionaries have one row per entry; ``sizes(key, n_genes, n_cells)``.
+    dictionaries have one row per entry; ``sizes(key, n_genes, n_cells)``. If the sizes also
+    tell ``n_entries`` and the ``n_lines`` found, a cut-off or overlong file is a violation.
     """
 
     def per_matrix(df: DataFrame, name: str) -> DataFrame:
@@ -88,6 +89,8 @@ def dimension_violations(
         | (F.col("top_gene") > F.col("n_genes"))
         | (F.col("top_cell") > F.col("n_cells")),
     }
+    if {"n_entries", "n_lines"} <= set(sizes.columns):
+        rules["entries"] = ~F.col("n_entries").eqNullSafe(F.col("n_lines"))
     broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
     bad = joined.withColumn("broken", F.explode(broken))
     told = F.to_json(F.struct("n_genes", "n_cells", "genes", "cells", "top_gene", "top_cell"))
@@ -127,6 +130,12 @@ def condition_conflicts(df: DataFrame) -> DataFrame:
     return _violations(counted.where("conditions <> 1"), "one_condition", ["sample_id"], F.col("conditions"))
 
 
+def sample_contradictions(df: DataFrame, stated: str = "stated_sample") -> DataFrame:
+    """Rows whose table names another sample than the place they come from."""
+    bad = df.where(F.col(stated).isNotNull() & (F.col(stated) != F.col("sample_id")))
+    return _violations(bad, "stated_sample", ["sample_id", "cell_id"], F.col(stated))
+
+
 def source_mismatches(df: DataFrame, manifest: DataFrame, source: str = "source_id") -> DataFrame:
     """Rows of a source must carry only what the manifest declares for it.
 

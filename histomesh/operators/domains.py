@@ -43,25 +43,43 @@ def fit_range(
     seed: int = 0,
     max_iter: int = 100,
     tol: float = 1e-3,
+    convergence: float | None = 1e-2,
 ):
     """Labels of all fits as ``(sample_id, cell_id, k, run, label)``, and the models.
 
-    ``vectors`` should be materialised; every fit is a distributed job over it.
+    ``vectors`` should be materialised; every fit is a distributed job over it. The search
+    ends before ``runs`` once a further run changes the mean stability of the
+    candidates by no more than ``convergence`` of itself; ``None`` makes all runs.
     """
     if min_k < 2 or max_k < min_k or runs < 2:
         raise ValueError("needs min_k >= 2, max_k >= min_k and runs >= 2")
-    models, labels = {}, []
-    for k in range(min_k - 1, max_k + 2):
-        for run in range(runs):
+    models, labels, before = {}, None, None
+    for run in range(runs):
+        fits = []
+        for k in range(min_k - 1, max_k + 2):
             named = (F.lit(k).alias("k"), F.lit(run).alias("run"))
             if k == 1:
-                labels.append(vectors.select(*ID, *named, F.lit("0").alias("label")))
+                fits.append(vectors.select(*ID, *named, F.lit("0").alias("label")))
                 continue
             model = fit_one(vectors, k, run, seed, max_iter, tol)
             models[k, run] = model
             scored = model.transform(vectors)
-            labels.append(scored.select(*ID, *named, F.col("prediction").cast("string").alias("label")))
-    return reduce(DataFrame.unionByName, labels), models
+            fits.append(scored.select(*ID, *named, F.col("prediction").cast("string").alias("label")))
+        done = cut(reduce(DataFrame.unionByName, fits))
+        labels = done if labels is None else labels.unionByName(done)
+        if convergence is None or run == 0:
+            continue
+        rows = stability(neighbour_agreements(labels), min_k, max_k).collect()
+        now = {row["k"]: row["mean_stability"] for row in rows}
+        if before and all(abs(now[k] - before[k]) <= convergence * abs(now[k]) for k in now):
+            break
+        before = now
+    return labels, models
+
+
+def likeliest(models: dict, k: int):
+    """Of the fits with ``k`` components the one under which the data are most likely."""
+    return max((run for j, run in models if j == k), key=lambda run: (models[k, run].summary.logLikelihood, -run))
 
 
 def label_agreement(pairs: DataFrame, by=()) -> DataFrame:
@@ -91,12 +109,20 @@ def label_agreement(pairs: DataFrame, by=()) -> DataFrame:
 
 
 def neighbour_agreements(labels: DataFrame) -> DataFrame:
-    """Agreement of every run of k with every run of k + 1."""
-    a = labels.select(*ID, "k", F.col("run").alias("run_a"), F.col("label").alias("a"))
-    b = labels.select(
-        *ID, (F.col("k") - 1).alias("k"), F.col("run").alias("run_b"), F.col("label").alias("b")
-    )
-    return label_agreement(a.join(b, [*ID, "k"]), ["k", "run_a", "run_b"])
+    """Agreement of every run of k with every run of k + 1.
+
+    A cell's labels come together once; pairs of runs are formed there and counted
+    before they are shuffled.
+    """
+    fits = labels.groupBy(*ID).agg(F.collect_list(F.struct("k", "run", "label")).alias("fits"))
+
+    def with_next(a):
+        after = F.filter("fits", lambda b: b["k"] == a["k"] + 1)
+        names = (a["k"].alias("k"), a["run"].alias("run_a"), a["label"].alias("a"))
+        return F.transform(after, lambda b: F.struct(*names, b["run"].alias("run_b"), b["label"].alias("b")))
+
+    pairs = fits.select(F.inline(F.flatten(F.transform("fits", with_next))))
+    return label_agreement(pairs, ["k", "run_a", "run_b"])
 
 
 def stability(agreements: DataFrame, min_k: int, max_k: int) -> DataFrame:
@@ -145,6 +171,6 @@ def find_domains(vectors: DataFrame, **settings):
     vectors = cut(vectors)
     labels, models = fit_range(vectors, **settings)
     low, high = settings.get("min_k", 2), settings.get("max_k", 16)
-    table = cut(stability(neighbour_agreements(cut(labels)), low, high))
+    table = cut(stability(neighbour_agreements(labels), low, high))
     chosen = best_k(table).first()["k"]
-    return assign_domains(vectors, models[chosen, 0]), table, chosen
+    return assign_domains(vectors, models[chosen, likeliest(models, chosen)]), table, chosen

@@ -90,17 +90,21 @@ def with_reach(sites: DataFrame, frame: Frame, k: int, radius: float | None = No
 
 
 def within_reach(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """All targets ``(sample_id, dst, x, y)`` inside the reach of each source."""
+    """All targets ``(sample_id, dst, x, y)`` inside the reach of each source.
+
+    Targets are offered in the grid sizes that their own sample asks for, so an
+    outlier elsewhere costs nothing.
+    """
     reach = F.sqrt("reach2") * SLACK
     asked = sources.withColumn("size", F.coalesce(grid_exponent(reach), F.lit(0)))
-    sizes = asked.select(F.collect_set("size")).scalar()
+    sizes = asked.groupBy("sample_id").agg(F.collect_set("size").alias("sizes"))
     for axis in ("x", "y"):
         span = F.sequence(
             grid_index(F.col(axis) - reach, F.col("size")),
             grid_index(F.col(axis) + reach, F.col("size")),
         )
         asked = asked.withColumn(f"c{axis}", F.explode(span))
-    offered = targets.withColumn("size", F.explode(sizes)).select(
+    offered = targets.join(sizes, "sample_id").withColumn("size", F.explode("sizes")).select(
         "sample_id",
         "size",
         grid_index(F.col("x"), F.col("size")).alias("cx"),

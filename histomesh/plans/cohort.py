@@ -15,6 +15,8 @@ KEY = ["sample_id", "cell_id"]
 def read_bundles(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
     """Tables of all bundles: ``cells``, ``counts``, ``features`` and what checks need.
 
+    Entries outside the dictionaries have no names and are not among the counts; they and
+    cut-off files are what ``check_cohort`` reports, which ``build_cohort`` requires to be empty.
     ``files`` holds globs for ``counts``, ``genes``, ``barcodes`` and ``obs``, and
     optionally ``spatial``. Without it, coordinates come from the metadata.
     """
@@ -53,6 +55,8 @@ def check_cohort(tables: dict[str, DataFrame]) -> DataFrame:
         checks.condition_conflicts(cells),
         checks.count_violations(tables["counts"]),
     ]
+    if "stated_sample" in cells.columns:
+        found.append(checks.sample_contradictions(cells))
     if "sizes" in tables:
         dictionary = [tables["genes"], tables["barcodes"]]
         found.append(checks.dimension_violations(tables["triplets"], *dictionary, tables["sizes"]))
@@ -83,7 +87,7 @@ def build_cohort(
         conditions = sheet.select("sample_id", "condition")
         tables["cells"] = tables["cells"].drop("condition").join(conditions, "sample_id")
     checks.require(check_cohort(tables))
-    cells = tables["cells"]
+    cells = tables["cells"].drop("stated_sample")
     if annotations is not None:
         cells = align.attach_annotations(cells, annotations, annotate_on)
     counts = tables["counts"].withColumn("n", F.col("n").cast("int"))

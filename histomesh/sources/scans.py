@@ -112,7 +112,8 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     ``triplets(sample_id, bundle, gene_ix, cell_ix, n)`` has one-based indices
     and repeated entries added up. ``sizes(sample_id, bundle, n_genes, n_cells,
-    n_entries)`` comes from the size lines. Only these need a line number, so the
+    n_entries, n_lines)`` comes from the size lines, ``n_lines`` being the entries that are
+    really there before repeats are added up. Only the size lines need a line number, so the
     entries stream straight from the scan into the aggregation.
     """
     lines = spark.read.text(path).select(
@@ -121,7 +122,9 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.trim("value").alias("value"),
     )
     lines = lines.where("not startswith(value, '%') and value <> ''")
-    heads = lines.groupBy("file").agg(F.min_by("value", "id").alias("head"), F.min("id").alias("id"))
+    heads = lines.groupBy("file").agg(
+        F.min_by("value", "id").alias("head"), F.min("id").alias("id"), (F.count(F.lit(1)) - 1).alias("n_lines")
+    )
 
     def number(column: str, i: int):
         return F.element_at(F.split(column, "\\s+"), i)
@@ -131,6 +134,7 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         number("head", 1).cast("long").alias("n_genes"),
         number("head", 2).cast("long").alias("n_cells"),
         number("head", 3).cast("long").alias("n_entries"),
+        "n_lines",
     )
     triplets = (
         lines.join(heads.select("file", F.col("id").alias("first")), "file")
@@ -171,10 +175,15 @@ def read_metadata(spark: SparkSession, path: str, schema: T.StructType | str | N
 
 
 def read_sample_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """CSV metadata of many samples, with the sample taken from the folder."""
-    reader = spark.read.option("header", True).option("escape", '"')
+    """CSV metadata of many samples, with the sample taken from the folder.
+
+    A ``sample_id`` of the file's own is kept as ``stated_sample``, for the checks.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True)
     table = reader.csv(path).withColumn("folder", _folder(F.col("_metadata.file_path")))
-    return table.drop("sample_id", "shard").withColumnRenamed("folder", "sample_id")
+    if "sample_id" in table.columns:
+        table = table.withColumnRenamed("sample_id", "stated_sample")
+    return table.withColumnRenamed("folder", "sample_id")
 
 
 def read_embedding(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -15,13 +15,27 @@ from histomesh.operators.composition import design_table
 MATRIX_HEADER = "%%MatrixMarket matrix coordinate integer general"
 
 
+def _dealt(df: DataFrame, key: str, rows_per_file: int = 2_000_000) -> DataFrame:
+    """Rows dealt out so that a value of ``key`` fills as many files as its size asks for."""
+    files = df.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("files"))
+    placed = df.join(files, F.col(key).eqNullSafe(F.col("of")))
+    return placed.repartition(key, F.floor(F.rand(5) * F.col("files"))).drop("of", "files")
+
+
 def write_by_sample(df: DataFrame, path: str) -> None:
     """Parquet with one folder per sample, for pruning by sample."""
-    df.write.mode("errorifexists").partitionBy("sample_id").parquet(path)
+    _dealt(df, "sample_id").write.mode("errorifexists").partitionBy("sample_id").parquet(path)
+
+
+def write_parts(df: DataFrame, manifest: DataFrame, path: str) -> None:
+    """Parquet in the folders that the manifest names, one per sample."""
+    part = F.regexp_replace("bundle_dir", "^part=", "").alias("part")
+    placed = df.join(manifest.select("sample_id", part), "sample_id")
+    _dealt(placed, "part").write.mode("errorifexists").partitionBy("part").parquet(path)
 
 
 def part_manifest(cells: DataFrame) -> DataFrame:
-    """Samples in order with deterministic part names and their cell counts.
+    """Samples in order with deterministic part folders and their cell counts.
 
     The order is over one row per sample, as in a sample sheet, never over cells.
     """
@@ -30,7 +44,7 @@ def part_manifest(cells: DataFrame) -> DataFrame:
     return design.select(
         "sample_id",
         "condition",
-        F.format_string("sample_%04d", place).alias("bundle_dir"),
+        F.format_string("part=sample_%04d", place).alias("bundle_dir"),
         "n_cells",
     )
 

@@ -89,6 +89,42 @@ def test_cohort_refuses_what_does_not_fit(spark, root, sheet, tmp_path):
         cohort.build_cohort(spark, files(other), sheet)
 
 
+def test_cut_off_matrix_is_refused(spark, root, sheet):
+    with gzip.open(root / "s+b" / "counts.mtx.gz", "rt") as handle:
+        lines = handle.read().splitlines()
+    write(root / "s+b" / "counts.mtx.gz", "\n".join(lines[:-1]) + "\n")
+    with pytest.raises(q.CheckFailed, match="entries"):
+        cohort.build_cohort(spark, files(root), sheet)
+
+
+def test_contradicting_sample_label_is_refused(spark, root, sheet):
+    for sample in ("s a", "s+b"):
+        write(root / sample / "obs.csv.gz", "cell_id,sample_id\nc1,s a\nc2,s a\n")
+    with pytest.raises(q.CheckFailed, match="stated_sample"):
+        cohort.build_cohort(spark, files(root), sheet)
+    write(root / "s+b" / "obs.csv.gz", "cell_id,sample_id\nc1,s+b\nc2,s+b\n")
+    built = cohort.build_cohort(spark, files(root), sheet)
+    assert built["cells"].count() == 4 and "stated_sample" not in built["cells"].columns
+
+
+def test_parts_lie_where_the_manifest_says(spark):
+    cells = spark.createDataFrame([("b/x", "1", "c"), ("a", "1", "c"), ("a", "2", "c")], "sample_id string, cell_id string, condition string")
+    path = scratch_path(spark, "parts")
+    manifest = sinks.part_manifest(cells)
+    sinks.write_parts(cells, manifest, path)
+    for row in manifest.collect():
+        part = spark.read.parquet(f"{path}/{row['bundle_dir']}")
+        assert {r["sample_id"] for r in part.collect()} == {row["sample_id"]} and part.count() == row["n_cells"]
+
+
+def test_columns_with_dots_and_ticks(spark):
+    odd = spark.createDataFrame([("s", "c", 1.5, 2.0, 3.0, "t")], "sample_id string, cell_id string, `percent.mt` double, x double, y double, `a``b` string")
+    assert roles.with_coordinates(odd).first()["percent.mt"] == 1.5
+    bound = roles.bind_roles(odd, roles.Roles(condition=None, cell_type="a`b", compartment=None))
+    assert bound.first()["cell_type"] == "t" and bound.first()["percent.mt"] == 1.5
+    assert roles.embedding_array(odd).first()["embedding"] == [1.5, 2.0, 3.0]
+
+
 def test_bundles_survive_a_round_trip_in_pieces(spark):
     cells = spark.range(40).select(
         F.concat(F.lit("s "), F.col("id") % 2).alias("sample_id"), F.col("id").cast("string").alias("cell_id"),
