@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, kept, and broadcast where it is joined if a count proves it has at most ``most`` rows.
+
+    Beyond that the join is left to adaptive execution.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from histomesh.functions.geometry import is_finite
 from histomesh.functions.ids import is_blank, merge_depth, without_merge_suffix
-from histomesh.lineage import cut
+from histomesh.lineage import cut, small
 from histomesh.operators.checks import CheckFailed, duplicate_keys, require, row_set_changes
 from histomesh.operators.roles import coordinate_pair
 
@@ -71,13 +71,14 @@ def cohort_genes(counts: DataFrame, features: DataFrame, how: str = "inner") ->
     """Restrict long counts to the gene axis of the cohort.
 
     ``inner`` keeps genes listed for every sample. ``outer`` keeps everything;
-    absent entries are zero simply by not being stored.
+    absent entries are zero simply by not being stored. The gene list is broadcast if a
+    count proves it small, so the counts stay where they are.
     """
     if how not in ("inner", "outer"):
         raise ValueError("how must be 'inner' or 'outer'")
     if how == "outer":
         return counts
-    return counts.join(genes_in_all(features), "gene", "left_semi")
+    return counts.join(small(genes_in_all(features)), "gene", "left_semi")
 
 
 def cohort_union(tables, how: str = "inner") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
 
-# How the vectors of a ring can be summarised.
-AGGREGATES = {"mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max, "sum": F.sum}
+# How the vectors of a ring can be summarised, and what is summed up for it.
+AGGREGATES = {"mean": "mean", "var": "variance", "min": "min", "max": "max", "sum": "sum"}
 
 
 def hop_rings(edges: DataFrame, layers: int = 3) -> DataFrame:
@@ -52,8 +54,8 @@ def aggregate_hops(
     """Each cell's own vector followed by one summary per ring and function.
 
     The result ``features`` has ``dim * (1 + layers * len(funcs))`` entries; a
-    ring without nodes contributes zeros. Components are separate aggregates of
-    one hash aggregation, combined before the shuffle.
+    ring without nodes contributes zeros. Whole vectors are summarised at once, combined
+    before the shuffle; the variance is that of the ring itself, not of a sample.
     """
     unknown = [name for name in funcs if name not in AGGREGATES]
     if unknown:
@@ -63,12 +65,18 @@ def aggregate_hops(
         first = own.select(F.size("own").alias("n")).first()
         dim = first["n"] if first else 0
     values = own.select("sample_id", F.col("cell_id").alias("dst"), F.col("own").alias("v"))
-    around = rings.join(values, ["sample_id", "dst"])
-    summaries = [
-        F.array(*[AGGREGATES[name](F.col("v")[i]) for i in range(dim)]).alias(name)
-        for name in funcs
-    ]
-    per_ring = around.groupBy("sample_id", "src", "hop").agg(*summaries)
+    around = rings.join(values.where("v IS NOT NULL"), ["sample_id", "dst"])
+    metrics = Summarizer.metrics("count", *[AGGREGATES[name] for name in funcs])
+    summed = around.groupBy("sample_id", "src", "hop").agg(metrics.summary(array_to_vector("v")).alias("s"))
+
+    def summary(name: str):
+        array = vector_to_array(F.col(f"s.{AGGREGATES[name]}"))
+        if name == "var":
+            share = (F.col("s.count") - 1) / F.col("s.count")
+            array = F.transform(array, lambda x: x * share)
+        return array.alias(name)
+
+    per_ring = summed.select("sample_id", "src", "hop", *[summary(name) for name in funcs])
     placed = [
         F.max(F.when(F.col("hop") == hop, F.col(name))).alias(f"{name}_{hop}")
         for hop in range(1, layers + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histomesh.lineage import cut
+from histomesh.lineage import cut, small
 from histomesh.operators.checks import CheckFailed
 
 # Fixed value: the feature type that is expression.
@@ -32,7 +32,7 @@ def filter_features(counts: DataFrame, features: DataFrame, kind: str = EXPRESSI
     """Counts of the features of one kind."""
     chosen = select_features(features, kind, check)
     keys = [key for key in ("sample_id", "gene") if key in chosen.columns]
-    return counts.join(chosen, keys)
+    return counts.join(small(chosen), keys)
 
 
 def canonical_counts(triplets: DataFrame) -> DataFrame:

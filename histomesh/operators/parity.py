@@ -344,7 +344,7 @@ def parity_report(
     passed = {row["check"]: row["passed"] for row in first.collect()}
     later = [first]
     if not passed["cell_identity"]:
-        reason = "cell identities could not be aligned"
+        reason = "the two sides do not list the same cells"
         later += [skipped(n, reason) for n in ("conditions", "metadata", "coordinates", "raw_counts")]
     else:
         sides = (new["cells"], reference["cells"])
@@ -354,7 +354,7 @@ def parity_report(
             _row("coordinates", coordinate_diff(*sides, atol)),
         ]
         if not (passed["shape"] and passed["gene_order"]):
-            later.append(skipped("raw_counts", "shape or gene order mismatch"))
+            later.append(skipped("raw_counts", "sizes or genes differ between the sides"))
         else:
             later.append(_counts_row(new["counts"], reference["counts"], skipped))
     return reduce(DataFrame.unionByName, later)

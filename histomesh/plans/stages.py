@@ -110,7 +110,7 @@ def run_curation(
     patched = align.patch_annotations(fixed, sources)
     audit = composition.audit_against_base(composition.source_audit(sources), patched)
     if not audit.where("not counts_agree").isEmpty():
-        raise checks.CheckFailed("per-sample cell counts differ after exact identity matching")
+        raise checks.CheckFailed("some sample keeps another number of cells once ids are matched")
     return {
         "cells": patched,
         "audit": audit,

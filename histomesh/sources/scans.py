@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histomesh.lineage import small
 from histomesh.operators.roles import embedding_array
 
 # Columns and types of the three result tables.
@@ -114,7 +115,8 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     and repeated entries added up. ``sizes(sample_id, bundle, n_genes, n_cells,
     n_entries, n_lines)`` comes from the size lines, ``n_lines`` being the entries that are
     really there before repeats are added up. Only the size lines need a line number, so the
-    entries stream straight from the scan into the aggregation.
+    entries stream straight from the scan into the aggregation. The size lines, one a file,
+    are kept and broadcast if they are few, so no entry is dealt out by file.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -126,6 +128,8 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.min_by("value", "id").alias("head"), F.min("id").alias("id"), (F.count(F.lit(1)) - 1).alias("n_lines")
     )
 
+    heads = small(heads)
+
     def number(column: str, i: int):
         return F.element_at(F.split(column, "\\s+"), i)
 
@@ -152,11 +156,15 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def named_counts(triplets: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Replace matrix indices by gene names and cell ids, bundle by bundle."""
+    """Replace matrix indices by gene names and cell ids, bundle by bundle.
+
+    The gene dictionaries are broadcast if a count proves them small, so the entries
+    are dealt out by cell only.
+    """
     g = genes.select("bundle", (F.col("position") + 1).alias("gene_ix"), F.col("name").alias("gene"))
     c = cells.select("bundle", (F.col("position") + 1).alias("cell_ix"), F.col("name").alias("cell_id"))
     return (
-        triplets.join(g, ["bundle", "gene_ix"])
+        triplets.join(small(g), ["bundle", "gene_ix"])
         .join(c, ["bundle", "cell_ix"])
         .select("sample_id", "cell_id", "gene", "n")
     )
