@@ -12,6 +12,7 @@ from histomesh.operators.checks import dimension_violations
 from histomesh.operators.composition import compartment_abundance
 from histomesh.operators.review import cohort_profile
 from histomesh.operators.roles import with_coordinates
+from histomesh.plans.cohort import build_cohort
 from histomesh.sources import scans, sinks
 
 
@@ -60,6 +61,21 @@ def s01_sizes(spark, sf_dir):
     )
 
 
+@query(
+    "s11_build_cohort",
+    f"""WITH {LISTED}, totals AS (SELECT sample_id, cell_id, sum(n) AS total FROM counts_l GROUP BY ALL),
+      kept AS (SELECT gene FROM listed GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM listed))
+    SELECT sample_id, cell_id, gene, CAST(n AS BIGINT) AS n, round(ln(1 + n * 1e4 / total), 6) AS x
+    FROM counts_l JOIN totals USING (sample_id, cell_id) WHERE gene IN (FROM kept)""",
+)
+def s11(spark, sf_dir):
+    """The whole ingest: bundles read, checked, normalised and joined over their genes."""
+    path = bundles(spark, sf_dir)
+    files = {name: f"{path}/{name}" for name in ("counts", "genes", "barcodes", "obs", "spatial")}
+    built = build_cohort(spark, files)
+    return rounded(built["expression"].select("sample_id", "cell_id", "gene", "n", "x"))
+
+
 @query(
     "s02_dictionary",
     f"""WITH {LISTED} SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY gene) - 1 AS BIGINT) AS position,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histomesh.lineage import cut, scratch_path
 from histomesh.operators import align, checks, normalize, review
 from histomesh.operators.roles import coordinate_pair, with_coordinates
 from histomesh.sources import scans, sinks
@@ -18,9 +19,14 @@ def read_bundles(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFr
     Entries outside the dictionaries have no names and are not among the counts; they and
     cut-off files are what ``check_cohort`` reports, which ``build_cohort`` requires to be empty.
     ``files`` holds globs for ``counts``, ``genes``, ``barcodes`` and ``obs``, and
-    optionally ``spatial``. Without it, coordinates come from the metadata.
+    optionally ``spatial``. Without it, coordinates come from the metadata. Matrix text is
+    parsed once: the triplets are kept as Parquet in the shared folder, and every check and
+    every later step reads those.
     """
     triplets, sizes = scans.read_triplets(spark, files["counts"])
+    landed = scratch_path(spark, "triplets")
+    triplets.write.parquet(landed)
+    triplets, sizes = spark.read.parquet(landed), cut(sizes)
     genes = scans.read_dictionary(spark, files["genes"])
     barcodes = scans.read_dictionary(spark, files["barcodes"])
     metadata = scans.read_sample_metadata(spark, files["obs"])
