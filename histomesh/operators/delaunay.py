@@ -7,10 +7,12 @@ an edge is a pair of bounds and the test is a join with a ``min`` and a ``max``.
 1. Each location is compared with its k nearest others. An empty circle whose
    diameter is no longer than the distance to the k-th of them cannot hold
    anything else, so what is accepted there is final. This settles the interior.
-2. What remains are sides of accepted edges whose third corner is not certain,
-   mostly along the outline. Per sample, points are packed into about sqrt(n)
-   boxes of sqrt(n) points; each side looks only into boxes its circle reaches.
-   Every third corner gives new edges, whose outer sides are looked up next.
+2. What remains are sides of accepted edges whose third corner is not certain. A side
+   with a known corner has a finite circle, and what lies inside is found by an
+   equi-join on grid cells of its size; on a lattice these are the most. Sides with an
+   open or very wide circle lie along the outline. For them points are packed into
+   about sqrt(n) boxes of sqrt(n) points a sample, and each looks into boxes that it
+   reaches. Every third corner gives new edges, whose outer sides are looked up next.
 
 Cells on one spot count once: the smallest id has the edges. Where four or more
 cells lie on one empty circle, all their connections are kept.
@@ -28,6 +30,8 @@ from histomesh.functions.geometry import Bend
 from histomesh.lineage import cut
 from histomesh.operators.neighbors import Frame, closest, curve_order, locations, with_reach, within_reach
 
+# Circles up to this many times wider than their side are searched on a grid.
+WIDEST = 8.0
 # Relative width within which bounds count as equal.
 TIE = 1e-9
 INFINITY = float("inf")
@@ -246,9 +250,39 @@ def _reaches(bound: Column) -> Column:
     return on_left & ((bound == INFINITY) | inside)
 
 
-def _outward(waiting: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Close every waiting side: find its third corners, or that it has none."""
-    sides = waiting.select(*SIDE, "ax", "ay", "bx", "by", "bound")
+def _finite() -> Column:
+    """Sides whose circle is known and not much wider than they are long."""
+    length2 = F.pow(F.col("bx") - F.col("ax"), F.lit(2.0)) + F.pow(F.col("by") - F.col("ay"), F.lit(2.0))
+    return (F.abs("bound") < INFINITY) & (F.col("bound") * F.col("bound") <= WIDEST * WIDEST * length2)
+
+
+def _circle_corners(sides: DataFrame, points: DataFrame) -> DataFrame:
+    """Third corners from the points inside the circle of each side, found on a grid."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length2 = dx * dx + dy * dy
+    sources = sides.withColumns(
+        {
+            "x": (F.col("ax") + F.col("bx")) / 2 - F.col("bound") * dy / F.sqrt(length2),
+            "y": (F.col("ay") + F.col("by")) / 2 + F.col("bound") * dx / F.sqrt(length2),
+            "reach2": (length2 / 4 + F.col("bound") * F.col("bound")) * (1 + 16 * TIE),
+            "copies": F.lit(1),
+        }
+    )
+    targets = points.select("sample_id", F.col("c.id").alias("dst"), F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    inside = within_reach(sources, targets)
+    inside = inside.withColumn("c", F.struct(F.col("dst").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y")))
+    inside = inside.withColumn("offset", _corner_offset("c")).where("offset IS NOT NULL")
+    best = F.min("offset").over(Window.partitionBy(*SIDE))
+    ranked = inside.withColumn("best", best)
+    return ranked.where(F.col("offset") <= _limit()).select(*SIDE, "ax", "ay", "bx", "by", "best", "c")
+
+
+def _limit() -> Column:
+    return F.col("best") + _tolerance(F.col("best"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+
+
+def _box_corners(sides: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Third corners of sides with an open or very wide circle, from the boxes it reaches."""
     per_side = Window.partitionBy(*SIDE)
     candidates = (
         sides.join(boxes, "sample_id")
@@ -264,14 +298,21 @@ def _outward(waiting: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFra
         .agg(F.min(_corner_offset("c")).alias("best"))
         .where("best is not null")
     )
-    limit = F.col("best") + _tolerance(F.col("best"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    corners = (
+    return (
         candidates.join(nearest, SIDE)
-        .where(_reaches(limit))
+        .where(_reaches(_limit()))
         .join(points, ["sample_id", "box"])
-        .where(_corner_offset("c") <= limit)
-        .withColumn("alone", F.count(F.lit(1)).over(per_side) == 1)
+        .where(_corner_offset("c") <= _limit())
+        .select(*SIDE, "ax", "ay", "bx", "by", "best", "c")
     )
+
+
+def _outward(waiting: DataFrame, points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Close every waiting side: find its third corners, or that it has none."""
+    sides = waiting.select(*SIDE, "ax", "ay", "bx", "by", "bound")
+    near = _circle_corners(sides.where(_finite()), points)
+    corners = near.unionByName(_box_corners(sides.where(~_finite()), points, boxes))
+    corners = corners.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy(*SIDE)) == 1)
     end = {
         name: F.struct(
             F.col(name).alias("id"), F.col(f"{name}x").alias("x"), F.col(f"{name}y").alias("y")
