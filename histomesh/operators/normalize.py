@@ -82,16 +82,16 @@ def gene_index(genes: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _dense(entries: pd.Series, means: pd.Series, size: pd.Series) -> pd.Series:
-    """Sparse entries as dense rows, minus the means of their sample."""
-    rows = []
-    for own, average, length in zip(entries, means, size):
-        row = np.zeros(length)
-        for part, sign in ((average, -1.0), (own, 1.0)):
-            for item in () if part is None else part:
-                row[item["ix"]] += sign * item["x"]
-        rows.append(row)
-    return pd.Series(rows)
+def _dense(own_ix: pd.Series, own_x: pd.Series, mean_ix: pd.Series, mean_x: pd.Series, size: pd.Series) -> pd.Series:
+    """Sparse entries as dense rows, minus the means of their sample; whole batches at once."""
+    rows = np.zeros((len(size), int(size.iloc[0]) if len(size) else 0))
+    for ix, x, sign in ((mean_ix, mean_x, -1.0), (own_ix, own_x, 1.0)):
+        there = [k for k, part in enumerate(ix) if part is not None and len(part)]
+        if there:
+            at = np.repeat(there, [len(ix.iloc[k]) for k in there])
+            values = sign * np.concatenate([x.iloc[k] for k in there])
+            np.add.at(rows, (at, np.concatenate([ix.iloc[k] for k in there])), values)
+    return pd.Series(list(rows))
 
 
 def expression_vectors(expression: DataFrame, cells: DataFrame, centre: bool = False) -> DataFrame:
@@ -121,7 +121,7 @@ def expression_vectors(expression: DataFrame, cells: DataFrame, centre: bool = F
         joined = joined.join(means, "sample_id", "left")
     else:
         joined = joined.withColumn("means", F.lit(None).cast("array<struct<ix:int,x:double>>"))
-    vector = _dense("entries", "means", F.lit(index.count()))
+    vector = _dense("entries.ix", "entries.x", "means.ix", "means.x", F.lit(index.count()))
     return joined.select("sample_id", "cell_id", vector.alias("embedding"))
 
 
