@@ -3,9 +3,11 @@
 1. Every text gets its shingle set, a digest of the set and a MinHash signature in one pass.
    Documents with equal sets are one class; only the class's smallest id goes on.
 2. Signatures are cut into bands; classes that share a band are candidates. First every class
-   meets the smallest class of its buckets, and verified links are joined to components.
+   meets the most central class of its buckets, the one that shares most bands with others, and
+   verified links are joined to components: around what many copies were made from, all at once.
    Then only buckets that still hold several components are looked at, and there only pairs
-   from different components: in blocks of bounded size, compared inside the tasks.
+   from different components, each in the first band it shares: in blocks of bounded size,
+   compared inside the tasks, which give out members and links but never the pairs.
 3. A candidate is compared signature batch by signature batch. With a uniform prior, n hashes
    of which m agree leave the similarity a posterior probability of being at the threshold
    or above; a pair is dropped as soon as that falls below the chosen miss probability.
@@ -118,30 +120,96 @@ def _prune_pairs(least: list[int]):
     return run
 
 
-def _prune_blocks(least: list[int]):
-    """Pairs of different components between two blocks, or inside one."""
+def first_shared(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs (a[i], b[j]) share no band before ``band``: those that meet here first."""
+    first = np.ones(len(i), bool)
+    for k in range(band):
+        rows = slice(k * ROWS, (k + 1) * ROWS)
+        left = np.flatnonzero(first)
+        first[left] = (a[i[left], rows] != b[j[left], rows]).any(1)
+    return first
+
+
+def across(one: tuple, two: tuple, same: bool, band: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between (ids, components, signatures) of two blocks worth an exact look."""
+    i, j = (x.ravel() for x in np.indices((len(one[0]), len(two[0]))))
+    other = one[1][i] != two[1][j]
+    if same:
+        other &= one[0][i] < two[0][j]
+    i, j = i[other], j[other]
+    kept = likely(one[2], two[2], i, j, least)
+    i, j = i[kept], j[kept]
+    first = first_shared(one[2], two[2], i, j, band)
+    return i[first], j[first]
+
+
+def _active(least: list[int]):
+    """Members of two blocks (or one) that have a likely partner in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            at, parts = [], []
             sides = []
-            for k in (1, 2):
+            for k in (6, 7):
                 lists = batch.column(k)
                 flat = lists.flatten()
-                at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-                sides.append((at, *(flat.field(x).to_numpy() for x in ("rep", "component")), _matrix(flat.field("mark"))))
-            same = batch.column(0).to_numpy(zero_copy_only=False)
-            (at_a, rep_a, comp_a, mark_a), (at_b, rep_b, comp_b, mark_b) = sides
+                ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+                sides.append((ends, flat.field("rep").to_numpy(), flat.field("component").to_numpy(), _matrix(flat.field("mark"))))
+            keys = [batch.column(k).to_numpy() for k in range(6)]
+            for row in range(batch.num_rows):
+                same = keys[1][row] == keys[3][row] and keys[2][row] == keys[4][row]
+                cut_ = [tuple(x[s[0][row] : s[0][row + 1]] for x in s[1:]) for s in sides]
+                for side, places in enumerate(across(*cut_, same, int(keys[5][row]), least)):
+                    for place in np.unique(places):
+                        at.append(row)
+                        parts.append((side, cut_[side][0][place], cut_[side][1][place]))
+            columns = [pa.array(key[at] if at else key[:0]) for key in keys]
+            columns += [pa.array([p[k] for p in parts], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["band", "g1", "b1", "g2", "b2", "nr", "side", "rep", "component"])
+
+    return run
+
+
+def _link_blocks(width: int, percent: int, least: list[int]):
+    """Exactly verified links between components, as many as join what can be joined.
+
+    Inside a task a verified link joins two components, and pairs inside one are skipped; so
+    no more links leave than there are members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
             for row in range(batch.num_rows):
-                a, b = np.arange(at_a[row], at_a[row + 1]), np.arange(at_b[row], at_b[row + 1])
-                i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-                other = comp_a[i] != comp_b[j]
-                if same[row]:
-                    other &= rep_a[i] < rep_b[j]
-                i, j = i[other], j[other]
-                kept = likely(mark_a, mark_b, i, j, least)
-                found.append(np.stack([rep_a[i[kept]], rep_b[j[kept]]], 1))
-            pairs = np.unique(np.concatenate([np.sort(np.concatenate(found), 1), np.zeros((0, 2), np.int64)]), axis=0) if found else np.zeros((0, 2), np.int64)
+                members = batch.column(3)[row].values
+                data, offsets = utf8(members.field("text"))
+                sets, at = shingle_sets(data, offsets, width)
+                side, rep, component = (members.field(x).to_numpy() for x in ("side", "rep", "component"))
+                marks = signatures(sets, at)
+                two = side == 1
+                same = bool(batch.column(1)[row].as_py())
+                here = [(rep[x], component[x], marks[x]) for x in (~two, two)]
+                places = [np.flatnonzero(~two), np.flatnonzero(two)]
+                i, j = across(*here, same, batch.column(2)[row].as_py(), least)
+                agreed = (here[0][2][i] == here[1][2][j]).sum(1)
+                joined: dict[int, int] = {}
+
+                def root(x: int, joined=joined) -> int:
+                    while x in joined:
+                        x = joined[x]
+                    return x
+
+                for k in np.argsort(-agreed, kind="stable"):
+                    a, b = places[0][i[k]], places[1][j[k]]
+                    x, y = root(int(component[a])), root(int(component[b]))
+                    if x == y:
+                        continue
+                    m, n = sets[at[a] : at[a + 1]], sets[at[b] : at[b + 1]]
+                    both = len(np.intersect1d(m, n, assume_unique=True))
+                    if both and 100 * both >= percent * (len(m) + len(n) - both):
+                        joined[max(x, y)] = min(x, y)
+                        links.append((rep[a], rep[b]))
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -162,18 +230,22 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The (id, text) rows of the ``wanted`` ids, which are broadcast if they are few."""
+    ids = cut(ids)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["id"] == ids["wanted"]).select("id", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are alike enough, kept in the shared folder."""
     pairs = cut(pairs.repartition("a"))
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("wanted")
-    if pairs.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs["id"] == ids["wanted"]).select("id", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts_of(docs, pairs.select("a").union(pairs.select("b")).distinct().toDF("wanted"))
     one = texts.toDF("a", "text_a")
     two = texts.toDF("b", "text_b")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return cut(both.repartition(parts).mapInArrow(_confirm(width, percent), "a long, b long").distinct())
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    return cut(both.mapInArrow(_confirm(width, percent), "a long, b long").distinct())
 
 
 def near_duplicates(
@@ -196,14 +268,18 @@ def near_duplicates(
     sketches = spark.read.parquet(path)
     classes = sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("mark").alias("mark"))
     classes = cut(classes)
-    marks = classes.select("rep", "mark").dropDuplicates(["rep"])
+    marks = classes.select("rep", "mark")
     least = least_matches(percent / 100, miss)
 
-    band = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("mark", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]))
-    bands = classes.select("rep", band.alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last")
-    buckets = cut(bands.join(shared.select("band", "pivot"), "band").distinct())
-    stars = buckets.filter("rep <> pivot").groupBy("rep").agg(F.min("pivot").alias("b")).select(F.col("rep").alias("a"), "b")
+    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("mark", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]))
+    bands = classes.select("rep", band.alias("nr", "band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = cut(bands.join(shared, "band"))
+    degrees = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = buckets.join(degrees, "rep").select("band", "rep", F.struct("degree", (-F.col("rep")).alias("back")).alias("weight"))
+    pivots = ranked.groupBy("band").agg(F.max("weight").alias("pivot"))
+    stars = ranked.join(pivots, "band").groupBy("rep").agg(F.max("pivot").alias("pivot"))
+    stars = stars.select(F.col("rep").alias("a"), (-F.col("pivot.back")).alias("b")).filter("a <> b")
 
     def with_marks(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
@@ -212,7 +288,7 @@ def near_duplicates(
     links = confirmed(with_marks(stars), docs, width, percent)
     found = components(links)
 
-    members = buckets.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    members = buckets.join(found, F.col("rep") == F.col("node"), "left").select("band", "nr", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     members = cut(members.join(mixed, "band"))
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -222,13 +298,20 @@ def near_duplicates(
     placed = members.join(sizes, ["band", "component"]).join(marks, "rep")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")))
     member = F.struct("rep", "component", "mark")
-    blocks = cut(placed.groupBy("band", "group", "block").agg(F.collect_list(member).alias("members")))
-    one, two = blocks.toDF("band", "g1", "b1", "m1"), blocks.toDF("band", "g2", "b2", "m2")
+    blocks = cut(placed.groupBy("band", "nr", "group", "block").agg(F.collect_list(member).alias("members")))
+    one = blocks.select("band", "nr", F.col("group").alias("g1"), F.col("block").alias("b1"), F.col("members").alias("m1"))
+    two = blocks.select("band", F.col("group").alias("g2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
     later = (F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("g1") == -1) & (F.col("b1") <= F.col("b2")))
-    met = one.join(two, "band").filter(later)
+    keys = ["band", "g1", "b1", "g2", "b2", "nr"]
+    met = one.join(two, "band").filter(later).select(*[F.col(k).cast("long") for k in keys], "m1", "m2")
+    shape = ", ".join(f"{k} long" for k in [*keys, "side", "rep", "component"])
+    active = cut(met.mapInArrow(_active(least), shape))
+    texts = texts_of(docs, active.select(F.col("rep").alias("wanted")).distinct())
+    member = F.struct("side", "rep", "component", "text")
+    groups = active.join(texts, F.col("rep") == F.col("id")).groupBy(*keys).agg(F.collect_list(member).alias("members"))
     same = (F.col("g1") == F.col("g2")) & (F.col("b1") == F.col("b2"))
-    across = met.select(same.alias("same"), "m1", "m2").mapInArrow(_prune_blocks(least), "a long, b long").distinct()
-    more = confirmed(across, docs, width, percent)
+    groups = groups.select("band", same.alias("same"), "nr", "members")
+    more = cut(groups.mapInArrow(_link_blocks(width, percent, least), "a long, b long").distinct())
     found = components(links.union(more))
 
     homes = classes.join(found, F.col("rep") == F.col("node"), "left")
