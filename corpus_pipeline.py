@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from histomesh.lineage import cut, scratch_path
 from histomesh.llm import langid, minhash, mixing, packing, personal
 from histomesh.llm.frames import pick
-from histomesh.llm.queries import importable, tokenizer_file
+from histomesh.llm.queries import prepare, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
@@ -32,7 +32,7 @@ def few(rows: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts in which every language is about as unlikely."""
-    importable(spark)
+    prepare(spark)
     docs = pick(docs, *COLUMNS)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     net = langid.fit(docs.filter(fold != 1))
@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Different texts under one id stay together; rows without an id all stay.
     """
-    importable(spark)
+    prepare(spark)
     docs = pick(docs, *COLUMNS)
     found = cut(minhash.near_duplicates(docs, width=5).select("doc_id", "kept"))
     gone = found.filter("NOT kept").select("doc_id").distinct()
@@ -59,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the spans found; n_chars follows the text."""
-    importable(spark)
+    prepare(spark)
     docs = pick(docs, *COLUMNS)
     field = personal.train(personal.stretches(docs))
     found = personal.find_personal(docs, field)
@@ -85,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their token ids."""
-    importable(spark)
+    prepare(spark)
     return packing.pack(pick(docs, *COLUMNS), tokenizer_file())
 
 

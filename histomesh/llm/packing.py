@@ -98,7 +98,7 @@ def _tokenise(path: str, mark: str, end_id: int):
         tokens, part, queued = _words(path, mark), TaskContext.get().partitionId(), {}
         for batch in batches:
             _, offsets = utf8(batch.column(2))
-            for row, to in byte_ranges(offsets, 8 << 20):
+            for row, to in byte_ranges(offsets, 4 << 20):
                 rows = batch.slice(row, to - row)
                 split = pc.ascii_split_whitespace(rows.column(2))
                 counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()

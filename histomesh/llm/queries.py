@@ -16,10 +16,21 @@ QUERIES = {}
 SQL = {}
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this library from where the driver did, if it isn't installed."""
+#: What Python workers are started with: memory that is freed goes back to the machine.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608"}
+BATCH = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings for Python workers that read texts: small batches, and this library on their path.
+
+    Texts are long, so batches are bounded by bytes. The library is found where the driver
+    found it, if it isn't installed.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
+    environment.update(WORKERS)
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
@@ -28,7 +39,7 @@ def importable(spark: SparkSession) -> None:
 def query(function):
     @wraps(function)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        importable(spark)
+        prepare(spark)
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

@@ -106,7 +106,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, lower: bool
     return (np.concatenate(sets) if sets else words[:0]), at
 
 
-def pieces(offsets: np.ndarray, most: int = 4 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows holding at most ``most`` bytes, or one row."""
     row, n = 0, len(offsets) - 1
     while row < n:
