@@ -18,6 +18,7 @@ from histomesh.functions.ids import after_colon, text
 from histomesh.lineage import cut
 from histomesh.operators.checks import CheckFailed, count_violations, require
 from histomesh.operators.normalize import canonical_counts
+from histomesh.operators.roles import column
 
 KEY = ["sample_id", "cell_id"]
 # The label fields that must agree.
@@ -150,12 +151,23 @@ def conditions_by_sample(cells: DataFrame) -> DataFrame:
     )
 
 
-def condition_diff(new_cells: DataFrame, ref_cells: DataFrame) -> DataFrame:
+def paired_cells(new_cells: DataFrame, ref_cells: DataFrame) -> DataFrame:
+    """Cells on both sides, each side's other columns as one struct: ``n`` and ``r``.
+
+    Several checks may share one such table; each of them is then one aggregation.
+    """
+
+    def side(cells: DataFrame, name: str) -> DataFrame:
+        return cells.select(*KEY, F.struct(*[column(c) for c in cells.columns if c not in KEY]).alias(name))
+
+    return side(new_cells, "n").join(side(ref_cells, "r"), KEY)
+
+
+def condition_diff(new_cells: DataFrame, ref_cells: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Blank, differing and conflicting conditions, over cells on both sides."""
-    a = new_cells.select(*KEY, text("condition").alias("new"))
-    b = ref_cells.select(*KEY, text("condition").alias("ref"))
+    pairs = paired_cells(new_cells, ref_cells) if pairs is None else pairs
     per_sample = (
-        a.join(b, KEY)
+        pairs.select("sample_id", text("n.condition").alias("new"), text("r.condition").alias("ref"))
         .groupBy("sample_id")
         .agg(
             F.count_if(F.col("new") == "").alias("new_missing"),
@@ -177,12 +189,14 @@ def condition_diff(new_cells: DataFrame, ref_cells: DataFrame) -> DataFrame:
     return report.withColumn("passed", reduce(lambda p, q: p & q, [F.col(c) == 0 for c in report.columns]))
 
 
-def label_diff(new_cells: DataFrame, ref_cells: DataFrame, fields=REQUIRED_LABELS) -> DataFrame:
+def label_diff(
+    new_cells: DataFrame, ref_cells: DataFrame, fields=REQUIRED_LABELS, pairs: DataFrame | None = None
+) -> DataFrame:
     """Blank and differing labels per field, from one join and one aggregation."""
     absent = [f for f in fields if f not in new_cells.columns or f not in ref_cells.columns]
     present = [f for f in fields if f not in absent]
-    a = new_cells.select(*KEY, *[text(f).alias(f"new_{f}") for f in present])
-    b = ref_cells.select(*KEY, *[text(f).alias(f"ref_{f}") for f in present])
+    pairs = paired_cells(new_cells, ref_cells) if pairs is None else pairs
+    both = pairs.select(*[text(f"{side[0]}.{f}").alias(f"{side}_{f}") for side in ("new", "ref") for f in present])
     measured = [
         F.struct(
             F.lit(f).alias("field"),
@@ -199,7 +213,7 @@ def label_diff(new_cells: DataFrame, ref_cells: DataFrame, fields=REQUIRED_LABEL
         )
         for f in absent
     ]
-    rows = a.join(b, KEY).agg(F.array(*measured, *unknown).alias("rows")).select(F.inline("rows"))
+    rows = both.agg(F.array(*measured, *unknown).alias("rows")).select(F.inline("rows"))
     clean = (F.col("missing_or_empty") == 0) & (F.col("mismatched") == 0)
     return rows.withColumn("passed", F.coalesce(clean, F.lit(False)))
 
@@ -222,13 +236,17 @@ def _pairing(name: str, new, ref, atol: float) -> Column:
     )
 
 
-def coordinate_diff(new_cells: DataFrame, ref_cells: DataFrame, atol: float = 1e-6) -> DataFrame:
+def coordinate_diff(
+    new_cells: DataFrame, ref_cells: DataFrame, atol: float = 1e-6, pairs: DataFrame | None = None
+) -> DataFrame:
     """Centroids and spatial coordinates against the other side and each other."""
     if atol < 0:
         raise ValueError("the coordinate tolerance must not be negative")
     places = (*CENTROID, "x", "y")
-    a = new_cells.select(*KEY, *[F.col(c).cast("double").alias(f"new_{c}") for c in places])
-    b = ref_cells.select(*KEY, *[F.col(c).cast("double").alias(f"ref_{c}") for c in places])
+    pairs = paired_cells(new_cells, ref_cells) if pairs is None else pairs
+    both = pairs.select(
+        *[F.col(f"{side[0]}.{c}").cast("double").alias(f"{side}_{c}") for side in ("new", "ref") for c in places]
+    )
     new_centroid, ref_centroid = [[f"{s}_{c}" for c in CENTROID] for s in ("new", "ref")]
     new_spatial, ref_spatial = [[f"{s}_{c}" for c in ("x", "y")] for s in ("new", "ref")]
     pairings = F.array(
@@ -236,7 +254,7 @@ def coordinate_diff(new_cells: DataFrame, ref_cells: DataFrame, atol: float = 1e
         _pairing("spatial_vs_reference", new_spatial, ref_spatial, atol),
         _pairing("new_spatial_vs_centroids", new_spatial, new_centroid, atol),
     )
-    rows = a.join(b, KEY).agg(pairings.alias("rows")).select(F.inline("rows"))
+    rows = both.agg(pairings.alias("rows")).select(F.inline("rows"))
     return rows.withColumn("passed", F.col("mismatched_rows") == 0)
 
 
@@ -296,6 +314,7 @@ def digest_diff(new_counts: DataFrame, ref_counts: DataFrame) -> DataFrame:
     return joined.where(~F.col("new").eqNullSafe(F.col("reference"))).select(*KEY)
 
 
+# The names of checks and pairings, in ``parity_report`` and above, are fixed values: the report's interface.
 def _row(name: str, checked: DataFrame) -> DataFrame:
     """Fold the rows of a check into one report row."""
     metrics = F.to_json(F.collect_list(F.struct(*[c for c in checked.columns if c != "passed"])))
@@ -348,10 +367,11 @@ def parity_report(
         later += [skipped(n, reason) for n in ("conditions", "metadata", "coordinates", "raw_counts")]
     else:
         sides = (new["cells"], reference["cells"])
+        pairs = cut(paired_cells(*sides))
         later += [
-            _row("conditions", condition_diff(*sides)),
-            _row("metadata", label_diff(*sides)),
-            _row("coordinates", coordinate_diff(*sides, atol)),
+            _row("conditions", condition_diff(*sides, pairs=pairs)),
+            _row("metadata", label_diff(*sides, pairs=pairs)),
+            _row("coordinates", coordinate_diff(*sides, atol, pairs=pairs)),
         ]
         if not (passed["shape"] and passed["gene_order"]):
             later.append(skipped("raw_counts", "sizes or genes differ between the sides"))
