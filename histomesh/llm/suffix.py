@@ -69,6 +69,25 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return grams[at], mixed(around + mixed(shape + np.uint64(1))), at
 
 
+def _settle(h: np.ndarray, c: np.ndarray, own: pa.RecordBatch, counts: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that come later, in this part of the input, than one with the same snippet.
+
+    They are repeats whatever else there is. Their size is made negative, and they get a hash of
+    their own, so that what is met very often isn't dealt out to one place.
+    """
+    ids, ties = (np.repeat(own.column(k).to_numpy(), counts) for k in range(2))
+    order = np.lexsort((at, ties, ids, c, h))
+    alike = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+    head = np.maximum.accumulate(np.where(np.append(False, alike), 0, np.arange(len(order)))) if len(order) else order
+    first = order[head]
+    twin = (ids[order] == ids[first]) & (ties[order] == ties[first]) & (at[order] == at[first])
+    later = order[~twin]
+    h, sizes = h.copy(), sizes.copy()
+    h[later] = mixed((ids[later] * 1_000_003 + at[later]).astype(np.uint64)).view(np.int64)
+    sizes[later] *= -1
+    return h, sizes
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,8 +99,9 @@ def _anchor_rows(length: int):
                 rows = pa.array(np.repeat(np.arange(to - row), counts))
                 h, c, at = (np.concatenate([f[k] for f in found]) for k in range(3))
                 sizes = np.repeat(np.diff(offsets[row : to + 1]), counts)
+                h, sizes = _settle(h.view(np.int64), c, own, counts, at, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), own.column(0).take(rows), own.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(sizes.astype(np.int32))],
+                    [pa.array(h), pa.array(c.view(np.int64)), own.column(0).take(rows), own.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(sizes.astype(np.int32))],
                     ["h", "c", "id", "tie", "at", "n"],
                 )
 
@@ -111,7 +131,11 @@ def _sieve(length: int):
             rows = np.stack(columns)
             again = np.append((rows[:, 0] == before).all() if before is not None else False, (rows[:, 1:] == rows[:, :-1]).all(0))
             before = rows[:, -1]
-            columns = [x[~again] for x in columns]
+            settled = ~again & (columns[5] < 0)
+            if settled.any():
+                done = [x[settled] for x in columns]
+                yield out(False, [*done[:5], -done[5]])
+            columns = [x[~again & ~settled] for x in columns]
             if not len(columns[0]):
                 continue
             h, c = columns[:2]
