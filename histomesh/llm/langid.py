@@ -257,14 +257,15 @@ def samples(docs: DataFrame, text: str, lang: str, order: str, per_language: int
 
     Documents in order of the hash of ``order``; windows spread over the whole text.
     """
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{order}`")).alias("h"))
-    rows = rows.filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    rows = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language)
-    span = F.greatest(F.length("text") - WINDOW, F.lit(0))
+    value = F.col(f"`{text}`")
+    span = F.greatest(F.length(value) - WINDOW, F.lit(0))
     starts = [F.floor(span * k / max(windows - 1, 1)).cast("int") + 1 for k in range(windows)]
-    cuts = F.array_distinct(F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts]))
-    found = rows.select("lang", "h", F.posexplode(cuts).alias("at", "window")).orderBy("lang", "h", "at", "window").collect()
+    cuts = F.array_distinct(F.array(*[F.substring(value, s, F.lit(WINDOW)) for s in starts]))
+    rows = docs.filter(F.col(f"`{lang}`").isNotNull() & value.rlike(r"\p{L}"))
+    rows = rows.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{order}`")).alias("h"), F.xxhash64(value).alias("tie"), cuts.alias("cuts"))
+    first = Window.partitionBy("lang").orderBy("h", "tie")
+    rows = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language)
+    found = rows.select("lang", "h", F.posexplode("cuts").alias("at", "window")).orderBy("lang", "h", "at", "window").collect()
     return [(r["window"].encode()[:WINDOW], r["lang"]) for r in found]
 
 
