@@ -32,7 +32,7 @@ from histomesh.llm.induced import suffix_order
 from histomesh.llm.words import _VALUE, BACK, BASE, _powers, mixed, pieces, utf8
 
 GRAM = 32
-SHARD = 2 << 20
+SHARD = 600_000
 BROADCAST_ROWS = 1_000_000
 
 
