@@ -18,6 +18,7 @@ shorter: it is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -36,7 +37,6 @@ from histomesh.llm.words import pieces as byte_ranges
 from histomesh.llm.words import utf8
 
 BROADCAST_OFFSETS = 500_000
-KNOWN_WORDS = 400_000
 #: A letter run with punctuation behind it; between the two the tokenizer always cuts.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-;=?@\\[-`{}~]*)\\Z")
 
@@ -45,60 +45,83 @@ class WordTokens:
     """Ids of white-space-separated words, each word tokenised once as long as it is remembered.
 
     For tokenizers that drop white space and never look across it: the ids of a text are those of
-    its words, one after another. Unknown words go through the tokenizer together, kept apart
-    by one of its own special tokens.
+    its words, one after another. Unknown words go through the tokenizer together. Runs of
+    letters or of punctuation are told apart by the tokens that end a word, if the vocabulary
+    marks those and their number is right; others by one of the tokenizer's special tokens.
     """
 
-    def __init__(self, path: str, mark: str):
+    def __init__(self, path: str, mark: str, most: int):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
-        self.known: dict[str, bytes] = {"": b""}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.most, self.known = most, {"": b""}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
         found = {}
-        single = [w for w in words if self.mark in w]
         joined = [w for w in words if self.mark not in w]
-        for w in single:
-            found[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        for k in range(0, len(joined), 4000):
-            some = joined[k : k + 4000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        for w in words:
+            if self.mark in w:
+                found[w] = self._ids(w).tobytes()
+        for k in range(0, len(joined), 2000):
+            some = joined[k : k + 2000]
+            ids = self._ids(" ".join(some)) if plain else None
+            ends = np.flatnonzero(self.closes[ids]) + 1 if plain else ()
+            gap = 0
+            if len(ends) != len(some):
+                ids, gap = self._ids(self.mark.join(some)), 1
+                ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
                 found[w] = raw[4 * at : 4 * end]
-                at = end + 1
+                at = end + gap
         return found
 
     def of(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of distinct words."""
-        split, unknown = [], set()
-        for w in words:
-            plain = _PLAIN.match(w)
-            parts = (plain[1].lower(), plain[2]) if plain else (w, "")
-            split.append(parts)
-            unknown.update(p for p in parts if p and p not in self.known)
-        new = self._learn(list(unknown))
-        if len(self.known) + len(new) <= KNOWN_WORDS:
-            self.known |= new
-            new = self.known
-        ids = lambda p: new[p] if p in new else self.known[p]
-        return [ids(a) + ids(b) if b else ids(a) for a, b in split]
+        known = self.known
+        found = list(map(known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        split, runs, others = [], set(), set()
+        for k in missing:
+            plain = _PLAIN.match(words[k])
+            if plain:
+                a, b = plain[1].lower(), plain[2]
+                if a not in known:
+                    runs.add(a)
+                if b not in known:
+                    runs.add(b)
+            else:
+                a, b = words[k], ""
+                others.add(a)
+            split.append((a, b))
+        new = self._learn(list(runs), True) | self._learn(list(others), False)
+        if len(known) + len(new) <= self.most:
+            known |= new
+            new = known
+        for k, (a, b) in zip(missing, split, strict=True):
+            ids = new[a] if a in new else known[a]
+            found[k] = ids + (new[b] if b in new else known[b]) if b else ids
+        return found
 
 
 @lru_cache(maxsize=2)
-def _words(path: str, mark: str) -> WordTokens:
-    return WordTokens(path, mark)
+def _words(path: str, mark: str, most: int) -> WordTokens:
+    return WordTokens(path, mark, most)
 
 
-def _tokenise(path: str, mark: str, end_id: int):
+def _tokenise(path: str, mark: str, end_id: int, remembered: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, queued = _words(path, mark), TaskContext.get().partitionId(), {}
+        tokens, part, queued = _words(path, mark, remembered), TaskContext.get().partitionId(), {}
         for batch in batches:
             _, offsets = utf8(batch.column(2))
-            for row, to in byte_ranges(offsets, 4 << 20):
+            for row, to in byte_ranges(offsets, step):
                 rows = batch.slice(row, to - row)
                 split = pc.ascii_split_whitespace(rows.column(2))
                 counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
@@ -238,11 +261,15 @@ def pack(
     end_id: int = 2,
     mark: str = "<|startoftext|>",
     weights: dict[str | None, int] | None = None,
+    remembered: int = 200_000,
+    step: int = 2 << 20,
 ) -> DataFrame:
     """Pieces of the documents' token lists, placed in sequences of ``length`` tokens.
 
     ``tokenizer`` is the path of a tokenizer file that drops white space; ``mark`` one of its
-    special tokens; ``weights`` whole numbers by source (by default the token totals).
+    special tokens; ``weights`` whole numbers by source (by default the token totals). A task
+    works through ``step`` bytes of text at a time and remembers the ids of ``remembered`` words:
+    more of both costs memory and saves time, and changes no result.
     Null texts are empty and still give ``end_id``; a null source is a source of its own, last in
     order; null or repeated keys are packed row by row. A long text is cut wherever a round or a
     sequence ends. An empty table gives no rows. The number of sources is taken to be small
@@ -254,7 +281,7 @@ def pack(
     kind = rows.schema["id"].dataType.simpleString()
     path = scratch_path(spark, "tokens")
     shape = f"id {kind}, source string, part long, before long, n long, width int, ids binary"
-    rows.mapInArrow(_tokenise(tokenizer, mark, end_id), shape).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_tokenise(tokenizer, mark, end_id, remembered, step), shape).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.parquet(path)
     parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

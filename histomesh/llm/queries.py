@@ -97,7 +97,7 @@ def tokenizer_file() -> str:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    packed = packing.pack(docs, tokenizer_file())
+    packed = packing.pack(docs, tokenizer_file(), remembered=400_000, step=8 << 20)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
