@@ -9,31 +9,36 @@ everything within ``length`` bytes of it, between documents that share the ancho
 1. Copies of a whole text count once, for the first document that has it.
 2. Anchors are dealt out by hash. Snippets that are alike from end to end fall to the first
    of them; the others are repeated throughout. Anchors met once are settled.
-3. The first snippets of an anchor that is met in several surroundings are dealt out to
+3. Snippets of an anchor with more than ``CROWD`` surroundings are dealt out again by longer
+   pieces around it, halving the places at which a string may begin, until groups are bounded.
+4. The first snippets of an anchor that is met in several surroundings are dealt out to
    shards, and each shard's suffixes are sorted by external induced sorting. Where
    neighbours in that order share ``length`` bytes, all but the earliest start are repeats.
-4. Repeated stretches are joined with the texts.
+5. Repeated stretches are joined with the texts.
 
-Steps 1 and 2 only take away what needs no comparison; no piece of text is left out.
+Steps 1 to 3 only take away what needs no comparison; no piece of text is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut, scratch_path
+from histomesh.lineage import cut, scratch_path, small
 from histomesh.llm.induced import suffix_order
 from histomesh.llm.words import _VALUE, BACK, BASE, _powers, mixed, pieces, utf8
 
 GRAM = 32
 SHARD = 600_000
+CROWD = 4096
 BROADCAST_ROWS = 1_000_000
+BROADCAST_SNIPPETS = 100_000
 
 
 def _windows_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -166,15 +171,55 @@ def _cut_snippets(length: int):
             lists = batch.column(3)
             for row in range(batch.num_rows):
                 spots = lists[row].values
-                starts, ends, h = (spots.field(k).to_numpy() for k in ("start", "end", "h"))
+                starts, ends, h, at = (spots.field(k).to_numpy() for k in ("start", "end", "h", "at"))
                 text = data[offsets[row] : offsets[row + 1]].tobytes()
                 rows = pa.array(np.full(len(h), row))
                 snippets = pa.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts), snippets], ["h", "id", "tie", "start", "snippet"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at), pa.array(starts), snippets], ["h", "id", "tie", "at", "start", "snippet"])
 
     return run
 
 
+def deal_again(snippets: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Snippets of crowded anchors as (repeated stretches, open snippets of at most ``crowd`` a group).
+
+    A string of ``length`` bytes around an anchor begins 0 to ``length - GRAM`` bytes before it.
+    These places are halved: strings that begin ``low`` to ``high`` bytes before the anchor all
+    hold the bytes from ``low`` before it to ``length - high`` behind its start, so equal strings
+    meet under those bytes, and what is beyond the ``high`` and ``length - low`` goes. As in the
+    sieve, of pieces alike from end to end the first stays and the others are repeats; a group of
+    one is settled. With one place left the piece is the whole string, so no group stays crowded.
+    """
+    settled, bounded = [], []
+    items = snippets.select("*", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
+    for _ in range((length - GRAM).bit_length()):
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))
+        end = F.col("start") + F.octet_length("snippet")
+        items = items.select("h", "id", "tie", "at", "start", end.alias("end"), "snippet", F.explode(halves).alias("half"))
+        items = items.select("*", "half.low", "half.high").filter(f"low <= high AND at - low >= start AND at + {length} - high <= end")
+        within = lambda a, b: F.substring(F.col("snippet"), (a - F.col("start") + 1).cast("int"), (b - a).cast("int"))
+        begin, until = F.greatest(F.col("at") - F.col("high"), F.col("start")), F.least(F.col("at") + length - F.col("low"), F.col("end"))
+        core = within(F.col("at") - F.col("low"), F.col("at") + length - F.col("high"))
+        items = cut(
+            items.select(
+                F.xxhash64("h", "low", core).alias("h"), "id", "tie", "at", begin.alias("start"), within(begin, until).alias("snippet"), "low", "high", (F.col("at") - begin).alias("lead")
+            )
+        )
+        heads = items.groupBy("h", "lead", "snippet").agg(F.min(F.struct("id", "tie", "start", "at", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n"))
+        heads = cut(heads)
+        again = items.join(small(heads.filter("n > 1"), BROADCAST_SNIPPETS), ["h", "lead", "snippet"])
+        again = again.filter("id != first.id OR tie != first.tie OR start != first.start")
+        settled.append(again.select("id", "tie", "start", (F.col("start") + F.octet_length("snippet")).alias("end")))
+        groups = small(heads.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        heads = cut(heads.join(groups, "h").select("h", "first.id", "first.tie", "first.at", "first.start", "snippet", "first.low", "first.high", "size"))
+        bounded.append(heads.filter(F.col("size") <= crowd).select("h", "id", "tie", "start", "snippet"))
+        items = heads.filter(F.col("size") > crowd).drop("size")
+        if items.isEmpty():
+            break
+    return reduce(DataFrame.union, settled), reduce(DataFrame.union, bounded)
+
+
 def repeats(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, snippets: list[bytes], length: int, memory: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(snippet, offset) of all ``length``-byte strings of a shard that start earlier elsewhere."""
     order, common, first = suffix_order(snippets, *([memory] if memory else []))
@@ -270,13 +315,14 @@ def _apply():
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, crowd: int = CROWD) -> DataFrame:
     """Every document without its repeats: key, n_bytes, n_removed, n_spans, kept, kept_sha256.
 
     Null texts are empty; texts below ``length`` bytes are kept whole. Null ids come first. Rows
     that share id and text count as one document and get the same result; different texts under
     one id stand in the order of their hash. ``kept`` is bytes: a removed stretch may end
-    within a character. An empty table gives no rows.
+    within a character. An empty table gives no rows. ``crowd`` bounds the snippets of one
+    anchor in a shard; results don't depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{key}`"), F.lit(-(1 << 63))).cast("long").alias("id"), F.col(f"`{key}`").isNull().alias("no_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -286,9 +332,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     first = texts.select("first.id", "first.tie").distinct()
     first = cut(first)
     few = first.count() <= BROADCAST_ROWS
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     mine = rows.withColumn("tie", F.xxhash64("text"))
-    originals = mine.join(small(first), ["id", "tie"], "left_semi").select("id", "tie", "text")
+    originals = mine.join(near(first), ["id", "tie"], "left_semi").select("id", "tie", "text")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = "h long, c long, id long, tie long, at int, n int"
@@ -298,14 +344,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     shape = "open boolean, h long, id long, tie long, start long, end long, at long"
     ordered.mapInArrow(_sieve(length), shape).write.partitionBy("open").parquet(path)
     sieved = spark.read.schema(shape).parquet(path)
-    contested = sieved.filter("open").groupBy("id", "tie").agg(F.collect_list(F.struct("h", "start", "end")).alias("spots"))
-    pulled = mine.join(contested, ["id", "tie"]).select("id", "tie", "text", "spots")
-    snippets = pulled.mapInArrow(_cut_snippets(length), "h long, id long, tie long, start long, snippet binary")
+    repeated = not marks.filter("long").groupBy("id", "tie").count().filter("count > 1").isEmpty()
+
+    def snippets_of(spots: DataFrame) -> DataFrame:
+        contested = spots.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "start", "end", "at")).alias("spots"))
+        pulled = mine.join(contested, ["id", "tie"]).select("id", "tie", "text", "spots")
+        pulled = pulled.dropDuplicates(["id", "tie"]) if repeated else pulled
+        return pulled.mapInArrow(_cut_snippets(length), "h long, id long, tie long, at long, start long, snippet binary")
+
+    opened = sieved.filter("open")
+    crowded = small(opened.groupBy("h").count().filter(F.col("count") > crowd).select("h"))
+    if crowded.isEmpty():
+        snippets = snippets_of(opened).select("h", "id", "tie", "start", "snippet")
+        alike = sieved.filter("NOT open").select("id", "tie", "start", "end")
+    else:
+        again, bounded = deal_again(snippets_of(opened.join(crowded, "h", "left_semi")), length, crowd)
+        snippets = snippets_of(opened.join(crowded, "h", "left_anti")).select("h", "id", "tie", "start", "snippet").union(bounded)
+        alike = sieved.filter("NOT open").select("id", "tie", "start", "end").union(again)
     shards = snippets.repartition(parts, "h").sortWithinPartitions("h")
     sorted_path = scratch_path(spark, "repeats")
     shards.mapInArrow(_sort_shards(length), "id long, tie long, start long, end long").write.parquet(sorted_path)
     stretches = spark.read.schema("id long, tie long, start long, end long").parquet(sorted_path)
-    stretches = stretches.union(sieved.filter("NOT open").select("id", "tie", "start", "end"))
+    stretches = stretches.union(alike)
     spots = stretches.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spots"))
 
     copies = marks.filter("long").join(texts, "digest").filter((F.col("id") != F.col("first.id")) | (F.col("tie") != F.col("first.tie")))
