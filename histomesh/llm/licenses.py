@@ -2,14 +2,16 @@
 
 Notices are compared as words in lower case. Every template's word triples are winnowed into an
 inverted index of (template, place). A document's triples are winnowed alike, so that four
-words in a row that it shares with a template always give a common entry. Entries on
-neighbouring diagonals make a candidate, whose surroundings are aligned with the template
-inside a band: equal words count 1, others and gaps -1. Of overlapping matches the one with
-the best alignment stays.
+words in a row that it shares with a template always give a common entry. The diagonal of each
+entry makes a candidate, whose surroundings are aligned with the template inside a band: equal
+words count 1, others and gaps -1. What the band holds on both sides of the best alignment is
+aligned again, as notices may follow each other. Of overlapping matches the one with the best
+alignment stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,30 +113,23 @@ class Index:
         self.entries = [entries[k] for k in order]
 
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(template, word at which it would begin), one for entries on neighbouring diagonals."""
+        """(template, word at which it would begin), one for every diagonal with an entry."""
         h, at = winnowed(words)
         low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        met: dict[int, list[int]] = {}
-        for k in np.flatnonzero(high > low):
-            for template, place in self.entries[low[k] : high[k]]:
-                met.setdefault(template, []).append(int(at[k]) - place)
-        found = set()
-        for template, diagonals in met.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d > last + BAND:
-                    found.add((template, d))
-                    last = d
-        return found
-
-
-def align(template: np.ndarray, words: np.ndarray, begin: int) -> tuple[int, int, int, int]:
-    """(score, equal words, first word, word behind the last) of the best alignment in the band."""
+        return {(template, int(at[k]) - place) for k in np.flatnonzero(high > low) for template, place in self.entries[low[k] : high[k]]}
+
+
+def align(template: np.ndarray, words: np.ndarray, begin: int, low: int = 0, high: int | None = None) -> tuple[int, int, int, int]:
+    """(score, equal words, first word, word behind the last) of the best alignment in the band.
+
+    Only words from ``low`` up to ``high`` take part.
+    """
+    high = len(words) if high is None else high
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}
     for i, word in enumerate(template.tolist()):
         here: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, begin + i - BAND), min(len(words), begin + i + BAND + 1)):
+        for j in range(max(low, begin + i - BAND), min(high, begin + i + BAND + 1)):
             score, equal, start = above.get(j - 1, (0, 0, j))
             same = int(words[j]) == word
             cell = (score + 1, equal + 1, start) if same else (score - 1, equal, start)
@@ -156,16 +151,28 @@ def _index(templates: tuple) -> Index:
 
 def notices(index: Index, words: np.ndarray, coverage: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, equal words, first word, word behind the last), by place."""
-    found = []
+    found = set()
     for template, begin in index.candidates(words):
-        score, equal, start, end = align(index.words[template], words, begin)
-        share = equal / len(index.words[template])
-        if share >= coverage:
-            found.append((-score, template, start, end, equal, share))
+        size = len(index.words[template])
+        open_ = [(max(0, begin - BAND), min(len(words), begin + size + BAND))]
+        while open_:
+            low, high = open_.pop()
+            if high - low < coverage * size:
+                continue
+            score, equal, start, end = align(index.words[template], words, begin, low, high)
+            if not score:
+                continue
+            share = equal / size
+            if share >= coverage:
+                found.add((-score, template, start, end, equal, share))
+            open_ += [(low, start), (end, high)]
     kept: list[tuple] = []
+    starts: list[int] = []
     for match in sorted(found):
-        if all(match[3] <= k[2] or k[3] <= match[2] for k in kept):
-            kept.append(match)
+        at = bisect(starts, match[2])
+        if (not at or kept[at - 1][3] <= match[2]) and (at == len(kept) or match[3] <= starts[at]):
+            kept.insert(at, match)
+            starts.insert(at, match[2])
     return sorted((m[1], m[5], m[4], m[2], m[3]) for m in kept)
 
 
