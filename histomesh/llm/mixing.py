@@ -7,7 +7,9 @@ Neighbours in that line have nearly equal sizes, so the words a source gives sta
 about one document of its target.
 
 Running sums are taken per cell of (source, size class, part of the class): a source with a
-third of all rows is spread over its cells, and only cell counts meet in one place.
+third of all rows is spread over its cells, and only cell counts meet in one place. Parts are
+ranges of the line, between rows of the class picked by hash, so the line is the same however
+it is cut.
 """
 
 from __future__ import annotations
@@ -87,22 +89,22 @@ def mix(
     size counts 0. Empty documents cost nothing and are taken like their neighbours; a source
     of only empty documents has target 0 and takes nothing. Equal rows stand next to each
     other in the line and are sampled singly. An empty table gives an empty table. Input
-    columns of the four result names are replaced.
+    columns of the four result names are replaced. ``cell_rows`` bounds what is lined up in one
+    task, but for rows of one size and key that are equal throughout; results don't depend on it.
     """
     columns = docs.columns
     size = F.coalesce(size, F.lit(0)).cast("long")
     rows = packed(docs, key=F.col(f"`{key}`"), source=F.col(f"`{source}`"), size=size)
     targets = source_targets(rows.select("source", "size"), weights, share, most).withColumnRenamed("source", "of")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["of"]), "left").select(
-        "row",
-        "key",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        size_class(F.col("size")).alias("class"),
-        F.pmod(F.xxhash64("key"), F.ceil(F.col("n_docs") / cell_rows)).alias("part"),
-    )
+    # null keys come first among structs as they do in the line
+    place = F.struct("size", "key", F.xxhash64("row").alias("tie"))
+    rows = rows.withColumns({"class": size_class(F.col("size")), "place": place})
+    picked = rows.filter(F.pmod(F.xxhash64("place"), F.lit(max(cell_rows // 4, 1))) == 0)
+    bounds = picked.groupBy(F.col("source").alias("b"), F.col("class").alias("k")).agg(F.sort_array(F.collect_set("place")).alias("bounds"))
+    rows = rows.join(targets, rows["source"].eqNullSafe(targets["of"]), "left")
+    rows = rows.join(F.broadcast(bounds), rows["source"].eqNullSafe(F.col("b")) & (rows["class"] == F.col("k")), "left")
+    part = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("place"))))
+    rows = rows.select("row", "key", "source", "size", "source_size", "target", "class", part.alias("part"))
     cells = rows.groupBy("source", "class", "part").agg(F.count(F.lit(1)).alias("n"))
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))
     up_to = Window.unboundedPreceding
