@@ -2,8 +2,8 @@
 
 The field scores whole candidate segments of up to ``LONGEST`` tokens: their shape, lengths,
 checksums and surroundings. Dynamic programming over the tokens of a zone then chooses
-boundaries and types of all segments together. Zones are the stretches around digits and
-``@``; elsewhere every token is outside with score 0, so nothing needs to be computed there.
+boundaries and types of all segments together. Zones are the stretches of whole tokens around
+digits, ``@`` and words of ``LETTERS`` or more ASCII letters; elsewhere every token is outside with score 0, so nothing needs to be computed there.
 A zone grows with its text, a segment does not: work is linear in the text.
 
 The field is trained here: kinds of data are generated and planted into clean stretches of a
@@ -40,7 +40,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_ANCHOR = re.compile("[0-9@]")
+LETTERS = 16
+_MARK = re.compile("[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|(?<![^\W_])[A-Za-z]{%d,}" % LETTERS)
+_REST = re.compile(r"[^\W_]*")
 _DIGITS = re.compile("[^0-9]+")
 
 
@@ -94,14 +97,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
+def _word(c: str) -> bool:
+    return c.isalnum()
+
+
+def _long(text: str, start: int, end: int) -> bool:
+    """Whether a token is as long as a secret and of ASCII letters only."""
+    return end - start >= LETTERS and text[start:end].isascii() and text[start:end].isalpha()
+
+
 def zones(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each stretch around digits and ``@``, cut where ``taken`` spans lie."""
+    """Spans of whole tokens of each stretch around anchors, cut where ``taken`` spans lie."""
     at, n = 0, len(text)
     while anchor := _ANCHOR.search(text, at):
         start, end = max(at, anchor.start() - ROOM), anchor.end()
         while (more := _ANCHOR.search(text, end, end + ROOM)) is not None:
             end = more.end()
+        while at < start < n and _word(text[start]) and _word(text[start - 1]):
+            start -= 1
         at = min(n, end + ROOM)
+        at = _REST.match(text, at).end() if _word(text[at - 1]) else at
         run: list[tuple[int, int]] = []
         k = 0
         while k < len(taken) and taken[k][1] <= start:
@@ -153,6 +168,11 @@ def features(text: str, start: int, end: int) -> list[int]:
         mixture = sum(a.isdigit() != b.isdigit() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
         variety = len(set(compact)) / min(len(compact), 36)
         names += [f"m{int(8 * mixture)}", f"v{int(6 * variety)}", "h" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", compact) else "k"]
+    if _long(text, start, end):
+        lower = compact.lower()
+        turns = sum(a.islower() and b.isupper() or a.isupper() and b.islower() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
+        names += [f"t{int(8 * turns)}", f"o{int(10 * sum(c in 'aeiou' for c in lower) / len(lower))}"]
+        names.append(f"q{min(max(map(len, re.split('[aeiouy]', lower))), 9)}")
     if not letters and 14 <= digits <= 19:
         names.append(f"luhn{luhn(_DIGITS.sub('', span))}")
     if plain and re.match("[A-Za-z]{2}[0-9]{2}", compact) and 15 <= len(compact) <= 34:
@@ -165,12 +185,12 @@ def features(text: str, start: int, end: int) -> list[int]:
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
     """Segments (first token, token behind the last, features) worth scoring.
 
-    They begin and end in a letter, digit, ``+`` or bracket, hold a digit or ``@``, and run
-    over white space only between short groups that hold digits or brackets.
+    They begin and end in a letter, digit, ``+`` or bracket, hold a digit, ``@`` or a
+    word of ``LETTERS`` or more ASCII letters, and run over white space only between short groups that hold digits or brackets.
     """
     found, n = [], len(tokens)
     numeric = [any(c.isdigit() or c in "()+-" for c in text[a:b]) for a, b in tokens]
-    anchored = [any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in tokens]
+    anchored = [_long(text, a, b) or any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in tokens]
     for i, (start, b) in enumerate(tokens):
         if not (text[start].isalnum() or text[start] in "+("):
             continue
@@ -281,7 +301,13 @@ def _made(kind: str, r: random.Random) -> str:
         return r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{r.randint(1, 99)}-{a}-{b}-{c}"])
     if kind == "secret":
         code = "0123456789abcdef" if r.random() < 0.6 else "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        code = code[10:] if len(code) > 16 and r.random() < 0.4 else code
         return "".join(r.choice(code) for _ in range(r.choice([24, 32, 32, 36, 40, 40, 40, 64])))
+    if kind == "long word":
+        parts = []
+        while sum(map(len, parts)) < LETTERS:
+            parts.append("".join(r.choice(["b", "d", "str", "g", "l", "m", "nt", "r", "ch", "t", "s", "v", ""]) + r.choice(["a", "e", "i", "o", "u", "ie"]) for _ in range(r.randint(1, 4))) + r.choice(["", "n", "r", "st", "ng"]))
+        return r.choice([str.lower, str.lower, str.capitalize, str.upper])("".join(parts)) if r.random() < 0.6 else "".join(x.capitalize() for x in parts)
     if kind in ("iban", "not iban"):
         head, tail = "".join(r.choice("DEFRITESGBNL") for _ in range(2)), digits(r.randint(14, 20))
         check = 98 - int("".join(str(int(c, 36)) for c in tail + head + "00")) % 97
@@ -311,12 +337,12 @@ _LEADS = {
 def training(stretches: list[str], n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """``n`` texts with the (start, end, kind) of what was planted into them."""
     r, found = random.Random(seed), []
-    carriers = [s for s in stretches if not _ANCHOR.search(s)] or ["and then there is nothing more to say about it"]
+    carriers = [s for s in stretches if not _MARK.search(s)] or ["and then there is nothing more to say about it"]
     for _ in range(n):
         words = r.choice(carriers).split(" ")
         text, spans = " ".join(words[: len(words) // 2]), []
         for _ in range(r.choice([1, 1, 2])):
-            kind = r.choice([*KINDS, "not card", "not iban", *["other"] * 6])
+            kind = r.choice([*KINDS, "not card", "not iban", "long word", *["other"] * 6])
             value = _made(kind, r)
             lead = r.choice(_LEADS.get(kind, ("{}",)))
             at = len(text) + 1 + lead.index("{")
@@ -387,7 +413,12 @@ def _find(field: Field, caution: float):
         for batch in batches:
             texts = batch.column("_text")
             data, offsets = utf8(texts)
-            marks = np.concatenate(([0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))))
+            folded = data | 32
+            letters = np.concatenate(([0], np.cumsum((folded >= 97) & (folded <= 122))))
+            anchor = ((data >= 48) & (data <= 57)) | (data == 64)
+            if len(data) >= LETTERS:
+                anchor[LETTERS - 1 :] |= letters[LETTERS:] - letters[:-LETTERS] == LETTERS
+            marks = np.concatenate(([0], np.cumsum(anchor)))
             worth = marks[offsets[1:]] > marks[offsets[:-1]]
             base, every, clean = [], [], []
             for row, look in enumerate(worth):
