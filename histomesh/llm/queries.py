@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import covertree, imatch, langid, licenses, minhash, mixing, packing, personal, ring, suffix
+from histomesh.llm import audit, covertree, imatch, langid, licenses, minhash, mixing, packing, personal, ring, suffix
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -175,3 +175,47 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.filter(fold != 1))
     held_out = F.coalesce(fold == 1, F.lit(False))
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+
+
+@query
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return audit.audit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+SQL["op11_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false)::INT AS mask
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), h AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask
+), x AS (SELECT unnest([0, 1, 2, 3, 4]) AS k), o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(ks, lambda k: substr('ABCDE', k + 1, 1)), '') AS filter_order, step::INT AS step, ks[step] AS k,
+    coalesce(list_sum(list_transform(ks[1:step - 1], lambda k: 1 << k)), 0)::BIGINT AS before
+  FROM o, range(1, 6) r(step)
+), p AS (
+  SELECT part, filter_order, step, k,
+    coalesce(sum(n) FILTER (mask & (before | (1 << k)) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & (1 << k) > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & (1 << k) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = 1 << k), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & (1 << k) > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & (1 << k) > 0), 0) AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, k
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM p
+"""
