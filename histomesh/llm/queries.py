@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import audit, covertree, imatch, langid, licenses, minhash, mixing, packing, personal, ring, suffix
+from histomesh.llm import audit, covertree, imatch, langid, licenses, minhash, mixing, packing, personal, positional, ring, suffix
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -219,3 +219,36 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
   (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
 FROM p
 """
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = positional.contamination(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL["op12_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS phrase
+  FROM b, range(1, 100000) t(p) WHERE len(w) > 0 AND p <= greatest(len(w) - 9, 1)
+), g AS (
+  SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d), (SELECT DISTINCT n FROM q) WHERE p + n - 1 <= len(w)
+), m AS (SELECT r, p, n, item_id FROM g JOIN q USING (n, phrase)
+), h AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS place FROM m) GROUP BY r
+), i AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items
+  FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS name FROM m) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""
