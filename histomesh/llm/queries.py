@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.llm import audit, covertree, imatch, langid, licenses, minhash, mixing, packing, personal, positional, ring, suffix
+from histomesh.llm import audit, covertree, imatch, langid, licenses, minhash, mixing, packing, personal, positional, ring, suffix, turns
 from histomesh.llm.frames import pick
 
 QUERIES = {}
@@ -252,3 +252,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 """
+
+
+@query
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return turns.repaired_digests(turns.damaged(talks), talks)

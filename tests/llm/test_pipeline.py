@@ -52,8 +52,8 @@ def test_stages_on_no_and_odd_rows(spark, none, odd):
         stage(spark, odd, "").count()
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     import __spark_entry__ as repo
 
     names = [n for n in repo.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11 and set(queries.SQL) <= set(queries.QUERIES)
+    assert len(names) == 14 and set(queries.SQL) <= set(queries.QUERIES)
