@@ -86,26 +86,55 @@ def k04_peaks(spark, sf_dir):
 
 def separate(spark, sf_dir):
     """Cells of the first cohort, moved far apart by compartment, as vectors of coordinates."""
-    far = F.expr("CASE compartment WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END")
+    far = F.expr(FAR)
     cells = cells_o(spark, sf_dir).withColumn("v", F.array(F.col("x") + 9000 * far, F.col("y") - 7000 * far * far))
     return cut(k.as_vectors(cells, "v"))
 
 
-@query("k01_fit_range")
-def k01(spark, sf_dir):
-    labels, _ = k.fit_range(separate(spark, sf_dir), 2, 4, seed=7)
-    return labels.groupBy("k", "run").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_distinct("label").alias("labels")
-    )
+FAR = "CASE compartment WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END"
 
 
 @query(
-    "k05_assign_domains",
-    f"""WITH {CELLS_O} SELECT sample_id, cell_id, min(cell_id) OVER (PARTITION BY compartment) AS first_cell FROM cells_o""",
+    "k01_fit_range",
+    f"""WITH {CELLS_O} SELECT k.k, r.run, (SELECT count(*) FROM cells_o) AS cells, k.k > 2 AS keeps_groups
+        FROM range(1, 18) k(k), range(10) r(run)""",
 )
-def k05(spark, sf_dir):
+def k01(spark, sf_dir):
+    """Every fit of k 2 to 16 and its neighbours: from three components on, no label spans two far groups."""
     points = separate(spark, sf_dir)
-    models = {(3, run): k.fit_one(points, 3, run, seed=7) for run in range(10)}
-    found = cut(k.assign_domains(points, models[3, k.likeliest(models, 3)]))
+    labels, _ = k.fit_range(points, 2, 16, seed=7, convergence=None)
+    group = cells_o(spark, sf_dir).select("sample_id", "cell_id", F.expr(FAR).alias("far"))
+    fits = cut(labels).join(group, ["sample_id", "cell_id"]).groupBy("k", "run", "label", "far").agg(F.count(F.lit(1)).alias("n"))
+    per_label = fits.groupBy("k", "run", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    return rounded(per_label.groupBy("k", "run").agg(F.sum("n").alias("cells"), (F.max("groups") == 1).alias("keeps_groups")))
+
+
+def groups_of(found):
     first = found.groupBy("compartment").agg(F.min("cell_id").alias("first_cell"))
     return found.join(first, "compartment").select("sample_id", "cell_id", "first_cell")
+
+
+ALIKE = f"WITH {CELLS_O} SELECT sample_id, cell_id, min(cell_id) OVER (PARTITION BY compartment) AS first_cell FROM cells_o"
+
+
+@query("k05_assign_domains", ALIKE)
+def k05(spark, sf_dir):
+    points = separate(spark, sf_dir)
+    models = k.fit_many(points, [(3, run) for run in range(10)], seed=7)
+    return groups_of(cut(k.assign_domains(points, models[3, k.likeliest(models, 3)])))
+
+
+@query(
+    "k05_find_domains",
+    f"""WITH {CELLS_O} SELECT sample_id, cell_id, CAST(CAST(cell_id AS BIGINT) % 4 AS BIGINT) AS first_group,
+        CAST(CAST(cell_id AS BIGINT) % 4 AS BIGINT) AS last_group FROM cells_o""",
+)
+def k05_found(spark, sf_dir):
+    """The whole search over k 2 to 16 on four far groups: no domain of the k it chooses spans two."""
+    group = F.pmod(F.col("cell_id").cast("long"), F.lit(4))
+    corner = 20_000 * F.floor(group / 2), 20_000 * (group % 2)
+    cells = cells_o(spark, sf_dir).withColumn("v", F.array(F.col("x") + corner[0], F.col("y") + corner[1]))
+    found, _, _ = k.find_domains(k.as_vectors(cells, "v"), seed=7)
+    found = cut(found.withColumn("far", group))
+    spans = found.groupBy("compartment").agg(F.min("far").alias("first_group"), F.max("far").alias("last_group"))
+    return rounded(found.join(spans, "compartment").select("sample_id", "cell_id", "first_group", "last_group"))

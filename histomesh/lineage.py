@@ -43,6 +43,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Materialise ``df`` dealt out by ``keys``, which what is read from it still knows.
+
+    A join or grouping on exactly these keys then moves no row of it. The layout is only kept
+    if it is planned without adaptive changes, so these are off while it is written.
+    """
+    spark = df.sparkSession
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return cut(df.repartition(n, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set(adaptive, before)
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df``, kept, and broadcast where it is joined if a count proves it has at most ``most`` rows.
 

@@ -9,38 +9,46 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut
+from histomesh.lineage import cut, dealt
 
 # How the vectors of a ring can be summarised, and what is summed up for it.
 AGGREGATES = {"mean": "mean", "var": "variance", "min": "min", "max": "max", "sum": "sum"}
+COLUMNWISE = {"mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max, "sum": F.sum}
+
+#: So many result columns are still cheaper than summaries of whole vectors.
+NARROW = 96
 
 
 def hop_rings(edges: DataFrame, layers: int = 3) -> DataFrame:
     """Nodes at exactly 1, 2, ... ``layers`` hops from every source.
 
     Returns ``(sample_id, src, hop, dst)``. A node belongs to the first ring that
-    reaches it; the source itself belongs to none. Rings that later hops build on
-    are written out, so a lost executor repeats one hop and not all of them.
+    reaches it; the source itself belongs to none. Links lie dealt out by source, one row of
+    neighbours each, so a hop moves only its frontier: once to its nodes' neighbours and, with
+    them, back to the sources. Every ring is written out, so a lost executor repeats one hop
+    and not all of them.
     """
     if layers < 1:
         raise ValueError("the number of layers must be positive")
-    key = ["sample_id", "src", "dst"]
-    links = cut(edges.where("src <> dst").select(*key).distinct())
-    rings = [links.withColumn("hop", F.lit(1))]
-    step = links.withColumnsRenamed({"src": "via", "dst": "next"})
+    key = ["sample_id", "src"]
+    links = cut(edges.where("src <> dst").select(*key, "dst"))
+    near = links.groupBy(*key).agg(F.collect_set("dst").alias("last"))
+    near = dealt(near.withColumn("seen", F.concat(F.array("src"), "last")), key)
+    step = near.select("sample_id", F.col("src").alias("via"), F.col("last").alias("next"))
+    rings, state = [_ring(near, 1)], near
     for hop in range(2, layers + 1):
-        reached = (
-            rings[-1]
-            .select("sample_id", "src", F.col("dst").alias("via"))
-            .join(step, ["sample_id", "via"])
-            .where("next <> src")
-            .select("sample_id", "src", F.col("next").alias("dst"), F.lit(hop).alias("hop"))
-        )
-        # One aggregation both removes repeats and keeps the first ring.
-        seen = reduce(DataFrame.unionByName, [ring.select(*key, "hop") for ring in rings], reached)
-        fresh = seen.groupBy(*key).agg(F.min("hop").alias("hop")).where(F.col("hop") == hop)
-        rings.append(cut(fresh) if hop < layers else fresh)
-    return reduce(DataFrame.unionByName, rings).select("sample_id", "src", "hop", "dst")
+        frontier = state.select(*key, F.explode("last").alias("via"))
+        reached = frontier.join(step, ["sample_id", "via"]).select(*key, "next").repartition(*key)
+        met = reached.groupBy(*key).agg(F.flatten(F.collect_list("next")).alias("met"))
+        fresh = F.array_except("met", "seen")
+        after = state.drop("last").join(met, key).withColumn("last", fresh).where(F.size("last") > 0)
+        state = dealt(after.select(*key, "last", F.concat("seen", "last").alias("seen")), key)
+        rings.append(_ring(state, hop))
+    return reduce(DataFrame.unionByName, rings)
+
+
+def _ring(state: DataFrame, hop: int) -> DataFrame:
+    return state.select("sample_id", "src", F.lit(hop).alias("hop"), F.explode("last").alias("dst"))
 
 
 def aggregate_hops(
@@ -54,8 +62,8 @@ def aggregate_hops(
     """Each cell's own vector followed by one summary per ring and function.
 
     The result ``features`` has ``dim * (1 + layers * len(funcs))`` entries; a
-    ring without nodes contributes zeros. Whole vectors are summarised at once, combined
-    before the shuffle; the variance is that of the ring itself, not of a sample.
+    ring without nodes contributes zeros. The variance is that of the ring itself, not of a
+    sample.
     """
     unknown = [name for name in funcs if name not in AGGREGATES]
     if unknown:
@@ -66,6 +74,37 @@ def aggregate_hops(
         dim = first["n"] if first else 0
     values = own.select("sample_id", F.col("cell_id").alias("dst"), F.col("own").alias("v"))
     around = rings.join(values.where("v IS NOT NULL"), ["sample_id", "dst"])
+    narrow = dim * layers * len(funcs) <= NARROW
+    wide = _by_columns(around, dim, layers, funcs) if narrow else _by_vectors(around, layers, funcs)
+    nothing = F.array_repeat(F.lit(0.0), dim)
+    parts = [
+        F.coalesce(F.col(f"{name}_{hop}"), nothing)
+        for hop in range(1, layers + 1)
+        for name in funcs
+    ]
+    return own.join(wide, ["sample_id", "cell_id"], "left").select(
+        "sample_id", "cell_id", F.concat("own", *parts).alias("features")
+    )
+
+
+def _by_columns(around: DataFrame, dim: int, layers: int, funcs) -> DataFrame:
+    """Short vectors: one column for each entry, ring and function, in one grouping.
+
+    Rows are dealt out by source first, as a source's rows rarely meet before.
+    """
+    def ring(hop: int, name: str):
+        entries = [F.when(F.col("hop") == hop, F.col("v")[i]) for i in range(dim)]
+        whole = F.count_if(F.col("hop") == hop) > 0
+        return F.when(whole, F.array(*[COLUMNWISE[name](entry) for entry in entries])).alias(f"{name}_{hop}")
+
+    rows = around.select("sample_id", "src", "hop", "v").repartition("sample_id", "src")
+    return rows.groupBy("sample_id", F.col("src").alias("cell_id")).agg(
+        *[ring(hop, name) for hop in range(1, layers + 1) for name in funcs]
+    )
+
+
+def _by_vectors(around: DataFrame, layers: int, funcs) -> DataFrame:
+    """Long vectors: whole vectors are summarised at once, combined before the shuffle."""
     metrics = Summarizer.metrics("count", *[AGGREGATES[name] for name in funcs])
     summed = around.groupBy("sample_id", "src", "hop").agg(metrics.summary(array_to_vector("v")).alias("s"))
 
@@ -82,13 +121,36 @@ def aggregate_hops(
         for hop in range(1, layers + 1)
         for name in funcs
     ]
-    wide = per_ring.groupBy("sample_id", F.col("src").alias("cell_id")).agg(*placed)
-    nothing = F.array_repeat(F.lit(0.0), dim)
-    parts = [
-        F.coalesce(F.col(f"{name}_{hop}"), nothing)
-        for hop in range(1, layers + 1)
-        for name in funcs
-    ]
-    return own.join(wide, ["sample_id", "cell_id"], "left").select(
-        "sample_id", "cell_id", F.concat("own", *parts).alias("features")
+    return per_ring.groupBy("sample_id", F.col("src").alias("cell_id")).agg(*placed)
+
+
+def aggregate_entries(entries: DataFrame, rings: DataFrame, funcs=("mean",)) -> DataFrame:
+    """Surroundings of sparse cells, entry by entry: ``(sample_id, cell_id, hop, stat, gene, value)``.
+
+    ``entries(sample_id, cell_id, gene, x)`` holds the non-zero values of cells, each once; any
+    number of genes will do. Ring h of a cell gives ``stat`` over all its nodes, those without an
+    entry counting as 0; hop 0 with stat ``own`` are the cell's own values. Zero values have no row.
+    """
+    unknown = [name for name in funcs if name not in AGGREGATES]
+    if unknown:
+        raise ValueError(f"unknown aggregations: {', '.join(unknown)}")
+    source = ["sample_id", "src", "hop"]
+    sizes = rings.groupBy(*source).agg(F.count(F.lit(1)).alias("nodes"))
+    at = rings.join(entries.select("sample_id", F.col("cell_id").alias("dst"), "gene", "x"), ["sample_id", "dst"])
+    met = at.groupBy(*source, "gene").agg(
+        F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"),
+        F.min("x").alias("low"), F.max("x").alias("high"),
     )
+    share, rest = F.col("n") / F.col("nodes"), F.col("nodes") > F.col("n")
+    stat = {
+        "mean": F.col("s") / F.col("nodes"),
+        "sum": F.col("s"),
+        # Variance of the entries and of the zeros, and of their means.
+        "var": share * F.col("v") + share * (1 - share) * F.col("m") * F.col("m"),
+        "min": F.when(rest, F.least("low", F.lit(0.0))).otherwise(F.col("low")),
+        "max": F.when(rest, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")),
+    }
+    named = F.explode(F.create_map(*[part for name in funcs for part in (F.lit(name), stat[name])])).alias("stat", "value")
+    around = met.join(sizes, source).select("sample_id", F.col("src").alias("cell_id"), "hop", named, "gene")
+    own = entries.select("sample_id", "cell_id", F.lit(0).alias("hop"), F.lit("own").alias("stat"), "gene", F.col("x").alias("value"))
+    return own.unionByName(around).where("value <> 0").select("sample_id", "cell_id", "hop", "stat", "gene", "value")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from histomesh.lineage import cut, small
 from histomesh.operators.checks import CheckFailed
+from histomesh.operators.gram import principal_axes, projected, sparse_rows
 
 # Fixed value: the feature type that is expression.
 EXPRESSION = "Gene Expression"
@@ -67,75 +63,57 @@ def log_normalize(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
     )
 
 
-# The widest vector the component fit accepts.
+# The widest panel whose square the driver is asked to hold for a component fit.
 WIDEST_PANEL = 65_535
 
 
 def gene_index(genes: DataFrame) -> DataFrame:
-    """Genes in name order, numbered from zero; a panel of bounded, checked size."""
+    """Genes in name order, numbered from zero."""
     listed = genes.select("gene").distinct()
-    size = listed.count()
-    if size > WIDEST_PANEL:
-        raise ValueError(f"{size} genes; a cell vector can have at most {WIDEST_PANEL}")
-    names = F.sort_array(F.collect_list("gene"))
-    return listed.agg(F.posexplode(names).alias("ix", "gene"))
+    return listed.agg(F.posexplode(F.sort_array(F.collect_list("gene"))).alias("ix", "gene"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _dense(own_ix: pd.Series, own_x: pd.Series, mean_ix: pd.Series, mean_x: pd.Series, size: pd.Series) -> pd.Series:
-    """Sparse entries as dense rows, minus the means of their sample; whole batches at once."""
-    rows = np.zeros((len(size), int(size.iloc[0]) if len(size) else 0))
-    for ix, x, sign in ((mean_ix, mean_x, -1.0), (own_ix, own_x, 1.0)):
-        there = [k for k, part in enumerate(ix) if part is not None and len(part)]
-        if there:
-            at = np.repeat(there, [len(ix.iloc[k]) for k in there])
-            values = sign * np.concatenate([x.iloc[k] for k in there])
-            np.add.at(rows, (at, np.concatenate([ix.iloc[k] for k in there])), values)
-    return pd.Series(list(rows))
+def indexed_entries(expression: DataFrame) -> tuple[DataFrame, int]:
+    """``(sample_id, cell_id, ix, x)`` of expression, genes by their number, and the panel's size."""
+    index = cut(gene_index(expression))
+    return expression.join(small(index), "gene").select("sample_id", "cell_id", "ix", "x"), index.count()
 
 
-def expression_vectors(expression: DataFrame, cells: DataFrame, centre: bool = False) -> DataFrame:
-    """One dense array per cell over the gene panel, optionally centred per sample.
+def expression_vectors(expression: DataFrame, cells: DataFrame) -> DataFrame:
+    """One array per cell over the gene panel, however wide the panel is.
 
     ``expression(sample_id, cell_id, gene, x)`` holds non-zero entries only;
-    cells without any still get a row. Cells travel as sparse pairs and become
-    dense only inside a task. Every array is one panel long, however many cells.
+    cells without any still get a row. Cells travel as sparse pairs; the zeros between two
+    entries are put in where the row is made.
     """
-    index = cut(gene_index(expression))
-    indexed = expression.join(F.broadcast(index), "gene")
-    keys = cells.select("sample_id", "cell_id")
-    sparse = indexed.groupBy("sample_id", "cell_id").agg(
-        F.collect_list(F.struct("ix", "x")).alias("entries")
-    )
-    joined = keys.join(sparse, ["sample_id", "cell_id"], "left")
-    if centre:
-        members = keys.groupBy("sample_id").agg(F.count(F.lit(1)).alias("members"))
-        average = F.struct("ix", (F.col("s") / F.col("members")).alias("x"))
-        means = (
-            indexed.groupBy("sample_id", "ix")
-            .agg(F.sum("x").alias("s"))
-            .join(members, "sample_id")
-            .groupBy("sample_id")
-            .agg(F.collect_list(average).alias("means"))
-        )
-        joined = joined.join(means, "sample_id", "left")
-    else:
-        joined = joined.withColumn("means", F.lit(None).cast("array<struct<ix:int,x:double>>"))
-    vector = _dense("entries.ix", "entries.x", "means.ix", "means.x", F.lit(index.count()))
-    return joined.select("sample_id", "cell_id", vector.alias("embedding"))
+    keys = ["sample_id", "cell_id"]
+    entries, size = indexed_entries(expression)
+    joined = cells.select(*keys).join(sparse_rows(entries, keys), keys, "left")
+    ix, x = F.coalesce("ix", F.array().cast("array<int>")), F.coalesce("x", F.array().cast("array<double>"))
+    before = F.concat(F.array(F.lit(-1)), ix)
+    after = F.concat(ix, F.array(F.lit(size)))
+    gaps = F.zip_with(before, after, lambda a, b: F.array_repeat(F.lit(0.0), b - a - 1))
+    values = F.concat(F.transform(x, lambda v: F.array(v)), F.array(F.array().cast("array<double>")))
+    vector = F.flatten(F.zip_with(gaps, values, lambda gap, v: F.concat(gap, v)))
+    return joined.select(*keys, vector.alias("embedding"))
 
 
 def pca_representation(expression: DataFrame, cells: DataFrame, k: int = 30) -> DataFrame:
-    """Principal components of expression after centring each sample."""
-    size = expression.select("gene").distinct().count()
+    """Principal components of expression after centring each sample.
+
+    From sparse sums (see ``gram``); the square of the panel is bounded by ``WIDEST_PANEL``.
+    Entries of cells that are not listed take no part.
+    """
+    keys = ["sample_id", "cell_id"]
+    entries, size = indexed_entries(expression)
     if not 1 <= k <= size:
         raise ValueError(f"k must lie between 1 and the number of genes, {size}")
-    vectors = expression_vectors(expression, cells, centre=True)
-    dense = cut(vectors.select("sample_id", "cell_id", array_to_vector("embedding").alias("features")))
-    model = PCA(k=k, inputCol="features", outputCol="scores").fit(dense)
-    return model.transform(dense).select(
-        "sample_id", "cell_id", vector_to_array("scores").alias("embedding")
-    )
+    if size > WIDEST_PANEL:
+        raise ValueError(f"{size} genes; a component fit takes at most {WIDEST_PANEL}")
+    entries = cut(entries.join(cells.select(*keys), keys, "left_semi"))
+    members = cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("members"))
+    axes, _ = principal_axes(entries, members, size, k)
+    return projected(entries, cells, axes)
 
 
 def cell_representation(cells: DataFrame, expression: DataFrame, use: str | None = "X_pca", k: int = 30) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut
-from histomesh.operators import align, checks, composition, domains, neighbors, review
+from histomesh.operators import align, checks, composition, domains, neighbors, normalize, review
 from histomesh.operators.delaunay import delaunay_edges
-from histomesh.operators.hops import aggregate_hops, hop_rings
+from histomesh.operators.hops import aggregate_entries, aggregate_hops, hop_rings
 from histomesh.sources import sinks
 
 KEY = ["sample_id", "cell_id"]
@@ -39,7 +39,7 @@ def spatial_graph(cells: DataFrame, mode: str = "delaunay", k: int = 6, radius:
 
 def run_domains(
     cells: DataFrame,
-    vec: str = "embedding",
+    vec: str | None = "embedding",
     mode: str = "delaunay",
     k: int = 6,
     radius: float | None = None,
@@ -47,14 +47,35 @@ def run_domains(
     layers: int = 3,
     funcs=("mean",),
     reduce_to: int | None = None,
+    expression: DataFrame | None = None,
+    components: int = 30,
     **clustering,
 ) -> dict[str, object]:
-    """Graph, pruning, hop features, mixture fits over k, and labels."""
+    """Representation, graph, pruning, hop features, mixture fits over k, and labels.
+
+    ``vec`` names an array column of the cells. If they don't have it, it is made of
+    ``expression``: ``components`` principal components. ``None`` and ``"X"`` mean expression itself; its
+    surroundings stay sparse, and their ``reduce_to`` components, or ``components``, are clustered.
+    """
     require_labelled(cells)
     checks.require(checks.coordinate_violations(cells))
-    edges = neighbors.prune_long(spatial_graph(cells, mode, k, radius), percentile)
-    features = aggregate_hops(cells, hop_rings(edges, layers), vec, layers, funcs)
-    vectors = domains.as_vectors(features, "features", reduce_to)
+    itself = vec in (None, "X")
+    if expression is None and (itself or vec not in cells.columns):
+        raise KeyError(f"the cells have no representation {vec!r}, and there is no expression to make it of")
+    edges = cut(neighbors.prune_long(spatial_graph(cells, mode, k, radius), percentile))
+    rings = hop_rings(edges, layers)
+    if itself:
+        around = aggregate_entries(expression, cut(rings), funcs)
+        named = F.concat_ws("/", F.col("hop").cast("string"), "stat", "gene").alias("gene")
+        long = cut(around.select(*KEY, named, F.col("value").alias("x")))
+        made = normalize.pca_representation(long, cells, min(reduce_to or components, long.select("gene").distinct().count()))
+        vectors = domains.as_vectors(made, "embedding")
+    else:
+        own = cells
+        if vec not in cells.columns:
+            made = normalize.cell_representation(cells, expression, vec, components)
+            own = cells.join(made.withColumnRenamed("embedding", vec), KEY)
+        vectors = domains.as_vectors(aggregate_hops(own, rings, vec, layers, funcs), "features", reduce_to)
     assigned, stability, best = domains.find_domains(vectors, **clustering)
     labelled = cells.drop("compartment").join(assigned, KEY)
     return {

@@ -12,7 +12,7 @@ import __spark_entry__ as repo
 from catalog import registry
 
 DATA = "/root/testdata/sf0.001"
-ROWS_ONLY = {"g03_delaunay_orders", "k01_fit_range", "m03_representation"}
+ROWS_ONLY = {"g03_delaunay_orders", "m03_representation"}
 QUICK = (
     "a01_domain_abundance", "a07_abundance", "a14_neighbor_summary", "d07_coordinates", "d09_count_diff",
     "g01_knn", "g02_radius", "g03_delaunay", "j03_cohort_genes_outer", "j05_recovery", "k03_stability",

@@ -378,3 +378,112 @@ def test_results_reload_with_labels_as_text(spark):
 def test_wrong_stability_parameters(spark):
     with pytest.raises(ValueError):
         d.fit_range(spark.range(1), 1, 3)
+
+
+def blobs(spark, seed=3, n=600, d=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    places = rng.normal(0, 40, (4, d))
+    at = rng.integers(0, 4, n)
+    points = places[at] + rng.normal(0, 1, (n, d)) * np.array([1.0, 2.0, 0.5, 3.0])[at][:, None]
+    rows = [(f"s{i % 3}", str(i), points[i].tolist()) for i in range(n)]
+    return points, at, d_vectors(spark, rows)
+
+
+def d_vectors(spark, rows):
+    return d.as_vectors(spark.createDataFrame(rows, "sample_id string, cell_id string, features array<double>")).repartition(3)
+
+
+def test_mixtures_fitted_together_equal_plain_steps(spark):
+    """One scan advances all fits: the likelihood is that of the density, and the moments those of the groups."""
+    import numpy as np
+
+    points, at, vectors = blobs(spark)
+    models = d.fit_many(vectors, [(4, 0), (4, 1), (2, 0)], seed=5, tol=1e-6)
+    best = models[4, d.likeliest(models, 4)]
+    for group in range(4):
+        own = points[at == group]
+        k = int(np.argmin(((best.means - own.mean(0)) ** 2).sum(1)))
+        assert np.allclose(best.means[k], own.mean(0), atol=0.05) and np.allclose(best.covariances[k], np.cov(own.T, bias=True), atol=0.2)
+        assert best.weights[k] == pytest.approx(len(own) / len(points), abs=0.01)
+    for model in models.values():
+        total = 0.0
+        for x in points:
+            dens = [w * np.exp(-0.5 * (x - m) @ np.linalg.solve(c, x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(model.weights, model.means, model.covariances, strict=True)]
+            total += np.log(sum(dens))
+        assert model.log_likelihood == pytest.approx(total, rel=1e-3)
+    labels = {r["cell_id"]: r["labels"] for r in d.stacked_labels(vectors, list(models.values())).collect()}
+    for i, x in enumerate(points):
+        for place, model in enumerate(models.values()):
+            logs = [np.log(w) - 0.5 * (x - m) @ np.linalg.solve(c, x - m) - 0.5 * np.linalg.slogdet(c)[1] for w, m, c in zip(model.weights, model.means, model.covariances, strict=True)]
+            assert labels[str(i)][place] == int(np.argmax(logs))
+
+
+def test_search_does_not_depend_on_how_many_runs_share_a_scan(spark):
+    _, _, vectors = blobs(spark, n=200)
+    found = [d.search(vectors, 2, 5, 4, seed=1, max_iter=20, convergence=c, at_once=n) for c, n in ((None, 1), (None, 4), (0.05, 1), (0.05, 3))]
+    tables = [{r["k"]: (round(r["mean_stability"], 9), r["n_comparisons"]) for r in s.stability.collect()} for s in found]
+    assert tables[0] == tables[1] and tables[2] == tables[3] and len(tables[0]) == 4
+    long, models = d.fit_range(vectors, 2, 5, 4, seed=1, max_iter=20, convergence=None)
+    slow = {r["k"]: (round(r["mean_stability"], 9), r["n_comparisons"]) for r in d.stability(d.neighbour_agreements(long), 2, 5).collect()}
+    assert slow == tables[0] and set(models) == set(found[0].models)
+
+
+def test_mixtures_of_few_or_equal_points(spark):
+    equal = d_vectors(spark, [("s", str(i), [1.0, 2.0]) for i in range(5)])
+    models = d.fit_many(equal, [(3, 0)], max_iter=4)
+    assert abs(models[3, 0].means - [1.0, 2.0]).max() < 1e-6
+    with pytest.raises(ValueError, match="no vectors"):
+        d.fit_many(d_vectors(spark, []), [(2, 0)])
+
+
+def test_components_equal_a_dense_decomposition(spark):
+    import numpy as np
+
+    from histomesh.operators import gram
+
+    rng = np.random.default_rng(2)
+    dense = rng.poisson(0.4, (80, 9)).astype(float)
+    dense[7] = 0
+    sample = np.arange(80) % 3
+    rows = [(f"s{sample[i]}", str(i), f"g{j}", float(dense[i, j])) for i in range(80) for j in range(9) if dense[i, j]]
+    x = spark.createDataFrame(rows, "sample_id string, cell_id string, gene string, x double").repartition(4)
+    cells = spark.createDataFrame([(f"s{sample[i]}", str(i)) for i in range(80)], "sample_id string, cell_id string")
+    centred = dense - np.array([dense[sample == s].mean(0) for s in range(3)])[sample]
+    values, axes = np.linalg.eigh(centred.T @ centred)
+    scores = {r["cell_id"]: r["embedding"] for r in m.pca_representation(x, cells, 4).collect()}
+    wanted = np.abs(centred @ axes[:, ::-1][:, :4])
+    assert np.allclose(np.abs([scores[str(i)] for i in range(80)]), wanted, atol=1e-8)
+    entries, size = m.indexed_entries(x)
+    rows = gram.sparse_rows(entries, ["sample_id", "cell_id"])
+    for held in (8 * size, 8 * size * 3, 1 << 20):
+        found = np.zeros((size, size))
+        for r in gram.gram(rows, size, held).collect():
+            found[r["i"]] = r["row"]
+        assert np.allclose(found, dense.T @ dense)
+
+
+def test_expression_itself_takes_any_panel(spark):
+    genes = spark.range(70_000).select(F.format_string("g%05d", "id").alias("gene"))
+    x = genes.select(F.lit("s").alias("sample_id"), F.lit("1").alias("cell_id"), "gene", F.lit(1.0).alias("x")).where("gene in ('g00000', 'g00007', 'g69999')")
+    wide = x.unionByName(genes.select(F.lit("s").alias("sample_id"), F.lit("2").alias("cell_id"), "gene", F.lit(2.0).alias("x")))
+    cells = spark.createDataFrame([("s", "1"), ("s", "3")], "sample_id string, cell_id string")
+    rows = {r["cell_id"]: r["embedding"] for r in m.cell_representation(cells, wide, "X").collect()}
+    assert len(rows["1"]) == 70_000 and [i for i, v in enumerate(rows["1"]) if v] == [0, 7, 69_999]
+    assert rows["3"] == [0.0] * 70_000
+    with pytest.raises(ValueError, match="at most"):
+        m.pca_representation(wide, cells, 2)
+
+
+def test_domain_stage_makes_the_representation_it_lacks(spark):
+    rows = [(f"s{i % 2}", str(i), "ctrl" if i % 2 else "drug", "T", float(i % 8), float(i // 8)) for i in range(64)]
+    cells = spark.createDataFrame(rows, "sample_id string, cell_id string, condition string, cell_type string, x double, y double")
+    entries = [(r[0], r[1], g, 4.0 + i % 3) for i, r in enumerate(rows) for g in (("G", "H") if i < 32 else ("I", "J"))]
+    x = spark.createDataFrame(entries, "sample_id string, cell_id string, gene string, x double")
+    with pytest.raises(KeyError):
+        stages.run_domains(cells, "X_pca")
+    for vec in ("X_pca", "X", None):
+        done = stages.run_domains(cells, vec, "knn", 3, layers=1, expression=x, components=2, min_k=2, max_k=2, runs=2, seed=1, max_iter=20)
+        found = {int(r["cell_id"]): r["compartment"] for r in done["cells"].collect()}
+        assert len(found) == 64 and len({found[i] for i in range(24)}) == 1 and found[0] != found[63]
