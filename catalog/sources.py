@@ -76,6 +76,35 @@ def s11(spark, sf_dir):
     return rounded(built["expression"].select("sample_id", "cell_id", "gene", "n", "x"))
 
 
+@query(
+    "s11_checked_cohort",
+    f"""WITH {COUNTS_L}, typed AS (SELECT * FROM counts_l WHERE CAST(right(gene, 1) AS INTEGER) % 2 = 1),
+      listed AS (SELECT DISTINCT sample_id, gene FROM typed),
+      totals AS (SELECT sample_id, cell_id, sum(n) AS total FROM typed GROUP BY ALL)
+    SELECT sample_id, cell_id, gene, CAST(n AS BIGINT) AS n, round(ln(1 + n * 1e4 / total), 6) AS x,
+      'id of ' || gene AS feature_id, round(c.x, 6) AS cell_x, round(c.y, 6) AS cell_y
+    FROM typed JOIN totals USING (sample_id, cell_id) JOIN cells_o c USING (sample_id, cell_id)""",
+)
+def s11_checked(spark, sf_dir):
+    """The ingest with a manifest, features of one type, and coordinates from the first complete table."""
+    path = scratch_path(spark, "bundles")
+    cells, counts = cells_o(spark, sf_dir), counts_l(spark, sf_dir)
+    odd = F.substring("gene", -1, 1).cast("int") % 2 == 1
+    typed = listed_genes(counts).withColumns({
+        "feature_id": F.concat(F.lit("id of "), "gene"),
+        "feature_type": F.when(odd, "Gene Expression").otherwise("Control"),
+    })
+    sinks.write_bundles(cells, counts, typed, path, cells_per_bundle=5_000)
+    files = {name: f"{path}/{name}" for name in ("counts", "genes", "barcodes", "obs")}
+    built = build_cohort(
+        spark, files | {"spatial": [f"{path}/obs", f"{path}/spatial"]}, join="outer",
+        manifest=sinks.part_manifest(cells), kind="Gene Expression",
+    )
+    placed = built["cells"].select("sample_id", "cell_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"))
+    named = built["expression"].join(placed, ["sample_id", "cell_id"]).join(built["features"], "gene")
+    return rounded(named.select("sample_id", "cell_id", "gene", "n", "x", "feature_id", "cell_x", "cell_y"))
+
+
 @query(
     "s02_dictionary",
     f"""WITH {LISTED} SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY gene) - 1 AS BIGINT) AS position,

@@ -40,7 +40,7 @@ def align(left: DataFrame, right: DataFrame, on=KEY, check: bool = True) -> Data
         require(duplicate_keys(right, on))
         missing = unmatched(left, right, on).count()
         if missing:
-            raise CheckFailed(f"metadata is missing {missing} cell identifiers")
+            raise CheckFailed(f"missing {missing} of the cells asked for in the right table")
     return left.join(right, on)
 
 
@@ -52,7 +52,7 @@ def attach_annotations(cells: DataFrame, annotations: DataFrame, on=KEY, check:
     """
     clash = sorted((set(annotations.columns) & set(cells.columns)) - set(on))
     if clash:
-        raise CheckFailed(f"annotation columns already exist: {', '.join(clash)}")
+        raise CheckFailed(f"the cells have these columns, they already exist: {', '.join(clash)}")
     return align(cells, annotations, on, check)
 
 
@@ -179,27 +179,26 @@ def first_complete_coordinates(cells: DataFrame, sources) -> DataFrame:
 
     ``sources`` is an ordered list of tables keyed by ``(sample_id, cell_name)``
     or, if any name is missing there, by ``(sample_id, cell_id)``. A source is
-    used for all cells or not at all.
+    used for all cells or not at all. What every source and key would give is counted by
+    one job, before any is chosen.
     """
-    total = cells.count()
-    for source in sources:
+    tried = []
+    for place, source in enumerate(sources):
         pair = coordinate_pair(source.columns, images=True)
-        if pair is None:
-            continue
-        placed = source.withColumns({"px": F.col(pair[0]).cast("double"), "py": F.col(pair[1]).cast("double")})
-        for key in ("cell_name", "cell_id"):
-            if key not in source.columns or key not in cells.columns:
-                continue
-            once = placed.groupBy("sample_id", key).agg(
-                F.min_by(F.struct("px", "py"), F.struct("px", "py")).alias("p")
-            )
-            joined = cells.drop("x", "y").join(once, ["sample_id", key])
-            joined = joined.withColumn("x", F.col("p.px")).withColumn("y", F.col("p.py")).drop("p")
-            found, finite = joined.agg(
-                F.count(F.lit(1)), F.count_if(is_finite("x") & is_finite("y"))
-            ).first()
-            if found == total:
-                if finite == total:
-                    return joined
-                break
+        for key in ("cell_name", "cell_id") if pair else ():
+            if key in source.columns and key in cells.columns:
+                point = F.struct(F.col(pair[0]).cast("double").alias("px"), F.col(pair[1]).cast("double").alias("py"))
+                once = source.select("sample_id", key, point.alias("p")).groupBy("sample_id", key).agg(F.min("p").alias("p"))
+                tried.append((place, cells.drop("x", "y").join(once, ["sample_id", key])))
+    found = F.count(F.lit(1)).alias("found")
+    facts = [cells.agg(F.lit(-1).alias("nth"), found, F.lit(0).cast("long").alias("finite"))]
+    for nth, (_, joined) in enumerate(tried):
+        facts.append(joined.agg(F.lit(nth).alias("nth"), found, F.count_if(is_finite("p.px") & is_finite("p.py")).alias("finite")))
+    counted = {row["nth"]: row for row in reduce(DataFrame.unionByName, facts).collect()}
+    total, given_up = counted[-1]["found"], set()
+    for nth, (place, joined) in enumerate(tried):
+        if place not in given_up and counted[nth]["found"] == total:
+            if counted[nth]["finite"] == total:
+                return joined.withColumn("x", F.col("p.px")).withColumn("y", F.col("p.py")).drop("p")
+            given_up.add(place)
     raise CheckFailed("no source has finite coordinates for every cell")

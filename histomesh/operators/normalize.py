@@ -40,15 +40,19 @@ def canonical_counts(triplets: DataFrame) -> DataFrame:
     )
 
 
-def cell_totals(counts: DataFrame) -> DataFrame:
+CELL = ("sample_id", "cell_id")
+
+
+def cell_totals(counts: DataFrame, keys=CELL) -> DataFrame:
     """Total count of every cell."""
-    return counts.groupBy("sample_id", "cell_id").agg(F.sum("n").alias("total"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("total"))
 
 
-def log_normalize(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
+def log_normalize(counts: DataFrame, target: float | None = 1e4, keys=CELL) -> DataFrame:
     """Add ``x = log1p(n * target / total)``; without a target, the raw count.
 
-    Totals are pre-aggregated and joined back rather than taken from a window,
+    ``keys`` are the columns that tell cells apart. If the counts lie dealt out by them (see
+    ``lineage.dealt``), nothing is moved. Totals are pre-aggregated and joined back rather than taken from a window,
     so a cell with very many rows can still be split over tasks.
     """
     if target is None:
@@ -57,7 +61,7 @@ def log_normalize(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
         raise ValueError("the normalisation target must be positive or None")
     scaled = F.try_divide(F.col("n") * F.lit(float(target)), F.col("total"))
     return (
-        counts.join(cell_totals(counts), ["sample_id", "cell_id"])
+        counts.join(cell_totals(counts, keys), list(keys))
         .withColumn("x", F.log1p(F.coalesce(scaled, F.lit(0.0))))
         .drop("total")
     )

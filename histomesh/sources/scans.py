@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histomesh.lineage import small
-from histomesh.operators.roles import embedding_array
+from histomesh.lineage import scratch_path, small
+from histomesh.operators.roles import column, embedding_array
 
 # Columns and types of the three result tables.
 _LABEL = T.StringType()
@@ -108,55 +108,57 @@ def read_dictionary(spark: SparkSession, path: str, name: str = "name") -> DataF
     )
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Ordered features: names, and the ids and types beside them where files have these fields."""
+    fields = F.split("value", "\t")
+    told = [F.nullif(F.get(fields, F.lit(i)), F.lit("")).alias(c) for i, c in ((1, "feature_id"), (2, "feature_type"))]
+    return numbered_lines(spark, path).select("sample_id", "bundle", "position", F.get(fields, F.lit(0)).alias("name"), *told)
+
+
 def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Matrix text files as ``(triplets, sizes)``.
 
     ``triplets(sample_id, bundle, gene_ix, cell_ix, n)`` has one-based indices
     and repeated entries added up. ``sizes(sample_id, bundle, n_genes, n_cells,
     n_entries, n_lines)`` comes from the size lines, ``n_lines`` being the entries that are
-    really there before repeats are added up. Only the size lines need a line number, so the
-    entries stream straight from the scan into the aggregation. The size lines, one a file,
-    are kept and broadcast if they are few, so no entry is dealt out by file.
+    really there before repeats are added up. The text is parsed by one scan and kept as
+    numbers, with the row ids of that scan, by which the first line of a file is told from its
+    entries. Size lines, one a file, are broadcast if they are few, so no entry is dealt out by file.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("id"),
-        F.trim("value").alias("value"),
+        F.split(F.trim("value"), "\\s+").alias("part"),
     )
-    lines = lines.where("not startswith(value, '%') and value <> ''")
-    heads = lines.groupBy("file").agg(
-        F.min_by("value", "id").alias("head"), F.min("id").alias("id"), (F.count(F.lit(1)) - 1).alias("n_lines")
+    whole = lines.where("not startswith(part[0], '%') and part[0] <> ''")
+    numbers = [F.get("part", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate((("gene_ix", "long"), ("cell_ix", "long"), ("n", "double")))]
+    landed = scratch_path(spark, "lines")
+    whole.select("file", "id", *numbers).write.parquet(landed)
+    kept = spark.read.parquet(landed)
+    heads = small(
+        kept.groupBy("file").agg(
+            F.min_by(F.struct("gene_ix", "cell_ix", "n"), "id").alias("head"), F.min("id").alias("first"), (F.count(F.lit(1)) - 1).alias("n_lines")
+        )
     )
-
-    heads = small(heads)
-
-    def number(column: str, i: int):
-        return F.element_at(F.split(column, "\\s+"), i)
-
     sizes = heads.select(
         *_place(F.col("file")),
-        number("head", 1).cast("long").alias("n_genes"),
-        number("head", 2).cast("long").alias("n_cells"),
-        number("head", 3).cast("long").alias("n_entries"),
+        F.col("head.gene_ix").alias("n_genes"),
+        F.col("head.cell_ix").alias("n_cells"),
+        F.col("head.n").cast("long").alias("n_entries"),
         "n_lines",
     )
     triplets = (
-        lines.join(heads.select("file", F.col("id").alias("first")), "file")
+        kept.join(heads.select("file", "first"), "file")
         .where("id <> first")
-        .select(
-            *_place(F.col("file")),
-            number("value", 1).cast("long").alias("gene_ix"),
-            number("value", 2).cast("long").alias("cell_ix"),
-            number("value", 3).cast("double").alias("n"),
-        )
+        .select(*_place(F.col("file")), "gene_ix", "cell_ix", "n")
         .groupBy("sample_id", "bundle", "gene_ix", "cell_ix")
         .agg(F.sum("n").alias("n"))
     )
     return triplets, sizes
 
 
-def named_counts(triplets: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Replace matrix indices by gene names and cell ids, bundle by bundle.
+def named_counts(triplets: DataFrame, genes: DataFrame, cells: DataFrame, more=()) -> DataFrame:
+    """Replace matrix indices by gene names and cell ids, bundle by bundle; ``more`` columns stay.
 
     The gene dictionaries are broadcast if a count proves them small, so the entries
     are dealt out by cell only.
@@ -166,7 +168,7 @@ def named_counts(triplets: DataFrame, genes: DataFrame, cells: DataFrame) -> Dat
     return (
         triplets.join(small(g), ["bundle", "gene_ix"])
         .join(c, ["bundle", "cell_ix"])
-        .select("sample_id", "cell_id", "gene", "n")
+        .select("sample_id", "cell_id", "gene", "n", *more)
     )
 
 
@@ -199,6 +201,17 @@ def read_embedding(spark: SparkSession, path: str, schema: T.StructType | str) -
     return embedding_array(read_metadata(spark, path, schema))
 
 
+def read_sample_embedding(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """CSV components of many samples as one array per cell: the columns that hold numbers only."""
+    table = read_sample_metadata(spark, path)
+    others = [c for c in table.columns if c not in ("sample_id", "cell_id", "stated_sample")]
+    words = table.agg(*[F.count_if(column(c).isNotNull() & column(c).try_cast("double").isNull()).alias(f"n{i}") for i, c in enumerate(others)]).first() if others else ()
+    numeric = [c for c, n in zip(others, words, strict=True) if not n]
+    if not numeric:
+        raise ValueError(f"no column of {path} holds numbers")
+    return table.select("sample_id", "cell_id", F.array(*[column(c).cast("double") for c in numeric]).alias(name))
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated sample sheet; quotes have no special meaning."""
     return spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)

@@ -16,10 +16,15 @@ MATRIX_HEADER = "%%MatrixMarket matrix coordinate integer general"
 
 
 def _dealt(df: DataFrame, key: str, rows_per_file: int = 2_000_000) -> DataFrame:
-    """Rows dealt out so that a value of ``key`` fills as many files as its size asks for."""
+    """Rows dealt out so that a value of ``key`` fills as many files as its size asks for.
+
+    A row's file follows from its cell, and gene if it has one, so a task that is run again
+    deals the same rows to the same files.
+    """
     files = df.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("files"))
     placed = df.join(files, F.col(key).eqNullSafe(F.col("of")))
-    return placed.repartition(key, F.floor(F.rand(5) * F.col("files"))).drop("of", "files")
+    identity = [c for c in ("cell_id", "gene") if c in df.columns] or df.columns
+    return placed.repartition(key, F.pmod(F.xxhash64(*identity), F.col("files"))).drop("of", "files")
 
 
 def write_by_sample(df: DataFrame, path: str) -> None:
@@ -84,7 +89,7 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
 
     A sample becomes as many bundles as its size asks for, each with about
     ``cells_per_bundle`` cells and its own dictionaries, so neither numbering nor
-    writing brings a whole sample into one task.
+    writing brings a whole sample into one task. Ids and types of genes are written beside their names.
     """
     shards = cells.groupBy("sample_id").agg(
         F.ceil(F.count(F.lit(1)) / cells_per_bundle).alias("shards")
@@ -93,7 +98,9 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
     members = cells.join(shards, "sample_id").select("*", shard).drop("shards")
     barcodes = cut(_numbered(members.select("shard", "sample_id", "cell_id"), "cell_id"))
     used = shards.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    panel = cut(_numbered(used.join(genes.select("sample_id", "gene").distinct(), "sample_id"), "gene"))
+    told = [c for c in ("feature_id", "feature_type") if c in genes.columns]
+    listed = genes.select("sample_id", "gene", *told).distinct()
+    panel = cut(_numbered(used.join(listed, "sample_id"), "gene"))
 
     placed = counts.where("n <> 0").join(
         barcodes.withColumnRenamed("place", "cell_ix"), ["sample_id", "cell_id"]
@@ -117,7 +124,8 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
         F.concat_ws(" ", "gene_ix", "cell_ix", F.col("n").cast("long")).alias("value"),
     )
     _write_lines(heads.unionByName(body), f"{path}/counts")
-    _write_lines(panel.withColumnRenamed("gene", "value"), f"{path}/genes")
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in told]
+    _write_lines(panel.withColumn("value", F.concat_ws("\t", "gene", *fields)), f"{path}/genes")
     _write_lines(barcodes.withColumnRenamed("cell_id", "value"), f"{path}/barcodes")
 
     options = {"header": True, "compression": "gzip", "escape": '"'}

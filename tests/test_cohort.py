@@ -487,3 +487,41 @@ def test_domain_stage_makes_the_representation_it_lacks(spark):
         done = stages.run_domains(cells, vec, "knn", 3, layers=1, expression=x, components=2, min_k=2, max_k=2, runs=2, seed=1, max_iter=20)
         found = {int(r["cell_id"]): r["compartment"] for r in done["cells"].collect()}
         assert len(found) == 64 and len({found[i] for i in range(24)}) == 1 and found[0] != found[63]
+
+
+def test_ingest_with_types_components_manifest_and_fallback(spark, root, sheet, tmp_path):
+    for sample, kinds in (("s a", ("Gene Expression", "Control")), ("s+b", ("Gene Expression", "Gene Expression"))):
+        genes = {"s a": ["G1", "G2"], "s+b": ["G2", "G3"]}[sample]
+        write(root / sample / "genes.tsv.gz", "".join(f"{g}\tid-{g}\t{k}\n" for g, k in zip(genes, kinds, strict=True)))
+        write(root / sample / "pca.csv.gz", "cell_id,note,PC_1,PC_2\nc2,b,3.5,4\nc1,a,1,-2e1\nspare,z,0,0\n")
+        write(root / sample / "short.csv.gz", "cell_id,x,y\nc1,1,2\n")
+    given = files(root) | {"pca": f"{root}/*/pca.csv.gz", "spatial": [f"{root}/*/short.csv.gz", f"{root}/*/spatial.csv.gz"]}
+    manifest = spark.createDataFrame([("s a", "ctrl", 2), ("s+b", "drug", 2)], "sample_id string, condition string, n_cells long")
+    built = cohort.build_cohort(spark, given, sheet, None, target=None, join="outer", manifest=manifest, kind="Gene Expression")
+    cells = {(r["sample_id"], r["cell_id"]): r for r in built["cells"].collect()}
+    assert cells["s a", "c1"]["X_pca"] == [1.0, -20.0] and cells["s+b", "c2"]["X_pca"] == [3.5, 4.0]
+    assert (cells["s a", "c2"]["x"], cells["s a", "c2"]["y"]) == (1.5, 10.0)
+    found = {(r["sample_id"], r["cell_id"], r["gene"]): r["x"] for r in built["expression"].collect()}
+    assert found == {("s a", "c1", "G1"): 1.0, ("s a", "c2", "G1"): 2.0, ("s+b", "c1", "G2"): 4.0, ("s+b", "c2", "G3"): 5.0}
+    features = {r["gene"]: (r["feature_id"], r["feature_type"]) for r in built["features"].collect()}
+    assert features == {g: (f"id-{g}", "Gene Expression") for g in ("G1", "G2", "G3")}
+    out = scratch_path(spark, "cohort")
+    cohort.write_cohort(built, out)
+    facts = {(r["fact"], r["label"]): r["n"] for r in spark.read.json(f"{out}/manifest").collect()}
+    assert facts["cells", ""] == 4 and facts["genes", ""] == 3 and facts["join", "outer"] == 2
+    assert sorted(v for (fact, _), v in facts.items() if fact == "source") == [2, 2]
+    for wrong in ([("s a", "ctrl", 3), ("s+b", "drug", 2)], [("s a", "ctrl", 2), ("s+b", "ctrl", 2)], [("s a", "ctrl", 2)]):
+        with pytest.raises(q.CheckFailed, match="source_"):
+            cohort.build_cohort(spark, given, sheet, manifest=spark.createDataFrame(wrong, manifest.schema))
+
+
+def test_rows_are_dealt_to_files_by_their_identity(spark):
+    rows = spark.range(3000).select(F.lit("s").alias("sample_id"), F.col("id").cast("string").alias("cell_id"), F.lit("g").alias("gene"))
+    together = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(together)
+    spark.conf.set(together, "false")
+    try:
+        at = [{r["cell_id"]: r["p"] for r in sinks._dealt(df, "sample_id", 300).withColumn("p", F.spark_partition_id()).collect()} for df in (rows, rows.repartition(7))]
+    finally:
+        spark.conf.set(together, before)
+    assert at[0] == at[1] and len(set(at[0].values())) > 1
