@@ -199,6 +199,33 @@ def d10(spark, sf_dir):
     return p.digest_diff(revised_entries(spark, sf_dir), entries_l(spark, sf_dir))
 
 
+@query(
+    "d09_count_diff_by_digest",
+    f"""WITH {COUNT_JOIN}, f AS (SELECT sample_id, cell_id FROM differing ORDER BY 1, 2 LIMIT 1)
+        SELECT count(*) = 0 AS passed, count(DISTINCT (sample_id, cell_id)) AS mismatched_rows, count(*) AS mismatched_entries,
+          (SELECT sample_id FROM f) AS first_sample, (SELECT cell_id FROM f) AS first_cell FROM differing""",
+)
+def d09_by_digest(spark, sf_dir):
+    return rounded(p.count_diff_by_digest(revised_entries(spark, sf_dir), entries_l(spark, sf_dir)))
+
+
+@query(
+    "d10_digest_levels",
+    f"""WITH {COUNT_JOIN}, cells AS (
+          SELECT sample_id, cell_id, max(new) AS new, max(ref) AS ref FROM (
+            SELECT DISTINCT sample_id, cell_id, 1 AS new, 0 AS ref FROM revised_entries GROUP BY sample_id, cell_id, gene HAVING sum(n) <> 0
+            UNION ALL SELECT DISTINCT sample_id, cell_id, 0, 1 FROM entries_l GROUP BY sample_id, cell_id, gene HAVING sum(n) <> 0)
+          GROUP BY ALL), marked AS (
+          SELECT c.*, substr(md5(cell_id), 1, 2) AS block, d.cell_id IS NULL AS same
+          FROM cells c LEFT JOIN (SELECT DISTINCT sample_id, cell_id FROM differing) d USING (sample_id, cell_id))
+        SELECT 'block' AS level, sample_id, block, CAST(sum(new) AS BIGINT) AS new_cells, CAST(sum(ref) AS BIGINT) AS reference_cells, bool_and(same) AS equal
+        FROM marked GROUP BY sample_id, block UNION ALL
+        SELECT 'sample', sample_id, '', CAST(sum(new) AS BIGINT), CAST(sum(ref) AS BIGINT), bool_and(same) FROM marked GROUP BY sample_id""",
+)
+def d10_levels(spark, sf_dir):
+    return rounded(p.digest_levels(revised_entries(spark, sf_dir), entries_l(spark, sf_dir)))
+
+
 # Every check of the report, from the differences between the two cohorts.
 REPORT_DIFFERENCES = f"""{REVISED}, {ONLY_ENTRIES}, {ONLY_REVISED_ENTRIES},
   aligned AS (SELECT r.*, c.condition AS rc, c.cluster_sub AS r1, c.celltype_short AS r2, c.celltype_full AS r3,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomesh.lineage import cut, small
@@ -51,20 +51,16 @@ def cell_totals(counts: DataFrame, keys=CELL) -> DataFrame:
 def log_normalize(counts: DataFrame, target: float | None = 1e4, keys=CELL) -> DataFrame:
     """Add ``x = log1p(n * target / total)``; without a target, the raw count.
 
-    ``keys`` are the columns that tell cells apart. If the counts lie dealt out by them (see
-    ``lineage.dealt``), nothing is moved. Totals are pre-aggregated and joined back rather than taken from a window,
-    so a cell with very many rows can still be split over tasks.
+    ``keys`` are the columns that tell cells apart. A cell's entries, at most one a gene, meet
+    once; if the counts lie dealt out by ``keys`` (see ``lineage.dealt``), nothing is moved.
     """
     if target is None:
         return counts.withColumn("x", F.col("n").cast("double"))
     if target <= 0:
         raise ValueError("the normalisation target must be positive or None")
-    scaled = F.try_divide(F.col("n") * F.lit(float(target)), F.col("total"))
-    return (
-        counts.join(cell_totals(counts, keys), list(keys))
-        .withColumn("x", F.log1p(F.coalesce(scaled, F.lit(0.0))))
-        .drop("total")
-    )
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    scaled = F.try_divide(F.col("n") * F.lit(float(target)), total)
+    return counts.withColumn("x", F.log1p(F.coalesce(scaled, F.lit(0.0))))
 
 
 # The widest panel whose square the driver is asked to hold for a component fit.
