@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,6 +11,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 STEP = 1 << 19
+LONG_WORD = 32
 
 _SPACE = np.isin(np.arange(256), list(SPACES))
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -58,7 +61,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """One hash a word, with A-Z as a-z if ``lower``; works through the bytes in short steps."""
+    """One hash a word, with A-Z as a-z if ``lower``; works through the bytes in short steps.
+
+    Words of up to 32 bytes are hashed together, by a polynomial that can't vanish at that length
+    for words made to agree; longer ones, which could be so made, one by one.
+    """
     found = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
@@ -73,6 +80,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         s, e = starts[k : k + n] - at, ends[k : k + n] - at
         found[k : k + n] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         k += n
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[k] : ends[k]]
+        found[k] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
     return found
 
 

@@ -191,3 +191,14 @@ def test_cover_tree_covers():
     assert sorted(tree.order.tolist()) == list(range(700))
     for centre, radius, start, end, _ in tree.nodes:
         assert np.sqrt(((inside[start:end] - centre) ** 2).sum(1)).max() <= radius + 1e-9
+
+
+def test_long_words_made_to_agree_stay_different(spark):
+    """A sequence of two letters and its complement agree under any polynomial modulo 2^64."""
+    from histomesh.llm import minhash
+
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, f"p q r s {one} t u"), (2, f"p q r s {other} t u"), (3, f"p q r s {one.upper()} t u")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 1}
