@@ -4,7 +4,8 @@ The field scores whole candidate segments of up to ``LONGEST`` tokens: their sha
 checksums and surroundings. Dynamic programming over the tokens of a zone then chooses
 boundaries and types of all segments together. Zones are the stretches of whole tokens around
 digits, ``@`` and words of ``LETTERS`` or more ASCII letters; elsewhere every token is outside with score 0, so nothing needs to be computed there.
-A zone grows with its text, a segment does not: work is linear in the text.
+A zone grows with its text, a segment does not: work is linear in the text, and of a token no
+more is held than where it lies and one step back for each kind.
 
 The field is trained here: kinds of data are generated and planted into clean stretches of a
 bounded sample of the corpus, beside look-alikes that are none (versions, dates, amounts,
@@ -16,7 +17,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -30,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BASE = KINDS[:4]
 OUTSIDE = len(KINDS)
 LONGEST, ROOM = 16, 40
+SCORED = 2048
 BUCKETS = 1 << 14
 
 # The patterns of the four base kinds.
@@ -106,9 +111,23 @@ def _long(text: str, start: int, end: int) -> bool:
     return end - start >= LETTERS and text[start:end].isascii() and text[start:end].isalpha()
 
 
-def zones(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+class Run(Sequence):
+    """Spans of tokens, held as plain numbers."""
+
+    def __init__(self):
+        self.ends = array("q")
+
+    def __len__(self) -> int:
+        return len(self.ends) // 2
+
+    def __getitem__(self, k: int) -> tuple[int, int]:
+        k = k + len(self) if k < 0 else k
+        return self.ends[2 * k], self.ends[2 * k + 1]
+
+
+def zones(text: str, taken: list[tuple[int, int]]) -> Iterator[Run]:
     """Spans of whole tokens of each stretch around anchors, cut where ``taken`` spans lie."""
-    at, n = 0, len(text)
+    at, n, k = 0, len(text), 0
     while anchor := _ANCHOR.search(text, at):
         start, end = max(at, anchor.start() - ROOM), anchor.end()
         while (more := _ANCHOR.search(text, end, end + ROOM)) is not None:
@@ -117,10 +136,7 @@ def zones(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, i
             start -= 1
         at = min(n, end + ROOM)
         at = _REST.match(text, at).end() if _word(text[at - 1]) else at
-        run: list[tuple[int, int]] = []
-        k = 0
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
+        run = Run()
         for m in _TOKEN.finditer(text, start, at):
             a, b = m.span()
             while k < len(taken) and taken[k][1] <= a:
@@ -128,17 +144,22 @@ def zones(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, i
             if k < len(taken) and taken[k][0] < b:
                 if run:
                     yield run
-                run = []
+                run = Run()
             else:
-                run.append((a, b))
+                run.ends.extend((a, b))
         if run:
             yield run
 
 
+@lru_cache(1 << 16)
 def _feature(name: str) -> int:
     return crc32(name.encode()) % BUCKETS
 
 
+_ONE, _NO_GROUPS = _feature("one"), _feature("g")
+_DIGIT_COUNTS, _LETTER_COUNTS, _SIZES = ([_feature(f"{c}{k}") for k in range(most + 1)] for c, most in (("d", 24), ("l", 8), ("n", 48)))
+
+
 def _shape(text: str) -> str:
     kinds = []
     for c in text:
@@ -148,61 +169,98 @@ def _shape(text: str) -> str:
     return "".join(kinds)
 
 
-def features(text: str, start: int, end: int) -> list[int]:
-    """Hashed features of a whole candidate segment and its surroundings."""
-    span = text[start:end]
-    compact = "".join(c for c in span if c.isalnum())
-    digits = sum(c.isdigit() for c in compact)
-    letters = len(compact) - digits
-    shape = _shape(span)
-    before, after = text[max(0, start - 24) : start], text[end : end + 1]
-    words = re.findall(r"[^\W\d_]+", before.lower())[-2:]
-    names = ["one", f"d{min(digits, 24)}", f"l{min(letters, 8)}", f"s{shape[:24]}", f"n{min(len(compact), 48)}"]
-    names += [f"w{w}" for w in words]
+def _parts(token: str) -> tuple[str, int, str, list[str]]:
+    """Shape, number of digits, letters and digits, and lengths of the groups of ASCII digits."""
+    compact = "".join(c for c in token if c.isalnum())
+    return _shape(token), sum(c.isdigit() for c in compact), compact, [str(len(g)) for g in re.findall("[0-9]+", token)]
+
+
+_short_parts = lru_cache(1 << 14)(_parts)
+
+
+def features(text: str, tokens: Sequence[tuple[int, int]], i: int, ends: list[int]) -> Iterator[list[int]]:
+    """Hashed features of the segments from token ``i`` to before each of ``ends``, and of their surroundings.
+
+    What the segments of one start share is found once, and a longer segment goes on from a shorter one.
+    """
+    start = last = tokens[i][0]
+    before = text[max(0, start - 24) : start]
     left = before[-1:] or " "
-    names.append("e" + ("x" if left.isalnum() else left if left in "\"'=:+-./@#_" else "s") + ("x" if after.isalnum() else after if after in "\"'-/@:_" else "s"))
-    groups = "-".join(str(len(g)) for g in re.findall("[0-9]+", span)[:6])
-    names.append(f"g{groups}" if digits and not letters else "g")
-    plain = compact.isascii()
-    if digits and letters and plain and len(compact) >= 16 and len(compact) == len(span):
-        mixture = sum(a.isdigit() != b.isdigit() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
-        variety = len(set(compact)) / min(len(compact), 36)
-        names += [f"m{int(8 * mixture)}", f"v{int(6 * variety)}", "h" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", compact) else "k"]
-    if _long(text, start, end):
-        lower = compact.lower()
-        turns = sum(a.islower() and b.isupper() or a.isupper() and b.islower() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
-        names += [f"t{int(8 * turns)}", f"o{int(10 * sum(c in 'aeiou' for c in lower) / len(lower))}"]
-        names.append(f"q{min(max(map(len, re.split('[aeiouy]', lower))), 9)}")
-    if not letters and 14 <= digits <= 19:
-        names.append(f"luhn{luhn(_DIGITS.sub('', span))}")
-    if plain and re.match("[A-Za-z]{2}[0-9]{2}", compact) and 15 <= len(compact) <= 34:
-        names.append(f"97{mod97(compact)}")
-    if shape == "9.9.9.9":
-        names.append(f"octets{_octets(span) if span.isascii() else False}")
-    return [_feature(x) for x in names]
-
-
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    """Segments (first token, token behind the last, features) worth scoring.
+    left = "e" + ("x" if left.isalnum() else left if left in "\"'=:+-./@#_" else "s")
+    words = [_feature(f"w{w}") for w in re.findall(r"[^\W\d_]+", before.lower())[-2:]]
+    shape, digits, compact, groups, j = "", 0, "", [], i
+    shaped = grouped = 0
+    for to in ends:
+        shape_known, groups_known = len(shape) >= 24, len(groups) >= 6
+        while j < to:
+            a, end = tokens[j]
+            own = (_short_parts if end - a <= 64 else _parts)(text[a:end])
+            shape += "_" + own[0] if a > last else own[0]
+            digits, compact, groups = digits + own[1], compact + own[2], groups + own[3]
+            j, last = j + 1, end
+        letters, after = len(compact) - digits, text[end : end + 1]
+        if not (shaped and shape_known):
+            shaped = _feature(f"s{shape[:24]}")
+        if not digits or letters:
+            grouped = _NO_GROUPS
+        elif not (grouped and groups_known):
+            grouped = _feature("g" + "-".join(groups[:6]))
+        found = [_ONE, _DIGIT_COUNTS[min(digits, 24)], _LETTER_COUNTS[min(letters, 8)], shaped, _SIZES[min(len(compact), 48)], *words]
+        found += [_feature(left + ("x" if after.isalnum() else after if after in "\"'-/@:_" else "s")), grouped]
+        names = []
+        plain = compact.isascii()
+        if digits and letters and plain and len(compact) >= 16 and len(compact) == end - start:
+            mixture = sum(a.isdigit() != b.isdigit() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
+            variety = len(set(compact)) / min(len(compact), 36)
+            names += [f"m{int(8 * mixture)}", f"v{int(6 * variety)}", "h" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", compact) else "k"]
+        if _long(text, start, end):
+            lower = compact.lower()
+            turns = sum(a.islower() and b.isupper() or a.isupper() and b.islower() for a, b in zip(compact, compact[1:], strict=False)) / len(compact)
+            names += [f"t{int(8 * turns)}", f"o{int(10 * sum(c in 'aeiou' for c in lower) / len(lower))}"]
+            names.append(f"q{min(max(map(len, re.split('[aeiouy]', lower))), 9)}")
+        if not letters and 14 <= digits <= 19:
+            names.append(f"luhn{luhn(_DIGITS.sub('', compact))}")
+        if plain and 15 <= len(compact) <= 34 and re.match("[A-Za-z]{2}[0-9]{2}", compact):
+            names.append(f"97{mod97(compact)}")
+        if shape == "9.9.9.9":
+            span = text[start:end]
+            names.append(f"octets{_octets(span) if span.isascii() else False}")
+        yield found + [_feature(x) for x in names] if names else found
+
+
+def extents(text: str, tokens: Sequence[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+    """First token and tokens behind the last of the segments worth scoring, by first token.
 
     They begin and end in a letter, digit, ``+`` or bracket, hold a digit, ``@`` or a
     word of ``LETTERS`` or more ASCII letters, and run over white space only between short groups that hold digits or brackets.
     """
-    found, n = [], len(tokens)
-    numeric = [any(c.isdigit() or c in "()+-" for c in text[a:b]) for a, b in tokens]
-    anchored = [_long(text, a, b) or any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in tokens]
-    for i, (start, b) in enumerate(tokens):
+    n = len(tokens)
+    numeric, anchored = bytearray(n), bytearray(n)
+    for k, (a, b) in enumerate(tokens):
+        word = text[a:b]
+        digit = any(c.isdigit() for c in word)
+        numeric[k] = digit or word in ("(", ")", "+", "-")
+        anchored[k] = digit or word == "@" or _long(text, a, b)
+    for i in range(n):
+        start, before = tokens[i]
         if not (text[start].isalnum() or text[start] in "+("):
             continue
-        holds = False
+        holds, ends = 0, []
         for j in range(i, min(i + LONGEST, n)):
             a, end = tokens[j]
-            if j > i and a > tokens[j - 1][1] and not (a == tokens[j - 1][1] + 1 and text[a - 1] == " " and numeric[j] and numeric[j - 1]):
+            if a > before and not (a == before + 1 and text[before] == " " and numeric[j] and numeric[j - 1]) and j > i:
                 break
             holds |= anchored[j]
-            if holds and (text[end - 1].isalnum()):
-                found.append((i, j + 1, features(text, start, end)))
-    return found
+            if holds and text[end - 1].isalnum():
+                ends.append(j + 1)
+            before = end
+        if ends:
+            yield i, ends
+
+
+def candidates(text: str, tokens: Sequence[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+    """Segments (first token, token behind the last, features) worth scoring."""
+    return [(i, j, f) for i, ends in extents(text, tokens) for j, f in zip(ends, features(text, tokens, i, ends), strict=True)]
 
 
 class Field:
@@ -219,32 +277,74 @@ class Field:
             ending[j].append((i, k))
         return ending, np.array(scores).reshape(len(segments), len(KINDS))
 
-    def decode(self, n: int, segments: list, caution: float) -> list[tuple[int, int, int]]:
-        """The best segmentation's (first token, end token, kind) of ``n`` tokens.
-
-        ``caution`` is taken off every segment's score, in favour of leaving text alone.
-        """
-        ending, scores = self._lattice(n, segments)
-        best = np.full((n + 1, OUTSIDE + 1), -np.inf)
+    def _scored(self, starts: Iterable[tuple[int, list[int], list[list[int]]]]) -> Iterator[tuple[int, list[int], np.ndarray]]:
+        """First token, tokens behind the last and scores of segments; ``SCORED`` or so are summed up at once."""
+        held, flat, at = [], [], []
+
+        def summed() -> Iterator[tuple[int, list[int], np.ndarray]]:
+            scores = np.add.reduceat(self.weights[flat], at, axis=0)
+            k = 0
+            for i, ends in held:
+                yield i, ends, scores[k : k + len(ends)]
+                k += len(ends)
+
+        for i, ends, listed in starts:
+            held.append((i, ends))
+            for f in listed:
+                at.append(len(flat))
+                flat += f
+            if len(at) >= SCORED:
+                yield from summed()
+                held, flat, at = [], [], []
+        if held:
+            yield from summed()
+
+    def _path(self, n: int, scored: Iterable[tuple[int, list[int], np.ndarray]], caution: float) -> list[tuple[int, int, int]]:
+        ring = LONGEST + 1
+        best = np.full((ring, OUTSIDE + 1), -np.inf)
         best[0, OUTSIDE] = 0
-        back: dict[tuple[int, int], tuple] = {}
-        for j in range(1, n + 1):
-            y = int(best[j - 1].argmax())
-            best[j, OUTSIDE], back[j, OUTSIDE] = best[j - 1, y], (j - 1, y)
-            for i, k in ending[j]:
-                reach = best[i][:, None] + self.follows
+        length, before = np.zeros((n + 1, OUTSIDE + 1), np.int8), np.zeros((n + 1, OUTSIDE + 1), np.int8)
+        kinds = np.arange(OUTSIDE)
+        scored = iter(scored)
+        following = next(scored, None)
+        for i in range(n + 1):
+            own = best[i % ring]
+            if i:
+                past = best[(i - 1) % ring]
+                y = past.argmax()
+                own[OUTSIDE], length[i, OUTSIDE], before[i, OUTSIDE] = past[y], 1, y
+                past.fill(-np.inf)
+            if following is not None and following[0] == i:
+                ends, scores = np.array(following[1]), following[2]
+                reach = own[:, None] + self.follows
                 y = reach.argmax(0)
-                value = reach.max(0) + scores[k] - caution
-                for kind in np.flatnonzero(value > best[j, :OUTSIDE]):
-                    best[j, kind], back[j, int(kind)] = value[kind], (i, int(y[kind]))
-        found, j, y = [], n, int(best[n].argmax())
+                value = reach[y, kinds] + scores - caution
+                rows = ends % ring
+                step, kind = np.nonzero(value > best[rows, :OUTSIDE])
+                best[rows[step], kind] = value[step, kind]
+                length[ends[step], kind], before[ends[step], kind] = ends[step] - i, y[kind]
+                following = next(scored, None)
+        found, j, y = [], n, int(best[n % ring].argmax())
         while j:
-            i, before = back[j, y]
+            i = j - int(length[j, y])
             if y != OUTSIDE:
                 found.append((i, j, y))
-            j, y = i, before
+            j, y = i, int(before[j, y])
         return found[::-1]
 
+    def decode(self, n: int, segments: list, caution: float) -> list[tuple[int, int, int]]:
+        """The best segmentation's (first token, end token, kind) of ``n`` tokens.
+
+        ``caution`` is taken off every segment's score, in favour of leaving text alone.
+        """
+        by_start = ((i, list(own)) for i, own in groupby(segments, lambda s: s[0]))
+        return self._path(n, self._scored((i, [s[1] for s in own], [s[2] for s in own]) for i, own in by_start), caution)
+
+    def read(self, text: str, tokens: Sequence[tuple[int, int]], caution: float) -> list[tuple[int, int, int]]:
+        """``decode`` of all candidates among ``tokens``, of which few are held at a time."""
+        starts = ((i, ends, list(features(text, tokens, i, ends))) for i, ends in extents(text, tokens))
+        return self._path(len(tokens), self._scored(starts), caution)
+
     def slopes(self, n: int, segments: list, truth: dict[tuple[int, int], int]) -> tuple[dict[int, np.ndarray], np.ndarray, float]:
         """Gradient of the log likelihood of ``truth``, by forward and backward sums."""
         ending, scores = self._lattice(n, segments)
@@ -388,9 +488,7 @@ def spans(text: str, field: Field, caution: float = 1.0) -> tuple[list, list]:
             taken.append((a, b))
     added = []
     for tokens in zones(text, taken):
-        segments = candidates(text, tokens)
-        if segments:
-            added += [(tokens[i][0], tokens[j - 1][1], y) for i, j, y in field.decode(len(tokens), segments, caution)]
+        added += [(tokens[i][0], tokens[j - 1][1], y) for i, j, y in field.read(text, tokens, caution)]
     return base, added
 
 
