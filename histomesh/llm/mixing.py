@@ -9,7 +9,9 @@ about one document of its target.
 Running sums are taken per cell of (source, size class, part of the class): a source with a
 third of all rows is spread over its cells, and only cell counts meet in one place. Parts are
 ranges of the line, between rows of the class picked by hash, so the line is the same however
-it is cut.
+it is cut. Beyond ``MOST_BOUNDS`` times a quarter of ``CELL_ROWS`` the parts grow instead of their
+number, so what is broadcast stays within some megabytes; a row finds its part in two steps, among
+every so many bounds and then between two of those.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from histomesh.llm.frames import packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 1 << 20
+MOST_BOUNDS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -72,6 +75,13 @@ def size_class(size: Column) -> Column:
     return shift * 16 + F.call_function("shiftright", size, shift.cast("int"))
 
 
+def part_of(place: Column, steps: Column) -> Column:
+    """How many of the sorted bounds, dealt out in ``steps`` of equal length, are below ``place``."""
+    below = F.size(F.filter(steps, lambda step: step[0] < place))
+    inside = F.size(F.filter(F.element_at(steps, F.greatest(below, F.lit(1))), lambda x: x < place))
+    return F.when(steps.isNull() | (below == 0), 0).otherwise((below - 1) * F.size(F.element_at(steps, 1)) + inside)
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -90,7 +100,8 @@ def mix(
     of only empty documents has target 0 and takes nothing. Equal rows stand next to each
     other in the line and are sampled singly. An empty table gives an empty table. Input
     columns of the four result names are replaced. ``cell_rows`` bounds what is lined up in one
-    task, but for rows of one size and key that are equal throughout; results don't depend on it.
+    task, but for rows of one size and key that are equal throughout, and in tables so large that
+    ``MOST_BOUNDS`` decides; results don't depend on it. The rows are counted once beforehand.
     """
     columns = docs.columns
     size = F.coalesce(size, F.lit(0)).cast("long")
@@ -99,11 +110,15 @@ def mix(
     # null keys come first among structs as they do in the line
     place = F.struct("size", "key", F.xxhash64("row").alias("tie"))
     rows = rows.withColumns({"class": size_class(F.col("size")), "place": place})
-    picked = rows.filter(F.pmod(F.xxhash64("place"), F.lit(max(cell_rows // 4, 1))) == 0)
+    every = max(cell_rows // 4, -(-docs.count() // MOST_BOUNDS), 1)
+    picked = rows.filter(F.pmod(F.xxhash64("place"), F.lit(every)) == 0)
     bounds = picked.groupBy(F.col("source").alias("b"), F.col("class").alias("k")).agg(F.sort_array(F.collect_set("place")).alias("bounds"))
+    length = F.ceil(F.sqrt(F.size("bounds"))).cast("int")
+    firsts = F.sequence(F.lit(1), F.size("bounds"), length)
+    bounds = bounds.select("b", "k", F.transform(firsts, lambda first: F.slice("bounds", first, length)).alias("steps"))
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["of"]), "left")
     rows = rows.join(F.broadcast(bounds), rows["source"].eqNullSafe(F.col("b")) & (rows["class"] == F.col("k")), "left")
-    part = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("place"))))
+    part = part_of(F.col("place"), F.col("steps"))
     rows = rows.select("row", "key", "source", "size", "source_size", "target", "class", part.alias("part"))
     cells = rows.groupBy("source", "class", "part").agg(F.count(F.lit(1)).alias("n"))
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))

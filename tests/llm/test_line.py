@@ -31,3 +31,21 @@ def test_line_is_the_same_at_every_cell_size(spark, cell_rows, equal):
     mixed = mixing.mix(docs, F.col("size"), cell_rows=cell_rows).collect()
     targets = {r["source"]: r["target"] for r in mixed}
     assert sorted(((r["doc_id"], r["copies"]) for r in mixed), key=str) == by_line(rows, targets)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 17])
+def test_part_counts_the_bounds_below(spark, n):
+    bounds = list(range(0, 10 * n, 10))
+    length = math.isqrt(n - 1) + 1
+    steps = [bounds[k : k + length] for k in range(0, n, length)]
+    rows = spark.createDataFrame([(p, steps) for p in range(-1, 10 * n + 1)], "place int, steps array<array<int>>")
+    found = rows.select("place", mixing.part_of(F.col("place"), F.col("steps")).alias("part")).collect()
+    assert all(r["part"] == sum(b < r["place"] for b in bounds) for r in found)
+    assert spark.createDataFrame([(1, None)], rows.schema).select(mixing.part_of(F.col("place"), F.col("steps"))).first()[0] == 0
+
+
+def test_line_is_the_same_with_few_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], k * 7 % 50) for k in range(200)], "doc_id long, source string, size int")
+    plain = mixing.mix(docs, F.col("size"), cell_rows=1).select("doc_id", "copies").collect()
+    monkeypatch.setattr(mixing, "MOST_BOUNDS", 9)
+    assert sorted(mixing.mix(docs, F.col("size"), cell_rows=1).select("doc_id", "copies").collect()) == sorted(plain)
