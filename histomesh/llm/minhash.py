@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut, scratch_path
+from histomesh.lineage import Scratch
 from histomesh.llm.components import components
 from histomesh.llm.words import pieces, shingle_sets, utf8
 
@@ -230,22 +230,24 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The (id, text) rows of the ``wanted`` ids, which are broadcast if they are few."""
-    ids = cut(ids)
+    ids = scratch.keep("wanted", ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs["id"] == ids["wanted"]).select("id", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are alike enough, kept in the shared folder."""
-    pairs = cut(pairs.repartition("a"))
-    texts = texts_of(docs, pairs.select("a").union(pairs.select("b")).distinct().toDF("wanted"))
+    pairs = scratch.keep("pairs", pairs.repartition("a"))
+    texts = texts_of(docs, pairs.select("a").union(pairs.select("b")).distinct().toDF("wanted"), scratch)
     one = texts.toDF("a", "text_a")
     two = texts.toDF("b", "text_b")
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return cut(both.mapInArrow(_confirm(width, percent), "a long, b long").distinct())
+    links = scratch.keep("stars", both.mapInArrow(_confirm(width, percent), "a long, b long").distinct())
+    scratch.drop("pairs", "wanted")
+    return links
 
 
 def near_duplicates(
@@ -263,18 +265,17 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    path = scratch_path(spark, "sketches")
-    docs.mapInArrow(_sketch(width), "id long, n long, digest binary, mark binary").write.parquet(path)
-    sketches = spark.read.parquet(path)
+    scratch = Scratch(spark)
+    sketches = scratch.keep("sketches", docs.mapInArrow(_sketch(width), "id long, n long, digest binary, mark binary"))
     classes = sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("mark").alias("mark"))
-    classes = cut(classes)
+    classes = scratch.keep("classes", classes)
     marks = classes.select("rep", "mark")
     least = least_matches(percent / 100, miss)
 
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("mark", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]))
     bands = classes.select("rep", band.alias("nr", "band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = cut(bands.join(shared, "band"))
+    buckets = scratch.keep("buckets", bands.join(shared, "band"))
     degrees = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = buckets.join(degrees, "rep").select("band", "rep", F.struct("degree", (-F.col("rep")).alias("back")).alias("weight"))
     pivots = ranked.groupBy("band").agg(F.max("weight").alias("pivot"))
@@ -285,12 +286,13 @@ def near_duplicates(
         pairs = pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
         return pairs.select("a", "b", "mark_a", "mark_b").mapInArrow(_prune_pairs(least), "a long, b long")
 
-    links = confirmed(with_marks(stars), docs, width, percent)
-    found = components(links)
+    links = confirmed(with_marks(stars), docs, width, percent, scratch)
+    found = components(links, scratch, "first")
 
     members = buckets.join(found, F.col("rep") == F.col("node"), "left").select("band", "nr", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-    members = cut(members.join(mixed, "band"))
+    members = scratch.keep("members", members.join(mixed, "band"))
+    scratch.drop("buckets", "first")
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("group", F.when(F.col("n") >= LARGE, F.col("component")).otherwise(F.lit(-1)))
     groups = sizes.groupBy("band", "group").agg(F.sum("n").alias("total"))
@@ -298,21 +300,25 @@ def near_duplicates(
     placed = members.join(sizes, ["band", "component"]).join(marks, "rep")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")))
     member = F.struct("rep", "component", "mark")
-    blocks = cut(placed.groupBy("band", "nr", "group", "block").agg(F.collect_list(member).alias("members")))
+    blocks = scratch.keep("blocks", placed.groupBy("band", "nr", "group", "block").agg(F.collect_list(member).alias("members")))
+    scratch.drop("members")
     one = blocks.select("band", "nr", F.col("group").alias("g1"), F.col("block").alias("b1"), F.col("members").alias("m1"))
-    two = blocks.select("band", F.col("group").alias("g2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
+    two = blocks.select("band", "nr", F.col("group").alias("g2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
     later = (F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("g1") == -1) & (F.col("b1") <= F.col("b2")))
     keys = ["band", "g1", "b1", "g2", "b2", "nr"]
-    met = one.join(two, "band").filter(later).select(*[F.col(k).cast("long") for k in keys], "m1", "m2")
+    met = one.join(two, ["band", "nr"]).filter(later).select(*[F.col(k).cast("long") for k in keys], "m1", "m2")
     shape = ", ".join(f"{k} long" for k in [*keys, "side", "rep", "component"])
-    active = cut(met.mapInArrow(_active(least), shape))
-    texts = texts_of(docs, active.select(F.col("rep").alias("wanted")).distinct())
+    active = scratch.keep("active", met.mapInArrow(_active(least), shape))
+    scratch.drop("blocks")
+    texts = texts_of(docs, active.select(F.col("rep").alias("wanted")).distinct(), scratch)
     member = F.struct("side", "rep", "component", "text")
     groups = active.join(texts, F.col("rep") == F.col("id")).groupBy(*keys).agg(F.collect_list(member).alias("members"))
     same = (F.col("g1") == F.col("g2")) & (F.col("b1") == F.col("b2"))
     groups = groups.select("band", same.alias("same"), "nr", "members")
-    more = cut(groups.mapInArrow(_link_blocks(width, percent, least), "a long, b long").distinct())
-    found = components(links.union(more))
+    more = scratch.keep("more", groups.mapInArrow(_link_blocks(width, percent, least), "a long, b long").distinct())
+    scratch.drop("active", "wanted")
+    found = components(links.union(more), scratch, "all")
+    scratch.drop("stars", "more")
 
     homes = classes.join(found, F.col("rep") == F.col("node"), "left")
     homes = homes.select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component"))
