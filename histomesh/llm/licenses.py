@@ -6,7 +6,8 @@ words in a row that it shares with a template always give a common entry. The di
 entry makes a candidate, whose surroundings are aligned with the template inside a band: equal
 words count 1, others and gaps -1. What the band holds on both sides of the best alignment is
 aligned again, as notices may follow each other. Of overlapping matches the one with the best
-alignment stays.
+alignment stays. What tells one license from its relatives, its name and version, must be there
+word for word and unbroken, whatever else of a notice differs.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ TEMPLATES = {
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software",
     ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
+    "BSD-2-Clause OR BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
     "GPL-3.0": (
@@ -49,7 +51,21 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": (
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -57,6 +73,25 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
 
+# The words that name a license and its version. Of these a notice must hold, unbroken,
+# all that its template holds.
+TELLING = {
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "MIT": ("MIT License", "sublicense, and/or sell copies of the Software"),
+    "BSD-2-Clause": ("BSD 2-Clause",),
+    "BSD-3-Clause": ("BSD 3-Clause",),
+    "BSD-2-Clause OR BSD-3-Clause": ("Redistribution and use in source and binary forms",),
+    "GPL-3.0": ("GNU General Public License", "version 3"),
+    "GPL-2.0": ("GNU General Public License", "version 2"),
+    "AGPL-3.0": ("GNU Affero General Public License", "version 3"),
+    "ISC": ("ISC License", "with or without fee"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "version 3"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+}
+
 _INNER = np.zeros(256, bool)
 _INNER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -93,21 +128,32 @@ def winnowed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return triples[at], at
 
 
+def _hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return word_ids(raw, np.array([0, len(raw)]))[0]
+
+
+def holds(words: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether ``phrase`` stands somewhere in ``words``, unbroken."""
+    n = len(words) - len(phrase) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[k : k + n] == w for k, w in enumerate(phrase)]).any())
+
+
 class Index:
-    """Templates as word hashes, and their fingerprints in order with (template, place)."""
+    """Templates as word hashes, their telling phrases, and their fingerprints in order with (template, place)."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]):
-        self.names, self.words = [], []
+    def __init__(self, templates: dict[str, tuple[str, ...]], telling: dict[str, tuple[str, ...]] = TELLING):
+        self.names, self.words, self.telling = [], [], []
         hashes, entries = [], []
         for name, texts in templates.items():
             for text in texts:
-                raw = np.frombuffer(text.encode(), np.uint8)
-                words = word_ids(raw, np.array([0, len(raw)]))[0]
+                words = _hashes(text)
                 h, at = winnowed(words)
                 hashes.append(h)
                 entries += [(len(self.names), int(a)) for a in at]
                 self.names.append(name)
                 self.words.append(words)
+                self.telling.append([p for p in map(_hashes, telling.get(name, ())) if holds(words, p)])
         order = np.argsort(np.concatenate(hashes), kind="stable")
         self.hashes = np.concatenate(hashes)[order]
         self.entries = [entries[k] for k in order]
@@ -145,8 +191,8 @@ def align(template: np.ndarray, words: np.ndarray, begin: int, low: int = 0, hig
 
 
 @lru_cache(maxsize=4)
-def _index(templates: tuple) -> Index:
-    return Index(dict(templates))
+def _index(templates: tuple, telling: tuple) -> Index:
+    return Index(dict(templates), dict(telling))
 
 
 def notices(index: Index, words: np.ndarray, coverage: float) -> list[tuple[int, float, int, int, int]]:
@@ -163,7 +209,7 @@ def notices(index: Index, words: np.ndarray, coverage: float) -> list[tuple[int,
             if not score:
                 continue
             share = equal / size
-            if share >= coverage:
+            if share >= coverage and all(holds(words[start:end], p) for p in index.telling[template]):
                 found.add((-score, template, start, end, equal, share))
             open_ += [(low, start), (end, high)]
     kept: list[tuple] = []
@@ -176,9 +222,9 @@ def notices(index: Index, words: np.ndarray, coverage: float) -> list[tuple[int,
     return sorted((m[1], m[5], m[4], m[2], m[3]) for m in kept)
 
 
-def _scan(templates: tuple, coverage: float):
+def _scan(templates: tuple, telling: tuple, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(templates)
+        index = _index(templates, telling)
         for batch in batches:
             texts = batch.column(1)
             data, offsets = utf8(texts)
@@ -204,15 +250,24 @@ def _scan(templates: tuple, coverage: float):
     return run
 
 
-def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, coverage: float = 0.8) -> DataFrame:
+def find_licenses(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    templates: dict[str, tuple[str, ...]] | None = None,
+    coverage: float = 0.8,
+    telling: dict[str, tuple[str, ...]] | None = None,
+) -> DataFrame:
     """One row per notice found: key, license, template, coverage, matched_words, start, end.
 
     ``coverage`` is the share of a template's words that the document holds in order, ``start`` and
-    ``end`` are code points. Null and empty texts, and texts without a notice, give no row;
+    ``end`` are code points. Of the phrases that ``telling`` has under a license's name, a match holds
+    all that its template holds; with own templates there are none unless given. Null and empty texts, and texts without a notice, give no row;
     copies give equal rows, a text with several notices one row for each. Of equally good
     overlapping matches the first template in order stays. An empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    telling = telling if telling is not None else {} if templates else TELLING
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, license string, template int, coverage double, matched_words long, start long, end long"
-    return rows.mapInArrow(_scan(tuple((templates or TEMPLATES).items()), coverage), shape).withColumnRenamed("id", key)
+    return rows.mapInArrow(_scan(tuple((templates or TEMPLATES).items()), tuple(telling.items()), coverage), shape).withColumnRenamed("id", key)

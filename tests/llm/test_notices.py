@@ -40,3 +40,33 @@ def test_repeats_of_one_notice_in_rows(spark):
     rows = [(1, "Released under the MIT License.\n" * 3), (2, "x")]
     got = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(rows[0][1][r["start"] : r["end"]] for r in got) == ["Released under the MIT License"] * 3
+
+
+def test_relatives_of_a_license_are_not_taken_for_it():
+    """Names and versions must agree: a relative is named rightly or not at all."""
+    gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    header = "This program is free software{} you can redistribute it and/or modify it "
+    cases = {
+        "Licensed under the Acme License.": [],
+        "Licensed under the Zlib License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under CC BY 3.0.": [],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "This work is licensed under the GNU GPL, version 1.": [],
+        "Released under the ISC License.": ["ISC"],
+        header.format(";") + gnu.format("", ";", 2): ["GPL-2.0"],
+        header.format(":") + gnu.format("", ",", 3): ["GPL-3.0"],
+        header.format(":") + gnu.format("Affero ", ",", 3): ["AGPL-3.0"],
+        header.format(":") + gnu.format("Lesser ", ",", 3): [],
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": ["BSD-2-Clause OR BSD-3-Clause"],
+        "Licensed under the BSD 2-Clause License.": ["BSD-2-Clause"],
+        "Licensed under the BSD 4-Clause License.": [],
+    }
+    assert {text: [name for name, *_ in found(text)] for text in cases} == cases
+
+
+def test_own_templates_need_no_phrases_unless_given(spark):
+    docs = spark.createDataFrame([(1, "used with leave of the Blue Guild today")], "doc_id long, text string")
+    own = {"Guild": ("used with leave of the Red Guild today",)}
+    assert licenses.find_licenses(docs, templates=own).count() == 1
+    assert licenses.find_licenses(docs, templates=own, telling={"Guild": ("Red Guild",)}).count() == 0
