@@ -226,20 +226,32 @@ def edge_count(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def exact_quantile(df: DataFrame, column: str, fraction: float, bins: int = 1000) -> float | None:
-    """Linear-interpolated quantile without bringing the values together.
+def exact_quantile(df: DataFrame, column: str, fraction: float, bins: int = 1000, accuracy: int = 10_000) -> float | None:
+    """Linear-interpolated quantile without bringing the values together, in two passes over them.
 
-    Each pass counts the values per bin between the current bounds and narrows
-    the bounds to the bin that holds the wanted rank. It stops when that bin is
-    a single value, so ties cost nothing and only bin totals reach the driver.
+    A mergeable sketch gives bounds that hold the wanted rank. A second pass counts equal values
+    between the bounds, and all below and above as one row each; what is left of it, about
+    4 / ``accuracy`` of the rows, is narrowed bin by bin. Should the sketch's bounds miss the rank,
+    the values themselves are narrowed. Only bin totals reach the driver.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    whole = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not whole[0]:
+    slack = 2.0 / accuracy
+    near = [max(fraction - slack, 0.0), min(fraction + slack, 1.0)]
+    total, least, most, (low, high) = values.agg(
+        F.count("v"), F.min("v"), F.max("v"), F.coalesce(F.percentile_approx("v", near, accuracy), F.array(F.lit(0.0), F.lit(0.0)))
+    ).first()
+    if not total:
         return None
-    position = fraction * (whole[0] - 1)
+    position = fraction * (total - 1)
     rank = int(position)
-    lower, below, inside, above = _select(values, rank, whole, bins)
+    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
+    counted = values.groupBy(side.alias("side"), F.when(side == 0, F.col("v")).alias("own")).agg(F.count("v").alias("n"), F.min("v").alias("v"))
+    counted = cut(counted)
+    sides = {row["side"]: row["n"] for row in counted.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    if sides.get(-1, 0) <= rank < sides.get(-1, 0) + sides.get(0, 0):
+        lower, below, inside, above = _select(counted, rank, (total, least, most), bins)
+    else:
+        lower, below, inside, above = _select(values.withColumn("n", F.lit(1)), rank, (total, least, most), bins)
     share = position - rank
     if share == 0 or rank + 1 < below + inside:
         return lower
@@ -247,7 +259,7 @@ def exact_quantile(df: DataFrame, column: str, fraction: float, bins: int = 1000
 
 
 def _select(values: DataFrame, rank: int, whole, bins: int):
-    """The value at ``rank``, how many lie below it, its ties, and the next value."""
+    """The value at ``rank``, how many lie below it, its ties, and the next value; ``n`` counts a value."""
     below, (count, low, high), following = 0, tuple(whole), None
     while low < high:
         step = (high - low) / bins
@@ -255,7 +267,7 @@ def _select(values: DataFrame, rank: int, whole, bins: int):
         totals = (
             values.where(F.col("v").between(low, high))
             .groupBy(bin_of.alias("bin"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .orderBy("low")
             .collect()
         )
