@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut, scratch_path
+from histomesh.lineage import Scratch, cut
 from histomesh.llm import langid, minhash, mixing, packing, personal
 from histomesh.llm.frames import pick
 from histomesh.llm.queries import prepare, tokenizer_file
@@ -102,10 +102,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each kept in the shared folder before the next."""
+    """All stages over ``documents``, each kept in the shared folder until the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    scratch = Scratch(spark)
+    for _, stage in STAGES:
+        docs = scratch.keep("stage", stage(spark, docs, sf_dir))
     return docs
