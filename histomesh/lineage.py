@@ -83,6 +83,19 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
         spark.conf.set(adaptive, before)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, per_part: int = 250_000) -> DataFrame:
+    """``df`` dealt out by ``keys`` into parts of about ``per_part`` of its ``rows`` rows.
+
+    Adaptive execution merges parts up to a size in compressed bytes, of which sorting and grouping
+    text take a large multiple; it leaves parts alone whose number is given. Tables of a few
+    parts are left to it.
+    """
+    n = -(-rows // per_part)
+    if n <= 8:
+        return df
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df``, kept, and broadcast where it is joined if a count proves it has at most ``most`` rows.
 

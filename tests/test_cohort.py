@@ -525,3 +525,13 @@ def test_rows_are_dealt_to_files_by_their_identity(spark):
     finally:
         spark.conf.set(together, before)
     assert at[0] == at[1] and len(set(at[0].values())) > 1
+
+
+def test_entries_stay_in_parts_of_bounded_size(spark):
+    """A grouping after the deal keeps the number of parts that the rows ask for; few rows are left alone."""
+    from histomesh.lineage import spread
+
+    rows = spark.range(1000).selectExpr("cast(id as string) AS cell_id", "id % 7 AS n")
+    many = spread(rows, 1000, "cell_id", per_part=40).groupBy("cell_id").agg(F.sum("n").alias("n"))
+    assert many.rdd.getNumPartitions() == 25 and many.count() == 1000
+    assert spread(rows, 1000, "cell_id") is rows
