@@ -159,35 +159,55 @@ def _seeded(sample: np.ndarray, k: int, seed: int) -> tuple:
     return np.full(k, 1 / k), means, covariances
 
 
-def fit_many(vectors: DataFrame, fits: list[tuple[int, int]], seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> dict:
-    """All mixtures ``(k, run)`` together: every scan of the cells advances all that are still open.
+def _climbed(stack: _Stack, state: dict, scan, max_iter: int, tol: float) -> tuple[dict, float]:
+    """Advances the fits of ``state`` together until each gains no more than ``tol`` a cell.
 
-    Cells are dealt out evenly first, as scans are many and bound by arithmetic. A fit closes once
-    its mean log likelihood gains no more than ``tol`` a cell. Sums of a scan are
-    added up per fit by Spark; the driver holds the parameters, not cells.
+    ``scan(columns, sizes)`` gives the place and the sums of every open fit. Returns log likelihoods
+    and the number of cells.
     """
-    stack, sample = _starting(vectors)
-    rows = dealt(_arrays(vectors), ID)
-    state = {fit: _seeded(sample, fit[0], seed + 1000 * fit[0] + fit[1]) for fit in fits}
-    before, done, n = dict.fromkeys(fits, -np.inf), {}, None
+    before, done, n = dict.fromkeys(state, -np.inf), set(), 0
     for _ in range(max_iter):
-        now = [fit for fit in fits if fit not in done]
+        now = [fit for fit in state if fit not in done]
         if not now:
             break
-        sizes = [k for k, _ in now]
         columns = np.vstack([stack.columns(*state[fit]) for fit in now])
-        parts = rows.mapInArrow(stack.task(columns, sizes, False), "fit int, sums array<double>")
-        found = parts.groupBy("fit").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect()
-        for row in found:
-            fit, sums = now[row["fit"]], row["sums"].toArray()
+        for place, sums in scan(columns, [k for k, _ in now]):
+            fit = now[place]
             block, likelihood = sums[:-1].reshape(fit[0], -1), sums[-1]
             n = n or block[:, 0].sum()
             gain, before[fit] = (likelihood - before[fit]) / n, likelihood
             if gain <= tol:
-                done[fit] = likelihood
+                done.add(fit)
             else:
                 state[fit] = stack.updated(block, state[fit])
-    shift = np.log(stack.scale).sum() * (n or 0)
+    return before, n
+
+
+def fit_many(vectors: DataFrame, fits: list[tuple[int, int]], seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> dict:
+    """All mixtures ``(k, run)`` together: every scan of the cells advances all that are still open.
+
+    Fits first go as far as the bounded sample they start from can take them, so that few scans of all
+    cells are left. Cells are dealt out evenly, as scans are bound by arithmetic. A fit closes once
+    its mean log likelihood over all cells gains no more than ``tol`` a cell. Sums of a scan are
+    added up per fit by Spark; the driver holds the parameters and the sample, not cells.
+    """
+    stack, sample = _starting(vectors)
+    rows = dealt(_arrays(vectors), ID)
+    state = {fit: _seeded(sample, fit[0], seed + 1000 * fit[0] + fit[1]) for fit in fits}
+    drawn = pa.RecordBatch.from_arrays([pa.array((sample * stack.scale + stack.centre).tolist())], names=["v"])
+
+    def of_sample(columns, sizes):
+        found = next(stack.task(columns, sizes, False)(iter([drawn])))
+        return enumerate(np.array(sums) for sums in found.column("sums").to_pylist())
+
+    def of_all(columns, sizes):
+        parts = rows.mapInArrow(stack.task(columns, sizes, False), "fit int, sums array<double>")
+        found = parts.groupBy("fit").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect()
+        return [(row["fit"], row["sums"].toArray()) for row in found]
+
+    _climbed(stack, state, of_sample, max_iter, tol)
+    before, n = _climbed(stack, state, of_all, max_iter, tol)
+    shift = np.log(stack.scale).sum() * n
     return {
         fit: Mixture(
             weights, means * stack.scale + stack.centre,
@@ -248,13 +268,22 @@ def stacked_agreements(stacked: DataFrame, fits: list[tuple[int, int]]) -> DataF
     return agreement_of(counted, ["k", "run_a", "run_b"])
 
 
-def labels_by_fit(stacked: DataFrame, fits: list[tuple[int, int]]) -> DataFrame:
-    """One row per cell and fit, ``(sample_id, cell_id, k, run, label)``, labels as text."""
+def labels_by_fit(stacked: DataFrame, fits: list[tuple[int, int]], also=tuple(ID)) -> DataFrame:
+    """One row per cell and fit, ``(*also, k, run, label)``, labels as text; ``also`` are columns of the cells."""
     named = [
         F.struct(F.lit(k).alias("k"), F.lit(run).alias("run"), F.col("labels")[place].cast("string").alias("label"))
         for place, (k, run) in enumerate(fits)
     ]
-    return stacked.select(*ID, F.inline(F.array(*named)))
+    return stacked.select(*also, F.inline(F.array(*named)))
+
+
+def range_labels(stacked: DataFrame, fits: list[tuple[int, int]], min_k: int = 2, also=tuple(ID)) -> DataFrame:
+    """The same with a row for every run of k = 1, a constant label, if the range starts at 2."""
+    labels = labels_by_fit(stacked, fits, also)
+    if min_k > 2:
+        return labels
+    ones = F.explode(F.array(*[F.lit(run) for run in sorted({run for _, run in fits})])).alias("run")
+    return labels.unionByName(stacked.select(*also, F.lit(1).alias("k"), ones, F.lit("0").alias("label")))
 
 
 @dataclass
@@ -313,11 +342,7 @@ def search(
 def fit_range(vectors: DataFrame, min_k: int = 2, max_k: int = 16, runs: int = 10, **settings):
     """Labels of all fits as ``(sample_id, cell_id, k, run, label)``, k = 1 included, and the models."""
     found = search(vectors, min_k, max_k, runs, **settings)
-    labels = labels_by_fit(found.stacked, found.fits)
-    if min_k == 2:
-        ones = F.explode(F.array(*[F.lit(run) for run in sorted({run for _, run in found.fits})])).alias("run")
-        labels = labels.unionByName(vectors.select(*ID, F.lit(1).alias("k"), ones, F.lit("0").alias("label")))
-    return labels, found.models
+    return range_labels(found.stacked, found.fits, min_k), found.models
 
 
 def likeliest(models: dict, k: int):

@@ -535,3 +535,19 @@ def test_entries_stay_in_parts_of_bounded_size(spark):
     many = spread(rows, 1000, "cell_id", per_part=40).groupBy("cell_id").agg(F.sum("n").alias("n"))
     assert many.rdd.getNumPartitions() == 25 and many.count() == 1000
     assert spread(rows, 1000, "cell_id") is rows
+
+
+def test_few_scans_of_all_cells_are_left_after_the_sample(spark, monkeypatch):
+    """Fits climb on the sample first: cells are scanned a few times, not once per step."""
+    scans, climbed = [], d._climbed
+
+    def counted(stack, state, scan, max_iter, tol):
+        steps = []
+        found = climbed(stack, state, lambda *a: steps.append(1) or scan(*a), max_iter, tol)
+        scans.append(len(steps))
+        return found
+
+    monkeypatch.setattr(d, "_climbed", counted)
+    _, _, vectors = blobs(spark)
+    d.fit_many(vectors, [(4, 0), (4, 1), (2, 0)], seed=5)
+    assert len(scans) == 2 and scans[0] > scans[1] and scans[1] <= 3
