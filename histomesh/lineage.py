@@ -66,6 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet: large tables in a fraction of a checkpoint's bytes."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Materialise ``df`` dealt out by ``keys``, which what is read from it still knows.
 

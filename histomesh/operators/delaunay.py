@@ -23,12 +23,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histomesh.functions.geometry import Bend
-from histomesh.lineage import cut
-from histomesh.operators.neighbors import Frame, closest, curve_order, locations, with_reach, within_reach
+from histomesh.functions.geometry import FLAT, Bend
+from histomesh.lineage import cut, landed, small
+from histomesh.operators.neighbors import Frame, curve_order, locations, nearest_lists, with_reach, within_reach
 
 # Circles up to this many times wider than their side are searched on a grid.
 WIDEST = 8.0
@@ -49,20 +51,25 @@ def delaunay_edges(cells: DataFrame, k: int = 12, max_edge: float | None = None)
     cells = cells.select("sample_id", "cell_id", "x", "y")
     frame = Frame(cells)
     sites = cut(with_reach(locations(cells), frame, k))
-    parts = [cut(_merged(_near_sides(sites, k)))]
+    parts = [landed(_merged(_near_sides(sites, k)), "sides")]
     waiting = parts[0].where("not closed")
     if not waiting.isEmpty():
         points = cut(_packed(sites, frame))
         boxes = cut(_boxes(points))
     while not waiting.isEmpty():
-        parts.append(cut(_merged(_outward(waiting, points, boxes))))
+        parts.append(landed(_merged(_outward(waiting, points, boxes)), "sides"))
         opened = parts[-1].where("not closed")
-        # Few sides are new, so the large parts are scanned but not shuffled.
+        # Few sides are new: the large parts are scanned, and not shuffled if a count proves it.
         closed = reduce(DataFrame.unionByName, parts).where("closed").select(*SIDE)
-        closed = closed.join(opened.select(*SIDE), SIDE, "left_semi")
+        closed = small(closed.join(small(opened.select(*SIDE)), SIDE, "left_semi"))
         waiting = cut(opened.join(closed, SIDE, "left_anti"))
-    ends = ["ax", "ay", "bx", "by"]
-    sides = reduce(DataFrame.unionByName, parts).select(*SIDE, *ends).distinct()
+    columns = [*SIDE, "ax", "ay", "bx", "by"]
+    sides = parts[0].select(*columns)
+    if len(parts) > 1:
+        # Later parts are small; what they tell again of the first is left out there.
+        later = landed(reduce(DataFrame.unionByName, parts[1:]).select(*columns).distinct(), "sides")
+        known = small(parts[0].select(*SIDE).join(later.select(*SIDE), SIDE, "left_semi"))
+        sides = sides.unionByName(later.join(known, SIDE, "left_anti"))
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     edges = sides.select(
         "sample_id", F.col("a").alias("src"), F.col("b").alias("dst"), length.alias("dist")
@@ -84,63 +91,92 @@ def _tolerance(*values: Column) -> Column:
 def _near_lists(sites: DataFrame, k: int) -> DataFrame:
     """Per location the k nearest others, and the squared distance seen whole."""
     targets = sites.select("sample_id", F.col("site").alias("dst"), "x", "y")
-    near = closest(within_reach(sites, targets), k + 1).where("rank > 1")
-    other = F.struct(
-        F.col("rank").alias("no"), F.col("dst").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y")
-    )
-    full = F.count(F.lit(1)) == k
-    return near.groupBy("sid").agg(
-        *[F.first(name).alias(name) for name in ("sample_id", "site", "x", "y")],
-        F.sort_array(F.collect_list(other)).alias("others"),
-        # A list that is not full holds all other locations of its sample.
-        F.when(full, F.max("d2")).otherwise(F.lit(INFINITY)).alias("seen2"),
-    )
+    near = F.slice("near", 2, k)
+    others = F.transform(near, lambda t: F.struct(t["dst"].alias("id"), t["tx"].alias("x"), t["ty"].alias("y")))
+    # A list that is not full holds all other locations of its sample.
+    seen2 = F.when(F.size(near) == k, F.element_at(near, -1)["d2"]).otherwise(F.lit(INFINITY))
+    lists = nearest_lists(sites, targets, k + 1).where(F.size("near") > 1)
+    return lists.select("sample_id", "site", "x", "y", others.alias("others"), seen2.alias("seen2"))
 
 
-def _near_bounds(lists: DataFrame) -> DataFrame:
-    """For every listed edge, by number: its bounds and the corners that set them."""
-    b = Bend(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
-    c = (F.col("cx") - F.col("x"), F.col("cy") - F.col("y"))
-    side, offset = b.side(*c), b.offset(*c)
-    left, right = F.when(side == 1, offset), F.when(side == -1, offset)
-    return (
-        lists.select("sid", "x", "y", "others", F.explode("others").alias("q"))
-        .select(
-            "sid", "x", "y", F.col("q.no").alias("no"), F.col("q.x").alias("qx"),
-            F.col("q.y").alias("qy"), F.explode("others").alias("c"),
-        )
-        .select(
-            "sid", "x", "y", "no", "qx", "qy", F.col("c.no").alias("cno"),
-            F.col("c.x").alias("cx"), F.col("c.y").alias("cy"),
-        )
-        .withColumns({"left": F.when(F.col("no") != F.col("cno"), left), "right": F.when(F.col("no") != F.col("cno"), right)})
-        .withColumn("inside", (F.col("no") != F.col("cno")) & (side == 0) & (b.power(*c) < 0))
-        .groupBy("sid", "no")
-        .agg(
-            F.coalesce(F.max("right"), F.lit(-INFINITY)).alias("low"),
-            F.coalesce(F.min("left"), F.lit(INFINITY)).alias("high"),
-            F.max_by("cno", "right").alias("right_no"),
-            F.min_by("cno", "left").alias("left_no"),
-            F.max(F.col("inside").cast("int")).alias("blocked"),
-        )
-    )
+def _near_bounds(lists: DataFrame, k: int) -> DataFrame:
+    """``lists`` with every listed edge that a circle fits, by number: its bounds and the corners that set them.
+
+    ``tied`` tells whether one of these edges fits one circle only. It is :class:`Bend` for all
+    corners of a batch of locations at once, so nothing is moved.
+    """
+    flat, tie, infinity = FLAT, TIE, INFINITY
+    edge = "no int, low double, high double, left_no int, right_no int"
+    kind = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in lists.schema)
+    shape = f"{kind}, tied boolean, edges array<struct<{edge.replace(' ', ':').replace(',:', ',')}>>"
+
+    def bounds(x, y, ox, oy, real):
+        bx, by = ox - x[:, None], oy - y[:, None]
+        cx, cy = bx[:, None, :], by[:, None, :]
+        bx, by = bx[:, :, None], by[:, :, None]
+        length = np.sqrt(bx * bx + by * by)
+        turn = bx * cy - by * cx
+        power = cx * (cx - bx) + cy * (cy - by)
+        level = np.abs(turn) <= flat * length * np.sqrt(cx * cx + cy * cy)
+        other = real[:, None, :] & ~np.eye(ox.shape[1], dtype=bool)
+        offset = length * power / (2.0 * turn)
+        left = np.where(other & ~level & (turn > 0), offset, infinity)
+        right = np.where(other & ~level & ~(turn > 0), offset, -infinity)
+        blocked = (other & level & (power < 0)).any(2)
+        low, high = right.max(2), left.min(2)
+        slack = tie * (np.abs(low) + np.abs(high))
+        fits = real & ~blocked & ((low <= high) | (low - high <= slack))
+        known = (np.abs(low) < infinity) & (np.abs(high) < infinity)
+        tied = (fits & known & (np.abs(high - low) <= slack)).any(1)
+        corner = [np.where(np.abs(bound) < infinity, side, -1) for bound, side in ((high, left.argmin(2)), (low, right.argmax(2)))]
+        return fits, low, high, *corner, tied
+
+    def run(batches):
+        for batch in batches:
+            lists = batch["others"]
+            starts = lists.offsets.to_numpy()
+            at, nth = starts[:-1, None], np.arange(k)
+            real = nth < np.diff(starts)[:, None]
+            x, y = [batch[c].to_numpy() for c in ("x", "y")]
+            ox, oy = [np.append(lists.values.field(c).to_numpy(), np.nan)[np.where(real, at + nth, -1)] for c in ("x", "y")]
+            found = []
+            with np.errstate(all="ignore"):
+                for low in range(0, batch.num_rows, 256):
+                    some = slice(low, low + 256)
+                    found.append(bounds(x[some], y[some], ox[some], oy[some], real[some]))
+            if not found:
+                continue
+            fits, low, high, left, right, tied = [np.concatenate(c) for c in zip(*found)]
+            no = np.broadcast_to(nth, fits.shape)
+            numbers = [pa.array(c[fits].astype(np.int32), mask=c[fits] < 0) for c in (no, left, right)]
+            edges = pa.StructArray.from_arrays(
+                [numbers[0], pa.array(low[fits]), pa.array(high[fits]), *numbers[1:]], names=["no", "low", "high", "left_no", "right_no"]
+            )
+            offsets = np.concatenate([[0], np.cumsum(fits.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(tied), pa.ListArray.from_arrays(pa.array(offsets), edges)], names=[*batch.schema.names, "tied", "edges"]
+            )
+
+    return lists.mapInArrow(run, shape)
 
 
 def _near_sides(sites: DataFrame, k: int) -> DataFrame:
-    """Accepted edges among near locations, and the sides of their triangles."""
-    lists = cut(_near_lists(sites, k))
+    """Accepted edges among near locations, and the sides of their triangles.
+
+    Locations near each other come in one task, so most of what they say of a side is put together there.
+    """
 
     def listed(number: str) -> Column:
-        return F.get("others", F.col(number) - 2)
+        return F.get("others", F.col(number))
 
     low, high = F.col("low"), F.col("high")
     smallest = F.greatest(F.least(F.lit(0.0), high), low)
     p = F.struct(F.col("site").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"))
     q = F.col("q")
     tested = (
-        _near_bounds(lists)
-        .where((F.col("blocked") == 0) & ((low <= high) | (low - high <= _tolerance(low, high))))
-        .join(lists.withColumnsRenamed({"x": "px", "y": "py"}), "sid")
+        _near_bounds(_near_lists(sites, k), k)
+        .withColumnsRenamed({"x": "px", "y": "py"})
+        .select("sample_id", "site", "px", "py", "others", "seen2", "tied", F.inline("edges"))
         .withColumns({"p": p, "q": listed("no"), "left": listed("left_no"), "right": listed("right_no")})
         .withColumn("d2", F.pow(q["x"] - F.col("px"), F.lit(2.0)) + F.pow(q["y"] - F.col("py"), F.lit(2.0)))
     )
@@ -150,16 +186,11 @@ def _near_sides(sites: DataFrame, k: int) -> DataFrame:
 
     # An edge that fits one circle only is the diagonal of four or more cells on
     # that circle. The second step, which finds all of them, takes over there.
-    one_circle = (
-        (F.abs(low) < INFINITY) & (F.abs(high) < INFINITY) & (F.abs(high - low) <= _tolerance(low, high))
-    )
-    tied = F.max(one_circle.cast("int")).over(Window.partitionBy("sid"))
-
     def certain(offset: Column) -> Column:
         """The corner is known, and so is everything else on its circle."""
-        return (F.col("tied") == 0) & (diameter2(offset) < F.col("seen2") * (1 - 4 * TIE))
+        return ~F.col("tied") & (diameter2(offset) < F.col("seen2") * (1 - 4 * TIE))
 
-    accepted = tested.withColumn("tied", tied).where(diameter2(smallest) <= F.col("seen2"))
+    accepted = tested.where(diameter2(smallest) <= F.col("seen2"))
     return accepted.select(
         "sample_id",
         F.inline(
