@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.composition import ABUNDANCE, ABUNDANCE_COLUMNS, SUMMARY_COLUMNS, NEIGHBORS, summary
 from catalog.registry import query, rounded
 from catalog.views import CELLS_O, COUNTS_L, cells_o, counts_l, listed_genes, table
-from histomesh.lineage import scratch_path
+from histomesh.lineage import Scratch, scratch_path
 from histomesh.operators.checks import dimension_violations
 from histomesh.operators.composition import compartment_abundance
 from histomesh.operators.review import cohort_profile
@@ -18,9 +18,10 @@ from histomesh.sources import scans, sinks
 
 def bundles(spark, sf_dir) -> str:
     """Counts and cells of the first cohort as text bundles."""
-    path = scratch_path(spark, "bundles")
-    counts = counts_l(spark, sf_dir)
+    path, scratch = scratch_path(spark, "bundles"), Scratch(spark)
+    counts = scratch.keep("counts", counts_l(spark, sf_dir))
     sinks.write_bundles(cells_o(spark, sf_dir), counts, listed_genes(counts), path, cells_per_bundle=5_000)
+    scratch.drop("counts")
     return path
 
 
@@ -46,10 +47,10 @@ def s01(spark, sf_dir):
 )
 def s01_sizes(spark, sf_dir):
     path = bundles(spark, sf_dir)
-    triplets, sizes = scans.read_triplets(spark, f"{path}/counts")
+    entries, sizes = scans.read_entries(spark, f"{path}/counts")
     genes = scans.read_dictionary(spark, f"{path}/genes")
     cells = scans.read_dictionary(spark, f"{path}/barcodes")
-    found = dimension_violations(triplets, genes, cells, sizes).select(F.count(F.lit(1))).scalar()
+    found = dimension_violations(entries, genes, cells, sizes).select(F.count(F.lit(1))).scalar()
     return rounded(
         sizes.groupBy("sample_id")
         .agg(

@@ -103,10 +103,15 @@ def spread(df: DataFrame, rows: int, *keys: str, per_part: int = 250_000) -> Dat
     return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
+def few(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """``df``, broadcast where it is joined if its ``rows`` are at most ``most``, else left to adaptive execution."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df``, kept, and broadcast where it is joined if a count proves it has at most ``most`` rows.
 
     Beyond that the join is left to adaptive execution.
     """
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    return few(kept, kept.count(), most)

@@ -79,7 +79,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Row ids rise in file order within a read task. Subtracting the first id of
     the file's piece, and adding the lengths of its earlier pieces, numbers the
-    lines without sorting or gathering them.
+    lines without sorting or gathering them; pieces are broadcast if they are few.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -92,10 +92,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     before = Window.partitionBy("file").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(
-        "file", "task", "first", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start")
+        "file", "task", "first", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start"), *_place(F.col("file"))
     )
-    return lines.join(starts, ["file", "task"]).select(
-        *_place(F.col("file")),
+    return lines.join(small(starts), ["file", "task"]).select(
+        "sample_id",
+        "bundle",
         (F.col("id") - F.col("first") + F.col("start")).alias("position"),
         "value",
     )
@@ -115,46 +116,53 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("sample_id", "bundle", "position", F.get(fields, F.lit(0)).alias("name"), *told)
 
 
-def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Matrix text files as ``(triplets, sizes)``.
+def read_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Matrix text files as ``(entries, sizes)``, entries as they stand, repeats included.
 
-    ``triplets(sample_id, bundle, gene_ix, cell_ix, n)`` has one-based indices
-    and repeated entries added up. ``sizes(sample_id, bundle, n_genes, n_cells,
-    n_entries, n_lines)`` comes from the size lines, ``n_lines`` being the entries that are
-    really there before repeats are added up. The text is parsed by one scan and kept as
+    ``entries(sample_id, bundle, gene_ix, cell_ix, n)`` has one-based indices.
+    ``sizes(sample_id, bundle, n_genes, n_cells, n_entries, n_lines)`` comes from the size lines,
+    ``n_lines`` being the entries that are really there. The text is parsed by one scan and kept as
     numbers, with the row ids of that scan, by which the first line of a file is told from its
     entries. Size lines, one a file, are broadcast if they are few, so no entry is dealt out by file.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("id"),
-        F.split(F.trim("value"), "\\s+").alias("part"),
+        F.trim("value").alias("value"),
+    )
+    # comments, blank lines and lines that begin with white space are passed over
+    whole = lines.where(~F.substring("value", 1, 1).isin("", "%", "\t", "\n", "\x0b", "\f", "\r")).select(
+        "file", "id", F.split("value", "\\s+").alias("part")
     )
-    whole = lines.where("not startswith(part[0], '%') and part[0] <> ''")
-    numbers = [F.get("part", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate((("gene_ix", "long"), ("cell_ix", "long"), ("n", "double")))]
+    columns = ["gene_ix", "cell_ix", "n"]
+    numbers = [F.get("part", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(zip(columns, ("long", "long", "double"), strict=True))]
     landed = scratch_path(spark, "lines")
     whole.select("file", "id", *numbers).write.parquet(landed)
     kept = spark.read.parquet(landed)
-    heads = small(
-        kept.groupBy("file").agg(
-            F.min_by(F.struct("gene_ix", "cell_ix", "n"), "id").alias("head"), F.min("id").alias("first"), (F.count(F.lit(1)) - 1).alias("n_lines")
-        )
+    heads = kept.groupBy("file").agg(
+        *[F.min_by(c, "id").alias(c) for c in columns], F.min("id").alias("first"), (F.count(F.lit(1)) - 1).alias("n_lines")
     )
+    heads = small(heads.select("file", *_place(F.col("file")), *columns, "first", "n_lines"))
     sizes = heads.select(
-        *_place(F.col("file")),
-        F.col("head.gene_ix").alias("n_genes"),
-        F.col("head.cell_ix").alias("n_cells"),
-        F.col("head.n").cast("long").alias("n_entries"),
+        "sample_id",
+        "bundle",
+        F.col("gene_ix").alias("n_genes"),
+        F.col("cell_ix").alias("n_cells"),
+        F.col("n").cast("long").alias("n_entries"),
         "n_lines",
     )
-    triplets = (
-        kept.join(heads.select("file", "first"), "file")
+    entries = (
+        kept.join(heads.select("file", "first", "sample_id", "bundle"), "file")
         .where("id <> first")
-        .select(*_place(F.col("file")), "gene_ix", "cell_ix", "n")
-        .groupBy("sample_id", "bundle", "gene_ix", "cell_ix")
-        .agg(F.sum("n").alias("n"))
+        .select("sample_id", "bundle", *columns)
     )
-    return triplets, sizes
+    return entries, sizes
+
+
+def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Matrix text files as ``(triplets, sizes)``: the entries of :func:`read_entries`, repeated ones added up."""
+    entries, sizes = read_entries(spark, path)
+    return entries.groupBy("sample_id", "bundle", "gene_ix", "cell_ix").agg(F.sum("n").alias("n")), sizes
 
 
 def named_counts(triplets: DataFrame, genes: DataFrame, cells: DataFrame, more=()) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut
+from histomesh.lineage import Scratch, few, spread
 from histomesh.operators.composition import design_table
 
 # Fixed value: first line of a matrix text file with whole numbers.
@@ -64,11 +64,21 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def _write_lines(lines: DataFrame, path: str) -> None:
-    """Text files in line order, one per bundle."""
+#: Opening and closing a file takes a task about as long as this many rows.
+ROWS_A_FILE = 25_000
+
+
+def _by_bundle(df: DataFrame, rows: int, bundles: int) -> DataFrame:
+    """``df`` with each of its ``bundles`` in one part: parts are bounded by rows and by the files that a task opens."""
+    keys = ["shard", "sample_id"]
+    return spread(df.repartition(*keys), rows + ROWS_A_FILE * bundles, *keys)
+
+
+def _write_lines(lines: DataFrame, rows: int, bundles: int, path: str) -> None:
+    """Text files in line order, one per bundle; about ``rows`` lines in all."""
     folders = ["shard", "sample_id"]
     (
-        lines.repartition(*folders)
+        _by_bundle(lines, rows, bundles)
         .sortWithinPartitions(*folders, "place")
         .select(*folders, "value")
         .write.mode("errorifexists")
@@ -90,23 +100,27 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
     A sample becomes as many bundles as its size asks for, each with about
     ``cells_per_bundle`` cells and its own dictionaries, so neither numbering nor
     writing brings a whole sample into one task. Ids and types of genes are written beside their names.
+    Cells and placed counts are computed once and kept in the shared folder until all is written.
     """
+    scratch, keys = Scratch(cells.sparkSession), ["shard", "sample_id"]
+    cells = scratch.keep("cells", cells)
     shards = cells.groupBy("sample_id").agg(
         F.ceil(F.count(F.lit(1)) / cells_per_bundle).alias("shards")
     )
     shard = F.pmod(F.xxhash64("cell_id"), F.col("shards")).alias("shard")
     members = cells.join(shards, "sample_id").select("*", shard).drop("shards")
-    barcodes = cut(_numbered(members.select("shard", "sample_id", "cell_id"), "cell_id"))
+    barcodes = scratch.keep("barcodes", _numbered(members.select(*keys, "cell_id"), "cell_id"))
     used = shards.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     told = [c for c in ("feature_id", "feature_type") if c in genes.columns]
     listed = genes.select("sample_id", "gene", *told).distinct()
-    panel = cut(_numbered(used.join(listed, "sample_id"), "gene"))
+    panel = scratch.keep("panel", _numbered(used.join(listed, "sample_id"), "gene"))
 
-    placed = counts.where("n <> 0").join(
-        barcodes.withColumnRenamed("place", "cell_ix"), ["sample_id", "cell_id"]
+    n_cells, n_listed, bundles = barcodes.count(), panel.count(), used.count()
+    named = spread(barcodes, n_cells, "sample_id", "cell_id").withColumnRenamed("place", "cell_ix")
+    placed = scratch.keep(
+        "placed", counts.where("n <> 0").join(named, ["sample_id", "cell_id"]).select(*keys, "gene", "cell_ix", "n")
     )
-    entries = placed.join(panel.withColumnRenamed("place", "gene_ix"), ["shard", "sample_id", "gene"])
-    keys = ["shard", "sample_id"]
+    entries = placed.join(few(panel.withColumnRenamed("place", "gene_ix"), n_listed), [*keys, "gene"])
     total = F.count(F.lit(1))
     sizes = (
         barcodes.groupBy(*keys)
@@ -123,14 +137,15 @@ def write_bundles(cells: DataFrame, counts: DataFrame, genes: DataFrame, path: s
         F.lit(2).alias("place"),
         F.concat_ws(" ", "gene_ix", "cell_ix", F.col("n").cast("long")).alias("value"),
     )
-    _write_lines(heads.unionByName(body), f"{path}/counts")
+    _write_lines(heads.unionByName(body), placed.count(), bundles, f"{path}/counts")
     fields = [F.coalesce(F.col(c), F.lit("")) for c in told]
-    _write_lines(panel.withColumn("value", F.concat_ws("\t", "gene", *fields)), f"{path}/genes")
-    _write_lines(barcodes.withColumnRenamed("cell_id", "value"), f"{path}/barcodes")
+    _write_lines(panel.withColumn("value", F.concat_ws("\t", "gene", *fields)), n_listed, bundles, f"{path}/genes")
+    _write_lines(barcodes.withColumnRenamed("cell_id", "value"), n_cells, bundles, f"{path}/barcodes")
 
     options = {"header": True, "compression": "gzip", "escape": '"'}
     for table, folder in (
         (members.drop("x", "y"), "obs"),
         (members.select(*keys, "cell_id", "x", "y"), "spatial"),
     ):
-        table.repartition(*keys).write.mode("errorifexists").partitionBy(*keys).options(**options).csv(f"{path}/{folder}")
+        _by_bundle(table, n_cells, bundles).write.mode("errorifexists").partitionBy(*keys).options(**options).csv(f"{path}/{folder}")
+    scratch.drop(*list(scratch.paths))

@@ -143,6 +143,34 @@ def test_bundles_survive_a_round_trip_in_pieces(spark):
     assert obs.select("note").distinct().first()[0] == 'a,"b"' and obs.count() == 40
 
 
+def test_bundles_compute_cells_and_counts_once(spark):
+    """What bundles are written from is computed once, and a task opens few files however short they are."""
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("cells", "counts")}
+
+    def watched(df, name):
+        total = seen[name]
+        return spark.createDataFrame(df.rdd.map(lambda row: (total.add(1), row)[1]), df.schema)
+
+    cells = spark.range(40).select(F.lit("s").alias("sample_id"), F.col("id").cast("string").alias("cell_id"), F.col("id").cast("double").alias("x"), F.lit(0.5).alias("y"))
+    counts = cells.select("sample_id", "cell_id", F.concat(F.lit("G"), F.col("x").cast("int") % 3).alias("gene"), F.lit(2).alias("n"))
+    path = scratch_path(spark, "bundles")
+    sinks.write_bundles(watched(cells, "cells"), watched(counts, "counts"), counts, path, cells_per_bundle=6)
+    assert {name: total.value for name, total in seen.items()} == {"cells": 40, "counts": 40}
+    lines = spark.range(70).selectExpr("id AS shard", "'s' AS sample_id", "0 AS place", "'v' AS value")
+    assert sinks._by_bundle(lines, 70, 1000).rdd.getNumPartitions() == 101
+
+
+def test_entries_are_read_as_they_stand(spark, tmp_path):
+    """Repeats stay apart until triplets add them up; comments, blank and indented lines are none."""
+    (tmp_path / "s").mkdir()
+    write(tmp_path / "s" / "counts.mtx.gz", "%%MatrixMarket\n\n  2 2  3 \n1 1 4\n1\t1 5\n\t9 9 9\n%x\n2 2 6\n")
+    entries, sizes = scans.read_entries(spark, f"{tmp_path}/*/counts.mtx.gz")
+    assert sorted(tuple(r)[2:] for r in entries.collect()) == [(1, 1, 4.0), (1, 1, 5.0), (2, 2, 6.0)]
+    assert sizes.select("sample_id", "n_genes", "n_cells", "n_entries", "n_lines").collect() == [("s", 2, 2, 3, 3)]
+    triplets, _ = scans.read_triplets(spark, f"{tmp_path}/*/counts.mtx.gz")
+    assert sorted(tuple(r)[2:] for r in triplets.collect()) == [(1, 1, 9.0), (2, 2, 6.0)]
+
+
 def test_count_rules(spark):
     values = [("ok", 7.0), ("neg", -1.0), ("nan", float("nan")), ("big", 2147483648.0), ("half", 1.5), ("near", 3.0 + 1e-9)]
     counts = spark.createDataFrame(values, "cell string, n double")
