@@ -15,15 +15,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut, small
+from histomesh.lineage import cut, small, spread
 
 #: Bytes of Gram rows a task holds before it hands them on.
 HELD = 256 << 20
 
 
-def sparse_rows(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries ``(*keys, ix, x)`` as one sparse row per key: ``ix`` ascending, repeats added up."""
-    dealt = entries.repartition(*keys) if keys else entries.coalesce(1)
+def sparse_rows(entries: DataFrame, keys: list[str], count: int = 0) -> DataFrame:
+    """Entries ``(*keys, ix, x)`` as one sparse row per key: ``ix`` ascending, repeats added up.
+
+    If their ``count`` is told, parts are bounded by it, as grouping takes a multiple of what is moved.
+    """
+    dealt = spread(entries.repartition(*keys), count, *keys) if keys else entries.coalesce(1)
     summed = dealt.groupBy(*keys, "ix").agg(F.sum("x").alias("x"))
     pairs = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ix", "x"))).alias("pairs"))
     return pairs.select(*keys, F.col("pairs.ix").alias("ix"), F.col("pairs.x").alias("x"))
@@ -86,7 +89,7 @@ def principal_axes(entries: DataFrame, groups: DataFrame, size: int, k: int) ->
     positive. The matrix of ``size`` squared, however many rows, is what the driver holds.
     """
     n = groups.agg(F.sum("members")).first()[0] or 0
-    whole = _matrix(gram(sparse_rows(entries, ["sample_id", "cell_id"]), size), size)
+    whole = _matrix(gram(sparse_rows(entries, ["sample_id", "cell_id"], entries.count()), size), size)
     sums = entries.groupBy("sample_id", "ix").agg(F.sum("x").alias("x")).join(groups, "sample_id")
     means = sums.select("sample_id", "ix", (F.col("x") / F.sqrt("members")).alias("x"))
     whole -= _matrix(gram(sparse_rows(means, ["sample_id"]), size), size)

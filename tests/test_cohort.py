@@ -565,6 +565,17 @@ def test_entries_stay_in_parts_of_bounded_size(spark):
     assert spread(rows, 1000, "cell_id") is rows
 
 
+def test_sparse_rows_are_grouped_in_parts_of_bounded_size(spark):
+    """As many parts as the told number of entries asks for, and the same rows."""
+    from histomesh.operators import gram
+
+    entries = spark.range(600).selectExpr("'s' AS sample_id", "cast(id div 3 AS string) AS cell_id", "cast(id % 3 AS int) AS ix", "1.0D AS x")
+    keys = ["sample_id", "cell_id"]
+    many = gram.sparse_rows(entries, keys, 5_000_000)
+    assert many.rdd.getNumPartitions() == 20
+    assert many.exceptAll(gram.sparse_rows(entries, keys)).isEmpty() and many.count() == 200
+
+
 def test_few_scans_of_all_cells_are_left_after_the_sample(spark, monkeypatch):
     """Fits climb on the sample first: cells are scanned a few times, not once per step."""
     scans, climbed = [], d._climbed
