@@ -569,7 +569,7 @@ def test_sparse_rows_are_grouped_in_parts_of_bounded_size(spark):
     """As many parts as the told number of entries asks for, and the same rows."""
     from histomesh.operators import gram
 
-    entries = spark.range(600).selectExpr("'s' AS sample_id", "cast(id div 3 AS string) AS cell_id", "cast(id % 3 AS int) AS ix", "1.0D AS x")
+    entries = spark.range(600).selectExpr("cast(id div 300 AS string) AS sample_id", "cast(id div 3 AS string) AS cell_id", "cast(id % 3 AS int) AS ix", "1.0D AS x")
     keys = ["sample_id", "cell_id"]
     many = gram.sparse_rows(entries, keys, 5_000_000)
     assert many.rdd.getNumPartitions() == 20
