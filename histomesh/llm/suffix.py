@@ -2,9 +2,9 @@
 
 A byte goes if a string of ``length`` bytes around it also starts earlier, in a document with
 a smaller id or earlier in the same one. Two strings of that length that are equal contain
-equal anchors: in every stretch of ``length - GRAM + 1`` neighbouring GRAM-byte pieces the
-piece with the smallest hash is one. So it is enough to compare snippets, an anchor with
-everything within ``length`` bytes of it, between documents that share the anchor.
+equal anchors at the same place: of their ``length - GRAM + 1`` GRAM-byte pieces the first with
+the smallest hash. So it is enough to compare snippets, an anchor with all strings whose anchor
+it is, between documents that share the anchor; every string lies in one snippet.
 
 1. Copies of a whole text count once, for the first document that has it.
 2. Anchors are dealt out by hash. Snippets that are alike from end to end fall to the first
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from histomesh.lineage import cut, scratch_path, small
 from histomesh.llm.induced import suffix_order
-from histomesh.llm.words import _VALUE, BACK, BASE, _powers, mixed, pieces, utf8
+from histomesh.llm.words import _DOWN, _UP, _VALUE, BACK, BASE, STEP, _powers, mixed, pieces, utf8
 
 GRAM = 32
 SHARD = 600_000
@@ -53,31 +53,35 @@ def _windows_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes, hashes of their snippets and anchor positions of one text."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hashes, hashes of their snippets, anchor positions and shapes of one text.
+
+    The anchor of a string is the first of its pieces with the smallest upper half of a hash, so
+    equal strings have it at the same place. A snippet holds the strings that have this anchor, and
+    its shape is ``2 * length`` times the bytes before the anchor plus those from it on.
+    """
     n, window = len(data), length - GRAM + 1
     if n < length:
         empty = np.zeros(0, np.uint64)
-        return empty, empty, np.zeros(0, np.int64)
-    up, down = _powers(BASE, n + 1), _powers(BACK, n + 1)
+        return empty, empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    up, down = (_UP, _DOWN) if n <= STEP else (_powers(BASE, n + 1), _powers(BACK, n + 1))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=total[1:])
     grams = mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    least = _windows_least(grams, window)
-    most = np.zeros(len(grams), np.uint64)
-    edged = np.concatenate([np.full(window - 1, least[0]), least, np.full(window - 1, least[-1])])
-    most = ~_windows_least(~edged, window)
-    at = np.flatnonzero(grams == most)
-    start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
+    low = np.uint64(0xFFFFFFFF)
+    least = _windows_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window)
+    owner = (least & low).astype(np.int64)
+    start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    at, end = owner[start], np.append(start[1:], len(owner)) - 1 + length
     around = (total[end] - total[start]) * down[start]
-    shape = ((at - start) * (2 * length) + (end - at)).astype(np.uint64)
-    return grams[at], mixed(around + mixed(shape + np.uint64(1))), at
+    shape = (at - start) * (2 * length) + (end - at)
+    return grams[at], mixed(around + mixed(shape.astype(np.uint64) + np.uint64(1))), at, shape
 
 
-def _settle(h: np.ndarray, c: np.ndarray, own: pa.RecordBatch, counts: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settle(h: np.ndarray, c: np.ndarray, own: pa.RecordBatch, counts: np.ndarray, at: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchors that come later, in this part of the input, than one with the same snippet.
 
-    They are repeats whatever else there is. Their size is made negative, and they get a hash of
+    They are repeats whatever else there is. Their shape is made negative, and they get a hash of
     their own, so that what is met very often isn't dealt out to one place.
     """
     ids, ties = (np.repeat(own.column(k).to_numpy(), counts) for k in range(2))
@@ -87,10 +91,10 @@ def _settle(h: np.ndarray, c: np.ndarray, own: pa.RecordBatch, counts: np.ndarra
     first = order[head]
     twin = (ids[order] == ids[first]) & (ties[order] == ties[first]) & (at[order] == at[first])
     later = order[~twin]
-    h, sizes = h.copy(), sizes.copy()
+    h, shapes = h.copy(), shapes.copy()
     h[later] = mixed((ids[later] * 1_000_003 + at[later]).astype(np.uint64)).view(np.int64)
-    sizes[later] *= -1
-    return h, sizes
+    shapes[later] *= -1
+    return h, shapes
 
 
 def _anchor_rows(length: int):
@@ -102,12 +106,11 @@ def _anchor_rows(length: int):
                 counts = np.array([len(f[0]) for f in found])
                 own = batch.slice(row, to - row)
                 rows = pa.array(np.repeat(np.arange(to - row), counts))
-                h, c, at = (np.concatenate([f[k] for f in found]) for k in range(3))
-                sizes = np.repeat(np.diff(offsets[row : to + 1]), counts)
-                h, sizes = _settle(h.view(np.int64), c, own, counts, at, sizes)
+                h, c, at, shapes = (np.concatenate([f[k] for f in found]) for k in range(4))
+                h, shapes = _settle(h.view(np.int64), c, own, counts, at, shapes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(c.view(np.int64)), own.column(0).take(rows), own.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(sizes.astype(np.int32))],
-                    ["h", "c", "id", "tie", "at", "n"],
+                    [pa.array(h), pa.array(c.view(np.int64)), own.column(0).take(rows), own.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(shapes.astype(np.int32))],
+                    ["h", "c", "id", "tie", "at", "shape"],
                 )
 
     return run
@@ -124,8 +127,8 @@ def _sieve(length: int):
         names = ["open", "h", "id", "tie", "start", "end", "at"]
 
         def out(is_open: bool, columns: list[np.ndarray]) -> pa.RecordBatch:
-            h, _, ident, tie, at, n = columns
-            start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
+            h, _, ident, tie, at, shape = columns
+            start, end = at - shape // (2 * length), at + shape % (2 * length)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), is_open)), pa.array(h), pa.array(ident), pa.array(tie), pa.array(start), pa.array(end), pa.array(at)], names)
 
         before, last, waiting, waiting_open = None, None, None, False
@@ -337,7 +340,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     originals = mine.join(near(first), ["id", "tie"], "left_semi").select("id", "tie", "text")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shape = "h long, c long, id long, tie long, at int, n int"
+    shape = "h long, c long, id long, tie long, at int, shape int"
     found = originals.mapInArrow(_anchor_rows(length), shape)
     ordered = found.repartition(parts, "h").sortWithinPartitions("h", "c", "id", "tie", "at")
     path = scratch_path(spark, "anchors")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from histomesh.llm import suffix
@@ -52,3 +53,17 @@ def test_no_group_stays_crowded(spark, surrounded):
     snippets = spark.createDataFrame(rows, "h long, id long, tie long, at long, start long, snippet binary")
     _, bounded = suffix.deal_again(snippets, 100, 3)
     assert len(rows) > 50 and max(r["count"] for r in bounded.groupBy("h").count().collect()) <= 3
+
+
+def test_every_string_lies_in_one_snippet_with_the_same_anchor_wherever_it_is():
+    r = random.Random(6)
+    letters = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    passage, owners = letters(400), {}
+    for text in (letters(150) + passage + letters(99), passage + letters(300), b"xy" * 200 + passage[:250], b"z" * 180, passage[:100], passage[:99]):
+        h, _, at, shape = suffix.anchors(np.frombuffer(text, np.uint8), 100)
+        spans = [(b - s // 200, b + s % 200, b, a) for a, b, s in zip(h.tolist(), at.tolist(), shape.tolist(), strict=True)]
+        assert [k for start, end, *_ in spans for k in range(start, end - 99)] == list(range(max(len(text) - 99, 0)))
+        for start, end, b, a in spans:
+            assert start <= b and b + suffix.GRAM <= start + 100
+            for k in range(start, end - 99):
+                assert owners.setdefault(text[k : k + 100], (a, b - k)) == (a, b - k)
