@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from histomesh.functions.geometry import is_finite
 from histomesh.functions.ids import after_colon, text
-from histomesh.lineage import cut, small
+from histomesh.lineage import cut, few, small, spread
 from histomesh.operators.checks import CheckFailed, count_violations, require
 from histomesh.operators.normalize import canonical_counts
 from histomesh.operators.roles import column
@@ -349,19 +349,27 @@ def digest_levels(new_counts: DataFrame, ref_counts: DataFrame) -> DataFrame:
     ).select("level", "sample_id", "block", "new_cells", "reference_cells", "equal")
 
 
-def count_diff_by_digest(new_counts: DataFrame, ref_counts: DataFrame) -> DataFrame:
+def count_diff_by_digest(new_counts: DataFrame, ref_counts: DataFrame, most: int = 500_000) -> DataFrame:
     """The result of :func:`count_diff` from digests: entries meet only where digests differ.
 
     Each side is read once for its cells' digests; blocks are compared first, then the cells of
-    differing blocks. Entries of differing cells, if there are any, are read again.
+    differing blocks. Entries of differing cells, if there are any, are read again; if more than
+    ``most`` cells differ, they meet their cells and each other in parts bounded by rows.
     """
     new, ref = [cut(row_digest(c)) for c in (new_counts, ref_counts)]
+    sizes = [t.agg(F.count(F.lit(1)), F.coalesce(F.sum("entries"), F.lit(0))).first() for t in (new, ref)]
+    cells, entries = [max(column) for column in zip(*sizes)]
     both = _sides(digest_blocks(new), digest_blocks(ref), ["sample_id", "block"])
     open_ = small(both.where(~F.col("new").eqNullSafe(F.col("reference"))).select("sample_id", "block"))
     block = F.substring(F.md5(F.col("cell_id").cast("string")), 1, 2)
     inside = [t.withColumn("block", block).join(open_, ["sample_id", "block"], "left_semi").drop("block") for t in (new, ref)]
-    differing = small(_sides(*inside, KEY).where(~F.col("new").eqNullSafe(F.col("reference"))).select(*KEY))
-    return count_diff(*[c.join(differing, KEY, "left_semi") for c in (new_counts, ref_counts)])
+    sides = _sides(*[spread(t, cells, *KEY) for t in inside], KEY)
+    differing = cut(sides.where(~F.col("new").eqNullSafe(F.col("reference"))).select(*KEY))
+    n = differing.count()
+    if n <= most:
+        return count_diff(*[c.join(few(differing, n, most), KEY, "left_semi") for c in (new_counts, ref_counts)])
+    dealt = [spread(canonical_counts(c), entries, *KEY) for c in (new_counts, ref_counts)]
+    return count_diff(*[c.join(spread(differing, entries, *KEY), KEY, "left_semi") for c in dealt])
 
 
 # The names of checks and pairings, in ``parity_report`` and above, are fixed values: the report's interface.
@@ -400,13 +408,15 @@ def parity_report(
         )
 
     shape = shape_diff(new["cells"], new["genes"], reference["cells"], reference["genes"])
+    rows = max(side["cells"].count() for side in (new, reference))
+    sides = [spread(side["cells"], rows, *KEY) for side in (new, reference)]
     first = reduce(
         DataFrame.unionByName,
         [
             _row("shape", shape),
             _row("gene_order", feature_order_diff(new["genes"], reference["genes"])),
             _row("samples", samples_check(new["cells"], reference["cells"], expected_samples)),
-            _row("cell_identity", identity_diff(new["cells"], reference["cells"])),
+            _row("cell_identity", identity_diff(*sides)),
         ],
     )
     first = cut(first)
@@ -416,7 +426,6 @@ def parity_report(
         reason = "the two sides do not list the same cells"
         later += [skipped(n, reason) for n in ("conditions", "metadata", "coordinates", "raw_counts")]
     else:
-        sides = (new["cells"], reference["cells"])
         pairs = cut(paired_cells(*sides))
         later += [
             _row("conditions", condition_diff(*sides, pairs=pairs)),

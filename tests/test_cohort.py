@@ -590,3 +590,21 @@ def test_few_scans_of_all_cells_are_left_after_the_sample(spark, monkeypatch):
     _, _, vectors = blobs(spark)
     d.fit_many(vectors, [(4, 0), (4, 1), (2, 0)], seed=5)
     assert len(scans) == 2 and scans[0] > scans[1] and scans[1] <= 3
+
+
+def test_entries_of_many_differing_cells_meet_in_parts_bounded_by_rows(spark, monkeypatch):
+    import re
+    from functools import partial
+
+    from histomesh.lineage import spread
+
+    monkeypatch.setattr(p, "spread", partial(spread, per_part=40))
+    old = spark.range(1200).selectExpr("'s' AS sample_id", "CAST(id % 300 AS STRING) AS cell_id", "concat('g', id % 7) AS gene", "id % 5 AS n")
+    new = old.withColumn("n", F.expr("n + CASE WHEN cell_id < '9' THEN 1 ELSE 0 END"))
+    found = p.count_diff_by_digest(new, old, most=10)
+    assert found.collect() == p.count_diff(new, old).collect() and found.first()["mismatched_rows"] > 200
+    kept = int(old.groupBy("cell_id", "gene").agg(F.sum("n").alias("n")).where("n <> 0").count())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    parts = {int(n) for n in re.findall(r"hashpartitioning\(sample_id#\d+, cell_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert parts and min(parts) >= kept / 40
+    assert p.count_diff_by_digest(new, old).collect() == found.collect()
