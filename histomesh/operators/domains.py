@@ -18,14 +18,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomesh.lineage import cut, dealt
+from histomesh.lineage import cut
 
 ID = ["sample_id", "cell_id"]
 
 #: Added to variances, in units of the whole spread, so that no component shrinks to a point.
 RIDGE = 1e-6
-#: Rows a task spreads out at a time.
-STEP = 256
+#: Rows a task spreads out at a time, or as many as give so many numbers.
+STEP, NUMBERS = 256, 2**14
+#: Shares below the exponential of this are not told apart: they add nothing, and the smallest doubles are slow.
+LEAST = -600.0
+#: About so many cells, by hash, take fits further before all cells are scanned, if those are eight times as many.
+MIDDLE = 2**18
 
 
 def as_vectors(df: DataFrame, vec: str = "features", reduce_to: int | None = None) -> DataFrame:
@@ -88,39 +92,44 @@ class _Stack:
 
     def task(self, columns: np.ndarray, sizes: list[int], labels: bool):
         """The function a task runs over batches of cells: labels of all fits, or sums and likelihoods."""
-        centre, scale, (rows, cols), step = self.centre, self.scale, self.pairs, STEP
-        starts = np.cumsum([0, *sizes[:-1]])
+        centre, scale, (rows, cols) = self.centre, self.scale, self.pairs
+        step, least = max(STEP, NUMBERS // columns.shape[1]), LEAST
+        ends = np.cumsum(sizes)
+        # One fit at a time, so that what is computed for a step of cells stays in the processor's cache.
+        fits = [slice(high - k, high) for k, high in zip(sizes, ends)]
 
-        def spread(batch):
-            values = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            for low in range(0, batch.num_rows, step):
-                n = min(step, batch.num_rows - low)
-                x = (values[low * len(centre) : (low + n) * len(centre)].reshape(n, -1) - centre) / scale
-                yield np.hstack([np.ones((n, 1)), x, x[:, rows] * x[:, cols]])
+        def spread(values):
+            for low in range(0, len(values), step * len(centre)):
+                x = (values[low : low + step * len(centre)].reshape(-1, len(centre)) - centre) / scale
+                yield np.hstack([np.ones((len(x), 1)), x, x[:, rows] * x[:, cols]])
 
         def sums(batches):
             total, likelihood = np.zeros(columns.shape), np.zeros(len(sizes))
-            for batch in batches:
-                for monomials in spread(batch):
-                    logs = columns @ monomials.T
-                    top = np.maximum.reduceat(logs, starts)
-                    np.exp(logs - np.repeat(top, sizes, axis=0), out=logs)
-                    whole = np.add.reduceat(logs, starts)
-                    likelihood += (top + np.log(whole)).sum(1)
-                    logs /= np.repeat(whole, sizes, axis=0)
-                    total += logs @ monomials
-            blocks = [np.append(part.ravel(), at) for part, at in zip(np.split(total, starts[1:]), likelihood, strict=True)]
+            for block in (np.frombuffer(v.as_buffer()) for batch in batches for v in batch.column("v")):
+                for monomials in spread(block):
+                    across = np.ascontiguousarray(monomials.T)
+                    for place, fit in enumerate(fits):
+                        logs = columns[fit] @ across
+                        top = logs.max(0)
+                        logs -= top
+                        np.maximum(logs, least, out=logs)
+                        np.exp(logs, out=logs)
+                        whole = logs.sum(0)
+                        likelihood[place] += (top + np.log(whole)).sum()
+                        logs /= whole
+                        total[fit] += logs @ monomials
+            blocks = [np.append(total[fit].ravel(), at) for fit, at in zip(fits, likelihood, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes)), pa.int32()), pa.array([b.tolist() for b in blocks])], names=["fit", "sums"])
 
         def best(batches):
             for batch in batches:
                 found = []
-                for monomials in spread(batch):
-                    logs = columns @ monomials.T
-                    found.append(np.stack([part.argmax(0) for part in np.split(logs, starts[1:])], 1))
+                for monomials in spread(batch.column("v").flatten().to_numpy(zero_copy_only=False)):
+                    across = np.ascontiguousarray(monomials.T)
+                    found.append(np.stack([(columns[fit] @ across).argmax(0) for fit in fits], 1))
                 flat = np.concatenate(found).ravel() if found else np.zeros(0, np.int64)
-                ends = np.arange(0, len(flat) + 1, len(sizes)) if found else np.zeros(1, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                bounds = np.arange(0, len(flat) + 1, len(sizes)) if found else np.zeros(1, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("cell_id"), lists], names=["sample_id", "cell_id", "labels"])
 
         return best if labels else sums
@@ -130,15 +139,26 @@ def _arrays(vectors: DataFrame) -> DataFrame:
     return vectors.select(*ID, vector_to_array("features").alias("v"))
 
 
-def _starting(vectors: DataFrame, rows: int = 4096) -> tuple[_Stack, np.ndarray]:
-    """Units of the vectors, and a bounded sample by hash from which fits start."""
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """Cells dealt out evenly, the vectors of a batch of them as the bytes of one row."""
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("v").flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["v"])
+
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(_arrays(vectors).repartition(parts, *ID).select("v").mapInArrow(packed, "v binary"))
+
+
+def _starting(vectors: DataFrame, rows: int = 4096) -> tuple[_Stack, np.ndarray, int]:
+    """Units of the vectors, a bounded sample by hash from which fits start, and the number of vectors."""
     if vectors.isEmpty():
         raise ValueError("there are no vectors to fit to")
-    facts = vectors.agg(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).first()["s"]
+    facts = vectors.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).first()["s"]
     scale = np.sqrt(np.asarray(facts["variance"].toArray()))
     stack = _Stack(facts["mean"].toArray(), np.where(scale > 0, scale, 1.0))
     drawn = _arrays(vectors).orderBy(F.xxhash64(*ID), *ID).limit(rows).collect()
-    return stack, (np.array([row["v"] for row in drawn]) - stack.centre) / stack.scale
+    return stack, (np.array([row["v"] for row in drawn]) - stack.centre) / stack.scale, facts["count"]
 
 
 def _seeded(sample: np.ndarray, k: int, seed: int) -> tuple:
@@ -186,27 +206,33 @@ def _climbed(stack: _Stack, state: dict, scan, max_iter: int, tol: float) -> tup
 def fit_many(vectors: DataFrame, fits: list[tuple[int, int]], seed: int = 0, max_iter: int = 100, tol: float = 1e-3) -> dict:
     """All mixtures ``(k, run)`` together: every scan of the cells advances all that are still open.
 
-    Fits first go as far as the bounded sample they start from can take them, so that few scans of all
-    cells are left. Cells are dealt out evenly, as scans are bound by arithmetic. A fit closes once
+    Fits first go as far as the bounded sample they start from can take them, then as a larger part of
+    many cells can, so that few scans of all cells are left. Cells are dealt out evenly, as scans are bound by arithmetic. A fit closes once
     its mean log likelihood over all cells gains no more than ``tol`` a cell. Sums of a scan are
     added up per fit by Spark; the driver holds the parameters and the sample, not cells.
     """
-    stack, sample = _starting(vectors)
-    rows = dealt(_arrays(vectors), ID)
+    stack, sample, cells = _starting(vectors)
+    rows = _blocks(vectors)
     state = {fit: _seeded(sample, fit[0], seed + 1000 * fit[0] + fit[1]) for fit in fits}
-    drawn = pa.RecordBatch.from_arrays([pa.array((sample * stack.scale + stack.centre).tolist())], names=["v"])
+    drawn = pa.RecordBatch.from_arrays([pa.array([(sample * stack.scale + stack.centre).tobytes()], pa.binary())], names=["v"])
 
     def of_sample(columns, sizes):
         found = next(stack.task(columns, sizes, False)(iter([drawn])))
         return enumerate(np.array(sums) for sums in found.column("sums").to_pylist())
 
-    def of_all(columns, sizes):
-        parts = rows.mapInArrow(stack.task(columns, sizes, False), "fit int, sums array<double>")
-        found = parts.groupBy("fit").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect()
-        return [(row["fit"], row["sums"].toArray()) for row in found]
+    def of_rows(some):
+        def scan(columns, sizes):
+            parts = some.mapInArrow(stack.task(columns, sizes, False), "fit int, sums array<double>")
+            found = parts.groupBy("fit").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect()
+            return [(row["fit"], row["sums"].toArray()) for row in found]
+
+        return scan
 
     _climbed(stack, state, of_sample, max_iter, tol)
-    before, n = _climbed(stack, state, of_all, max_iter, tol)
+    if cells >= 8 * MIDDLE:
+        part = F.pmod(F.xxhash64(*ID, F.lit(1)), F.lit(cells // MIDDLE)) == 0
+        _climbed(stack, state, of_rows(_blocks(vectors.where(part))), max_iter, tol)
+    before, n = _climbed(stack, state, of_rows(rows), max_iter, tol)
     shift = np.log(stack.scale).sum() * n
     return {
         fit: Mixture(
@@ -251,9 +277,11 @@ def stacked_agreements(stacked: DataFrame, fits: list[tuple[int, int]]) -> DataF
     def met(batches):
         counts = [np.zeros(w * w, np.int64) for w in widths]
         for batch in batches:
-            labels = batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for (a, b), w, own in zip(ends, widths, counts, strict=True):
-                own += np.bincount((labels[:, a] if a >= 0 else 0) * w + labels[:, b], minlength=w * w)
+            whole = batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for low in range(0, batch.num_rows, 2048):
+                labels = np.ascontiguousarray(whole[low : low + 2048].T, np.int64)
+                for (a, b), w, own in zip(ends, widths, counts, strict=True):
+                    own += np.bincount(labels[a] * w + labels[b] if a >= 0 else labels[b], minlength=w * w)
         some = [np.flatnonzero(own) for own in counts]
         at = np.repeat(np.arange(len(pairs)), [len(s) for s in some])
         cell = np.concatenate(some) if some else np.zeros(0, np.int64)
@@ -270,11 +298,11 @@ def stacked_agreements(stacked: DataFrame, fits: list[tuple[int, int]]) -> DataF
 
 def labels_by_fit(stacked: DataFrame, fits: list[tuple[int, int]], also=tuple(ID)) -> DataFrame:
     """One row per cell and fit, ``(*also, k, run, label)``, labels as text; ``also`` are columns of the cells."""
-    named = [
-        F.struct(F.lit(k).alias("k"), F.lit(run).alias("run"), F.col("labels")[place].cast("string").alias("label"))
-        for place, (k, run) in enumerate(fits)
-    ]
-    return stacked.select(*also, F.inline(F.array(*named)))
+    each = stacked.select(*also, F.posexplode("labels").alias("place", "label"))
+    k, run = [F.array(*[F.lit(fit[of]) for fit in fits]) for of in (0, 1)]
+    return each.select(
+        *also, F.get(k, F.col("place")).alias("k"), F.get(run, F.col("place")).alias("run"), F.col("label").cast("string").alias("label")
+    )
 
 
 def range_labels(stacked: DataFrame, fits: list[tuple[int, int]], min_k: int = 2, also=tuple(ID)) -> DataFrame:
@@ -311,13 +339,14 @@ def search(
 
     ``vectors`` should be materialised. The search ends before ``runs`` once a further run changes
     the mean stability of the candidates by no more than ``convergence`` of itself; ``None``
-    makes all runs. ``at_once`` runs of all k share their scans; those beyond the end are dropped,
-    so the result does not depend on it.
+    makes all runs, all by the same scans. Otherwise ``at_once`` runs of all k share their scans; those
+    beyond the end are dropped, so the result does not depend on it.
     """
     if min_k < 2 or max_k < min_k or runs < 2:
         raise ValueError("needs min_k >= 2, max_k >= min_k and runs >= 2")
     models, waves, before = {}, None, None
     ks = range(max(min_k - 1, 2), max_k + 2)
+    at_once = runs if convergence is None else at_once
     for first in range(0, runs, at_once):
         fits = [(k, run) for run in range(first, min(first + at_once, runs)) for k in ks]
         models |= fit_many(vectors, fits, seed, max_iter, tol)
@@ -333,7 +362,8 @@ def search(
             close = convergence is not None and before and all(abs(now[k] - before[k]) <= convergence * abs(now[k]) for k in now)
             if close or last == runs - 1:
                 kept = [fit for fit in done if fit[1] <= last]
-                chosen = waves.select(*ID, F.array(*[F.col("labels")[done.index(fit)] for fit in kept]).alias("labels"))
+                # Runs are fitted in their order, so the kept fits are the first ones.
+                chosen = waves.select(*ID, F.slice("labels", 1, len(kept)).alias("labels"))
                 return Search({fit: models[fit] for fit in kept}, kept, chosen, table)
             before = now
     raise AssertionError("the last run ends the search")

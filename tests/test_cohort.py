@@ -458,6 +458,31 @@ def test_search_does_not_depend_on_how_many_runs_share_a_scan(spark):
     assert slow == tables[0] and set(models) == set(found[0].models)
 
 
+def test_all_runs_share_their_scans(spark, monkeypatch):
+    """Where no run can be the last before the end, no fit or label waits for a run before it."""
+    _, _, vectors = blobs(spark, n=200)
+    calls, fit = [], d.fit_many
+    monkeypatch.setattr(d, "fit_many", lambda v, fits, *rest: calls.append(len(fits)) or fit(v, fits, *rest))
+    found = d.search(vectors, 2, 3, 4, seed=1, max_iter=5, convergence=None, at_once=2)
+    assert calls == [3 * 4] and len(found.fits) == 3 * 4
+
+
+def test_a_part_of_many_cells_leaves_few_scans_of_all(spark, monkeypatch):
+    """Fits that a larger part took further end where those without it end, all cells scanned."""
+    import numpy as np
+
+    _, _, vectors = blobs(spark)
+    whole = d.fit_many(vectors, [(4, 0), (4, 1)], seed=5, tol=1e-6)
+    scans, climb = [], d._climbed
+    monkeypatch.setattr(d, "MIDDLE", 64)
+    monkeypatch.setattr(d, "_climbed", lambda *a: scans.append(a) or climb(*a))
+    parted = d.fit_many(vectors, [(4, 0), (4, 1)], seed=5, tol=1e-6)
+    assert len(scans) == 3
+    best = d.likeliest(whole, 4)
+    assert parted[4, best].log_likelihood == pytest.approx(whole[4, best].log_likelihood, rel=1e-3)
+    assert np.allclose(sorted(parted[4, best].means.ravel()), sorted(whole[4, best].means.ravel()), atol=0.05)
+
+
 def test_mixtures_of_few_or_equal_points(spark):
     equal = d_vectors(spark, [("s", str(i), [1.0, 2.0]) for i in range(5)])
     models = d.fit_many(equal, [(3, 0)], max_iter=4)
